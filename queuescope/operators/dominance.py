@@ -12,10 +12,12 @@ answered without comparing pairs:
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,6 +27,7 @@ from queuescope.operators.running import (
     DAY_SECONDS,
     join_matching,
     position,
+    quoted,
     row_numbers,
     scan_points,
     ticks_per_second,
@@ -32,6 +35,9 @@ from queuescope.operators.running import (
 
 CHUNK_BITS = 16
 
+# Send the chunk solver along with the job, so that executors need not have this package installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def add_queue_rank(
     df: DataFrame,
@@ -60,91 +66,88 @@ def add_queued(
     start: str = "start_ts",
     chunk_bits: int = CHUNK_BITS,
     width: int | None = None,
+    source: DataFrame | None = None,
 ) -> DataFrame:
     """Add ``queued_*`` (double): the resources of waiting rows that are ahead of each row.
 
-    Pass ``rank`` if the frame already has a column from :func:`add_queue_rank`.
+    Pass ``rank`` if the frame already has a column from :func:`add_queue_rank`. ``source`` holds the same ranked
+    rows in a form that is cheaper to read, if ``df`` has a long plan.
     """
     if not 1 <= chunk_bits <= 16:
         raise ValueError("chunk_bits must be between 1 and 16")
-    keys = list(keys)
     width = width or DAY_SECONDS * ticks_per_second(df, eligible)
-    ranked = df
+    given = rank
     if rank is None:
         rank = "_rank"
-        ranked = add_queue_rank(
+        df = source = add_queue_rank(
             df, keys=keys, priority=priority, submit=submit, tie_break=tie_break, out=rank
         )
     outputs = {r: suffixed("queued_", r) for r in resources}
-    placed = ranked.withColumns(
-        {
-            "_at": position(ranked, eligible),
-            "_until": position(ranked, start),
-            "_chunk": F.shiftright(F.col(rank), chunk_bits),
-            "_place": F.col(rank).bitwiseAND(F.lit((1 << chunk_bits) - 1)).cast("int"),
-            **{f"_r_{r}": F.coalesce(F.col(r).cast("double"), F.lit(0.0)) for r in resources},
-        }
-    )
-    last_chunk = placed.agg(F.max("_chunk")).first()[0] or 0
-    if last_chunk:
-        earlier = _earlier_chunks(placed, keys, outputs, last_chunk, width)
-        placed = join_matching(placed, earlier, [*keys, "_chunk", "_at"], "left").withColumns(
-            {o: F.coalesce(o, F.lit(0.0)) for o in outputs.values()}
+
+    def place(rows: DataFrame) -> DataFrame:
+        return rows.withColumns(
+            {
+                "_at": position(rows, eligible),
+                "_until": position(rows, start),
+                "_chunk": F.shiftright(rank, chunk_bits),
+                "_place": F.expr(f"CAST({quoted(rank)} & {(1 << chunk_bits) - 1} AS INT)"),
+                **{f"_r_{r}": F.expr(f"coalesce(CAST({quoted(r)} AS DOUBLE), 0D)") for r in resources},
+            }
         )
+
+    last_rank = (df if source is None else source).agg(F.max(rank)).first()[0] or 0
+    last_chunk = last_rank >> chunk_bits
+    placed = place(df)
+    if last_chunk:
+        earlier = _earlier_chunks(place(df if source is None else source), keys, outputs, last_chunk, width)
+        placed = join_matching(placed, earlier, [*keys, "_chunk", "_at"], "left")
+        placed = placed.withColumns({o: F.expr(f"coalesce({quoted(o)}, 0D)") for o in outputs.values()})
     else:
         placed = placed.withColumns({o: F.lit(0.0) for o in outputs.values()})
 
     schema = T.StructType([T.StructField(f.name, f.dataType) for f in placed.schema])
     solve = _chunk_solver(list(outputs), list(outputs.values()))
     solved = placed.groupBy(*keys, "_chunk").applyInArrow(solve, schema)
-    helpers = ["_at", "_until", "_chunk", "_place", *[f"_r_{r}" for r in resources]]
-    if rank == "_rank":
-        helpers.append(rank)
-    return solved.withColumns({o: F.round(o, 6) for o in outputs.values()}).drop(*helpers)
+    kept = [quoted(c) for c in df.columns if c not in outputs.values() and c != (None if given else rank)]
+    return solved.selectExpr(*kept, *[f"round({quoted(o)}, 6) AS {quoted(o)}" for o in outputs.values()])
 
 
 def _earlier_chunks(
-    placed: DataFrame, keys: list[str], outputs: dict[str, str], last_chunk: int, width: int
+    placed: DataFrame, keys: Sequence[str], outputs: dict[str, str], last_chunk: int, width: int
 ) -> DataFrame:
     """Waiting totals of all earlier chunks per (keys, chunk, moment asked for)."""
-    levels = F.sequence(F.lit(0), F.lit(int(last_chunk).bit_length() - 1))
-    blocks = placed.withColumn("_level", F.explode(levels)).withColumn(
-        "_block", F.expr("shiftright(_chunk, _level)")
-    )
-    is_left = F.col("_block") % 2 == 0
-
-    # Left blocks hold waiting rows, right blocks ask their left neighbour.
+    key_list = [quoted(k) for k in keys]
     values = [f"_r_{r}" for r in outputs]
-    waiting = blocks.where(is_left & (F.col("_at") < F.col("_until"))).select(
-        *keys,
-        "_level",
-        "_block",
-        F.inline(
-            F.array(
-                F.struct(F.col("_at").alias("_pos"), *[F.col(v) for v in values]),
-                F.struct(F.col("_until").alias("_pos"), *[(-F.col(v)).alias(v) for v in values]),
-            )
-        ),
+    levels = last_chunk.bit_length() - 1
+    blocks = placed.selectExpr(
+        *key_list, "_at", "_until", "_chunk", *[quoted(v) for v in values], f"explode(sequence(0, {levels})) AS _level"
+    ).withColumn("_block", F.expr("shiftright(_chunk, _level)"))
+
+    # Left blocks (even number) hold waiting rows, right blocks ask their left neighbour.
+    def event(pos: str, sign: str) -> str:
+        return f"struct({pos} AS _pos, {', '.join(f'{sign}{quoted(v)} AS {quoted(v)}' for v in values)})"
+
+    waiting = blocks.where("_block % 2 = 0 AND _at < _until").selectExpr(
+        *key_list, "_level", "_block", f"inline(array({event('_at', '')}, {event('_until', '-')}))"
     )
     # Rows of a chunk that ask at the same moment share the answer.
     asked = (
-        blocks.where(~is_left)
-        .select(*keys, "_chunk", "_level", (F.col("_block") - 1).alias("_block"), F.col("_at").alias("_pos"))
+        blocks.where("_block % 2 = 1")
+        .selectExpr(*key_list, "_chunk", "_level", "_block - 1 AS _block", "_at AS _pos")
         .distinct()
     )
     group = [*keys, "_level", "_block"]
+    probes = asked.selectExpr(*key_list, "_level", "_block", "_pos", *[f"0D AS {quoted(v)}" for v in values])
     points = (
-        waiting.unionByName(
-            asked.select(*group, "_pos", *[F.lit(0.0).alias(v) for v in values])
-        )
+        waiting.unionByName(probes)
         .groupBy(*group, "_pos")
-        .agg(*[F.sum(v).alias(v) for v in values])
+        .agg(*[F.expr(f"sum({quoted(v)}) AS {quoted(v)}") for v in values])
     )
     totals = scan_points(points, group, "_pos", values, width=width)
     return (
         join_matching(asked, totals, [*group, "_pos"])
         .groupBy(*keys, "_chunk", F.col("_pos").alias("_at"))
-        .agg(*[F.sum(f"_r_{r}").alias(o) for r, o in outputs.items()])
+        .agg(*[F.expr(f"sum({quoted(f'_r_{r}')}) AS {quoted(o)}") for r, o in outputs.items()])
     )
 
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
@@ -19,6 +19,7 @@ from queuescope.operators.running import (
     bucket_of,
     join_matching,
     position,
+    quoted,
     scan_points,
     ticks_per_second,
 )
@@ -41,9 +42,9 @@ def sum_type(df: DataFrame, name: str) -> str:
     return "bigint" if isinstance(df.schema[name].dataType, T.IntegralType) else "double"
 
 
-def settled(col: Column, kind: str) -> Column:
+def settled(expression: str, kind: str) -> str:
     """Drop the residue that adding and removing the same double may leave."""
-    return F.round(col, 6) if kind == "double" else col
+    return f"round({expression}, 6)" if kind == "double" else expression
 
 
 def add_active(
@@ -56,84 +57,68 @@ def add_active(
     start: str = "start_ts",
     end: str = "end_ts",
     width: int | None = None,
+    source: DataFrame | None = None,
 ) -> DataFrame:
     """Add ``active_*``: the resources held by all other rows with ``start <= eligible < end``.
 
     ``remaining`` maps duration columns (seconds) to outputs that hold the seconds still to run, summed over the same
     rows, where a row ends at the earlier of its end and its start plus duration. Durations that are not in ``df``
-    are skipped.
+    are skipped. ``source`` holds the same rows in a form that is cheaper to read, if ``df`` has a long plan.
     """
-    keys = list(keys)
     tick = ticks_per_second(df, eligible)
     width = width or DAY_SECONDS * tick
     remaining = {d: out for d, out in (remaining or {}).items() if d in df.columns}
     kinds = {r: sum_type(df, r) for r in resources}
-
-    def seconds(col: str) -> Column:
-        return bucket_of(col, tick) if tick > 1 else F.col(col)
-
-    placed = df.withColumns(
-        {"_at": position(df, eligible), "_from": position(df, start), "_to": position(df, end)}
-    ).withColumns(
-        {
-            f"_to_{d}": F.least("_to", F.col("_from") + F.col(d).cast("bigint") * tick)
-            for d in remaining
-        }
-    )
+    stops = {d: f"_to_{d}" for d in remaining}
+
+    def seconds(col: str) -> str:
+        return f"({quoted(col)} div {tick}L)" if tick > 1 else quoted(col)
+
+    def place(rows: DataFrame) -> DataFrame:
+        times = {"_at": eligible, "_from": start, "_to": end}
+        return rows.withColumns({c: position(rows, t) for c, t in times.items()}).withColumns(
+            {
+                stop: F.expr(f"least(_to, _from + CAST({quoted(d)} AS BIGINT) * {tick})")
+                for d, stop in stops.items()
+            }
+        )
 
     values = {f"_v_{r}": kinds[r] for r in resources}
     for d in remaining:
         values |= {f"_n_{d}": "bigint", f"_d_{d}": "bigint"}
 
-    def event(pos: str, **given: Column) -> Column:
-        return F.struct(
-            F.col(pos).alias("_pos"),
-            *[given.get(v, F.lit(0)).cast(kind).alias(v) for v, kind in values.items()],
-        )
+    def event(pos: str, given: Mapping[str, str]) -> str:
+        fields = [f"CAST({given.get(v, '0')} AS {kind}) AS {quoted(v)}" for v, kind in values.items()]
+        return f"struct({quoted(pos)} AS _pos, {', '.join(fields)})"
+
+    held = {f"_v_{r}": f"coalesce(CAST({quoted(r)} AS {kinds[r]}), 0)" for r in resources}
+    began = held | {f"_n_{d}": "1" for d in stops} | {f"_d_{d}": seconds(stop) for d, stop in stops.items()}
+    events = [event("_from", began), event("_to", {v: f"-{e}" for v, e in held.items()}), event("_at", {})]
+    for d, stop in stops.items():
+        events.append(event(stop, {f"_n_{d}": "-1", f"_d_{d}": f"-{seconds(stop)}"}))
 
-    held = {f"_v_{r}": F.coalesce(F.col(r).cast(kinds[r]), F.lit(0)) for r in resources}
-    began = dict(held)
-    stops = []
-    for d in remaining:
-        deadline = seconds(f"_to_{d}")
-        began |= {f"_n_{d}": F.lit(1), f"_d_{d}": deadline}
-        stops.append(event(f"_to_{d}", **{f"_n_{d}": F.lit(-1), f"_d_{d}": -deadline}))
-    events = placed.select(
-        *keys,
-        F.inline(
-            F.array(
-                event("_from", **began),
-                event("_to", **{v: -c for v, c in held.items()}),
-                *stops,
-                event("_at"),
-            )
-        ),
-    )
     points = (
-        events.where(F.col("_pos").isNotNull())
+        place(df if source is None else source)
+        .selectExpr(*[quoted(k) for k in keys], f"inline(array({', '.join(events)}))")
+        .where("_pos IS NOT NULL")
         .groupBy(*keys, "_pos")
-        .agg(*[F.sum(v).alias(v) for v in values])
+        .agg(*[F.expr(f"sum({quoted(v)}) AS {quoted(v)}") for v in values])
     )
     totals = scan_points(points, keys, "_pos", list(values), width=width).withColumnRenamed("_pos", "_at")
-    found = join_matching(placed, totals, [*keys, "_at"], "left")
-
-    runs = (F.col("_at") >= F.col("_from")) & (F.col("_at") < F.col("_to"))
-    outputs = {
-        suffixed("active_", r): settled(
-            F.col(f"_v_{r}")
-            - F.when(runs, F.coalesce(F.col(r).cast(kinds[r]), F.lit(0))).otherwise(F.lit(0)),
-            kinds[r],
-        )
-        for r in resources
-    }
+    found = join_matching(place(df), totals, [*keys, "_at"], "left")
+
+    outputs = {}
+    for r in resources:
+        total = f"{quoted(f'_v_{r}')} - CASE WHEN _at >= _from AND _at < _to THEN {held[f'_v_{r}']} ELSE 0 END"
+        outputs[suffixed("active_", r)] = settled(total, kinds[r])
     for d, out in remaining.items():
-        left = F.greatest(F.col(f"_d_{d}") - seconds("_at") * F.col(f"_n_{d}"), F.lit(0))
-        own = F.greatest(seconds(f"_to_{d}") - seconds("_at"), F.lit(0))
-        runs_on = (F.col("_at") >= F.col("_from")) & (F.col("_at") < F.col(f"_to_{d}"))
-        outputs[out] = F.greatest(F.when(runs_on, left - own).otherwise(left), F.lit(0))
-    return found.withColumns(outputs).drop(
-        "_at", "_from", "_to", *[f"_to_{d}" for d in remaining], *values
-    )
+        stop = quoted(stops[d])
+        total = f"greatest({quoted(f'_d_{d}')} - {seconds('_at')} * {quoted(f'_n_{d}')}, 0)"
+        own = f"greatest({seconds(stops[d])} - {seconds('_at')}, 0)"
+        own = f"CASE WHEN _at >= _from AND _at < {stop} THEN {own} ELSE 0 END"
+        outputs[out] = f"greatest({total} - {own}, 0)"
+    kept = [quoted(c) for c in df.columns if c not in outputs]
+    return found.selectExpr(*kept, *[f"{e} AS {quoted(out)}" for out, e in outputs.items()])
 
 
 def add_rolling_count(
@@ -143,23 +128,26 @@ def add_rolling_count(
     out: str,
     *,
     days: int = 7,
+    source: DataFrame | None = None,
 ) -> DataFrame:
     """Count, per key, the rows in ``[order - days, order)``: rows at the very same moment are not counted.
 
     Rows are reduced to one per (keys, moment). Each moment goes to its own slice of ``days`` length and, as history
-    only, to the next one, so a key with very many rows is spread over slices.
+    only, to the next one, so a key with very many rows is spread over slices. ``source``: see :func:`add_active`.
     """
-    keys = list(keys)
     span = days * DAY_SECONDS * ticks_per_second(df, order)
-    placed = df.withColumn("_pos", position(df, order))
-    moments = placed.groupBy(*keys, "_pos").agg(F.count(F.lit(1)).alias("_n"))
-    sliced = moments.withColumn("_own", bucket_of("_pos", span)).select(
-        *keys, "_pos", "_n", "_own", F.explode(F.array(F.col("_own"), F.col("_own") + 1)).alias("_slice")
+    counted = df if source is None else source
+    moments = (
+        counted.withColumn("_pos", position(counted, order))
+        .groupBy(*keys, "_pos")
+        .agg(F.count(F.lit(1)).alias("_n"))
+        .withColumn("_own", bucket_of("_pos", span))
     )
+    sliced = moments.select("*", F.explode(F.array(F.col("_own"), F.col("_own") + 1)).alias("_slice"))
     recent = W.partitionBy(*keys, "_slice").orderBy("_pos").rangeBetween(-span, -1)
-    counted = (
+    found = (
         sliced.withColumn(out, F.coalesce(F.sum("_n").over(recent), F.lit(0)).cast("int"))
-        .where(F.col("_own") == F.col("_slice"))
+        .where("_own = _slice")
         .select(*keys, "_pos", out)
     )
-    return join_matching(placed, counted, [*keys, "_pos"], "left").drop("_pos")
+    return join_matching(df.withColumn("_pos", position(df, order)), found, [*keys, "_pos"], "left").drop("_pos")

@@ -13,7 +13,6 @@ A window that is partitioned by a few keys only would sort each key in one task.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -42,6 +41,14 @@ def ticks_per_second(df: DataFrame, name: str) -> int:
     return _MICROS if is_time(df, name) else 1
 
 
+def quoted(name: str) -> str:
+    return f"`{name}`"
+
+
+def prefixed(prefix: str, quoted_name: str) -> str:
+    return quoted(prefix + quoted_name.strip("`"))
+
+
 def bucket_of(pos: str, width: int) -> Column:
     """Number of the fixed-width bucket of a bigint column (floor division, also below zero)."""
     return F.expr(f"(`{pos}` - pmod(`{pos}`, {width}L)) div {width}L")
@@ -50,9 +57,7 @@ def bucket_of(pos: str, width: int) -> Column:
 def join_matching(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
     """Equi join on ``keys`` where null equals null; keeps the key columns of ``left`` only."""
     renamed = right.withColumnsRenamed({k: f"_right_{k}" for k in keys})
-    condition = reduce(
-        lambda a, b: a & b, [left[k].eqNullSafe(renamed[f"_right_{k}"]) for k in keys]
-    )
+    condition = F.expr(" AND ".join(f"{quoted(k)} <=> {quoted(f'_right_{k}')}" for k in keys))
     return left.join(renamed, condition, how).drop(*[f"_right_{k}" for k in keys])
 
 
@@ -72,34 +77,37 @@ def scan_points(
 
     ``points`` must be unique on (keys, pos), and ``pos`` must be a bigint.
     """
-    keys = list(keys)
     cut = points.withColumn("_bucket", bucket_of(pos, width))
-    inside = W.partitionBy(*keys, "_bucket").orderBy(pos).rowsBetween(W.unboundedPreceding, 0)
-    before = W.partitionBy(*keys).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
+    key_list = [quoted(k) for k in keys]
+    key_sql = ", ".join([*key_list, "_bucket"])
+    inside = f"OVER (PARTITION BY {key_sql} ORDER BY {quoted(pos)} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+    per_key = f"PARTITION BY {', '.join(key_list)} " if key_list else ""
+    before = f"OVER ({per_key}ORDER BY _bucket ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    sums = [quoted(c) for c in sums]
+    lasts = [quoted(c) for c in lasts]
 
     ends = cut.groupBy(*keys, "_bucket").agg(
-        *[F.sum(c).alias(c) for c in sums],
-        *[F.max_by(c, F.when(F.col(c).isNotNull(), F.col(pos))).alias(c) for c in lasts],
+        *[F.expr(f"sum({c}) AS {c}") for c in sums],
+        *[F.expr(f"max_by({c}, {quoted(pos)}) FILTER (WHERE {c} IS NOT NULL) AS {c}") for c in lasts],
     )
-    offsets = ends.select(
-        *keys,
+    offsets = ends.selectExpr(
+        *key_list,
         "_bucket",
-        *[F.sum(c).over(before).alias(f"_off_{c}") for c in sums],
-        *[F.last(c, ignorenulls=True).over(before).alias(f"_off_{c}") for c in lasts],
+        *[f"sum({c}) {before} AS {prefixed('_off_', c)}" for c in sums],
+        *[f"last({c}, true) {before} AS {prefixed('_off_', c)}" for c in lasts],
     )
-    within = cut.select(
-        *keys,
+    within = cut.selectExpr(
+        *key_list,
         "_bucket",
-        pos,
-        *[F.sum(c).over(inside).alias(c) for c in sums],
-        *[F.last(c, ignorenulls=True).over(inside).alias(c) for c in lasts],
+        quoted(pos),
+        *[f"sum({c}) {inside} AS {c}" for c in sums],
+        *[f"last({c}, true) {inside} AS {c}" for c in lasts],
     )
-    merged = join_matching(within, offsets, [*keys, "_bucket"])
-    return merged.select(
-        *keys,
-        pos,
-        *[(F.coalesce(c, F.lit(0)) + F.coalesce(f"_off_{c}", F.lit(0))).alias(c) for c in sums],
-        *[F.coalesce(c, f"_off_{c}").alias(c) for c in lasts],
+    return join_matching(within, offsets, [*keys, "_bucket"]).selectExpr(
+        *key_list,
+        quoted(pos),
+        *[f"coalesce({c}, 0) + coalesce({prefixed('_off_', c)}, 0) AS {c}" for c in sums],
+        *[f"coalesce({c}, {prefixed('_off_', c)}) AS {c}" for c in lasts],
     )
 
 
