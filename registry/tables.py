@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from queuescope.functions.cleaning import preprocess
+from queuescope.plans.features import add_features
 from queuescope.session import configure, materialize, work_dir
 
 _written: dict[tuple[str, str], DataFrame] = {}
@@ -66,9 +68,8 @@ CTE_RAW = f"WITH raw AS MATERIALIZED ({_RAW_SQL}\n)"
 
 
 def _entry(key: str) -> str:
-    match = "starts_with(x, 'gres')" if key == "gpu" else f"starts_with(x, '{key}=')"
-    first = f"list_filter(string_split(\"AllocTRES\", ','), x -> {match})[1]"
-    text = f"substr({first}, strpos({first}, '=') + 1)"
+    name = "gres[^,=]*" if key == "gpu" else key
+    text = f"nullif(regexp_extract(\"AllocTRES\", '(?:^|,){name}=([^,]*)', 1), '')"
     number = f"CAST(rtrim({text}, 'GMT') AS DOUBLE)"
     return (
         f"CASE WHEN ends_with({text}, 'T') THEN {number} * 1024 WHEN ends_with({text}, 'M') THEN {number} / 1024 "
@@ -105,3 +106,15 @@ jobs AS MATERIALIZED (
       AND "State" IS NOT NULL AND "Priority" IS NOT NULL AND "TimelimitRaw" IS NOT NULL
       AND "AllocTRES" IS NOT NULL)
   WHERE wait_time_seconds >= 0)"""
+
+
+def clean_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return preprocess(raw_jobs(spark, sf_dir))
+
+
+def feature_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Feature table of all queues, written once per session and scale for the model queries."""
+    key = (work_dir(spark), sf_dir + "#features")
+    if key not in _written:
+        _written[key] = materialize(add_features(clean_jobs(spark, sf_dir)))
+    return _written[key]
