@@ -135,9 +135,10 @@ def feature_scores(df: DataFrame, y: str, x: Sequence[str], k: int | None = None
     k = len(x) if k is None else min(k, len(x))
     wide = df.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("_n"),
-        *[F.corr(F.col(c).cast("double"), F.col(y).cast("double")).alias(c) for c in x],
+        # corr() divides by zero for a constant feature, so the correlation is put together here.
+        *[F.try_divide(F.covar_pop(c, y), F.stddev_pop(c) * F.stddev_pop(y)).alias(c) for c in x],
     )
-    r = F.nanvl(F.coalesce("r", F.lit(0.0)), F.lit(0.0))
+    r = F.coalesce("r", F.lit(0.0))
     long = to_rows(wide, [*keys, "_n"], "feature", "r", x).withColumn("_r2", r * r)
     score = F.col("_r2") / (1 - F.col("_r2")) * (F.col("_n") - 2)
     best = W.partitionBy(*(keys or [F.lit(0)])).orderBy(F.desc("score"), "feature")
