@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from queuescope.functions import resources
@@ -76,15 +76,13 @@ def handle_cancellations(df: DataFrame) -> DataFrame:
 
 
 def add_calendar_keys(df: DataFrame, ts: str = "start_ts") -> DataFrame:
-    def stamp(pattern: str) -> Column:
-        return F.date_format(ts, pattern)
-
+    year, month, day = F.year(ts), F.month(ts), F.dayofmonth(ts)
     return df.withColumns(
         {
-            "year_month": stamp("yyyy-MM"),
-            "year_month_id": stamp("yyyyMM").cast("int"),
-            "year_id": F.year(ts),
-            "day_id": stamp("yyyyMMdd").cast("int"),
+            "year_month": F.date_format(ts, "yyyy-MM"),
+            "year_month_id": year * 100 + month,
+            "year_id": year,
+            "day_id": year * 10000 + month * 100 + day,
             "allocated_timelimit_seconds": F.col("timelimit_minutes") * 60,
         }
     )

@@ -132,8 +132,9 @@ def add_rolling_count(
 ) -> DataFrame:
     """Count, per key, the rows in ``[order - days, order)``: rows at the very same moment are not counted.
 
-    Rows are reduced to one per (keys, moment). Each moment goes to its own slice of ``days`` length and, as history
-    only, to the next one, so a key with very many rows is spread over slices. ``source``: see :func:`add_active`.
+    Rows are reduced to one per (keys, moment). Time is cut into slices of ``days`` length: a moment counts in its own
+    slice and, until it expires, in the next one. Each slice is one running total, so neither a key with very many rows
+    nor a long frame costs more than its rows. ``source``: see :func:`add_active`.
     """
     span = days * DAY_SECONDS * ticks_per_second(df, order)
     counted = df if source is None else source
@@ -143,11 +144,17 @@ def add_rolling_count(
         .agg(F.count(F.lit(1)).alias("_n"))
         .withColumn("_own", bucket_of("_pos", span))
     )
-    sliced = moments.select("*", F.explode(F.array(F.col("_own"), F.col("_own") + 1)).alias("_slice"))
-    recent = W.partitionBy(*keys, "_slice").orderBy("_pos").rangeBetween(-span, -1)
+    steps = moments.selectExpr(
+        *[quoted(k) for k in keys],
+        f"""inline(array(
+            struct(_own AS _slice, _pos, _n, true AS _asks),
+            struct(_own + 1 AS _slice, _pos, _n, false AS _asks),
+            struct(_own + 1 AS _slice, _pos + {span}L AS _pos, -_n AS _n, false AS _asks)))""",
+    )
+    before = W.partitionBy(*keys, "_slice").orderBy("_pos").rangeBetween(W.unboundedPreceding, -1)
     found = (
-        sliced.withColumn(out, F.coalesce(F.sum("_n").over(recent), F.lit(0)).cast("int"))
-        .where("_own = _slice")
+        steps.withColumn(out, F.coalesce(F.sum("_n").over(before), F.lit(0)).cast("int"))
+        .where("_asks")
         .select(*keys, "_pos", out)
     )
     return join_matching(df.withColumn("_pos", position(df, order)), found, [*keys, "_pos"], "left").drop("_pos")

@@ -14,6 +14,8 @@ RUNTIME_CONF = {
     # The results of a sweep are joined back to the rows that asked for them. One moment may be asked for by a
     # large share of all rows, so that join must be splittable even if it costs one more exchange.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # Methods above this size are not compiled to machine code; wide projections are faster cut into small methods.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
     # Event rows are mostly zeros and compress very well, so a partition that is small on disk is not small to process.
     "spark.sql.adaptive.coalescePartitions.minPartitionSize": "128kb",
 }
