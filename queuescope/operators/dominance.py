@@ -66,12 +66,11 @@ def add_queued(
     start: str = "start_ts",
     chunk_bits: int = CHUNK_BITS,
     width: int | None = None,
-    source: DataFrame | None = None,
 ) -> DataFrame:
     """Add ``queued_*`` (double): the resources of waiting rows that are ahead of each row.
 
-    Pass ``rank`` if the frame already has a column from :func:`add_queue_rank`. ``source`` holds the same ranked
-    rows in a form that is cheaper to read, if ``df`` has a long plan.
+    Pass ``rank`` if the frame already has a column from :func:`add_queue_rank`; otherwise ``df`` is ranked and
+    written first. The rows of a chunk pass through Arrow, so pass no more columns than needed.
     """
     if not 1 <= chunk_bits <= 16:
         raise ValueError("chunk_bits must be between 1 and 16")
@@ -79,27 +78,24 @@ def add_queued(
     given = rank
     if rank is None:
         rank = "_rank"
-        df = source = add_queue_rank(
+        df = add_queue_rank(
             df, keys=keys, priority=priority, submit=submit, tie_break=tie_break, out=rank
         )
     outputs = {r: suffixed("queued_", r) for r in resources}
 
-    def place(rows: DataFrame) -> DataFrame:
-        return rows.withColumns(
-            {
-                "_at": position(rows, eligible),
-                "_until": position(rows, start),
-                "_chunk": F.shiftright(rank, chunk_bits),
-                "_place": F.expr(f"CAST({quoted(rank)} & {(1 << chunk_bits) - 1} AS INT)"),
-                **{f"_r_{r}": F.expr(f"coalesce(CAST({quoted(r)} AS DOUBLE), 0D)") for r in resources},
-            }
-        )
-
-    last_rank = (df if source is None else source).agg(F.max(rank)).first()[0] or 0
+    placed = df.withColumns(
+        {
+            "_at": position(df, eligible),
+            "_until": position(df, start),
+            "_chunk": F.shiftright(rank, chunk_bits),
+            "_place": F.expr(f"CAST({quoted(rank)} & {(1 << chunk_bits) - 1} AS INT)"),
+            **{f"_r_{r}": F.expr(f"coalesce(CAST({quoted(r)} AS DOUBLE), 0D)") for r in resources},
+        }
+    )
+    last_rank = df.agg(F.max(rank)).first()[0] or 0
     last_chunk = last_rank >> chunk_bits
-    placed = place(df)
     if last_chunk:
-        earlier = _earlier_chunks(place(df if source is None else source), keys, outputs, last_chunk, width)
+        earlier = _earlier_chunks(placed, keys, outputs, last_chunk, width)
         placed = join_matching(placed, earlier, [*keys, "_chunk", "_at"], "left")
         placed = placed.withColumns({o: F.expr(f"coalesce({quoted(o)}, 0D)") for o in outputs.values()})
     else:
@@ -123,11 +119,13 @@ def _earlier_chunks(
         *key_list, "_at", "_until", "_chunk", *[quoted(v) for v in values], f"explode(sequence(0, {levels})) AS _level"
     ).withColumn("_block", F.expr("shiftright(_chunk, _level)"))
 
-    # Left blocks (even number) hold waiting rows, right blocks ask their left neighbour.
+    # Left blocks (even number) hold waiting rows, right blocks ask their left neighbour, if there is one.
     def event(pos: str, sign: str) -> str:
         return f"struct({pos} AS _pos, {', '.join(f'{sign}{quoted(v)} AS {quoted(v)}' for v in values)})"
 
-    waiting = blocks.where("_block % 2 = 0 AND _at < _until").selectExpr(
+    waiting = blocks.where(
+        f"_block % 2 = 0 AND _at < _until AND shiftleft(_block + 1, _level) <= {last_chunk}"
+    ).selectExpr(
         *key_list, "_level", "_block", f"inline(array({event('_at', '')}, {event('_until', '-')}))"
     )
     # Rows of a chunk that ask at the same moment share the answer.
@@ -192,8 +190,10 @@ def waiting_ahead(place: np.ndarray, at: np.ndarray, until: np.ndarray, held: np
         used = used[np.argsort(block, kind="stable")]
         block = np.sort(block, kind="stable")
         running = np.cumsum(held[row[used]] * sign[used, None], axis=0)
-        first = np.searchsorted(block, block, side="left")
-        base = np.where((first > 0)[:, None], running[first - 1], 0.0)
-        question = asks[used]
-        total[row[used[question]]] += (running - base)[question]
+        question = np.flatnonzero(asks[used])
+        first = np.searchsorted(block, block[question], side="left")
+        answer = running[question]
+        inside = first > 0
+        answer[inside] -= running[first[inside] - 1]
+        total[row[used[question]]] += answer
     return total

@@ -57,13 +57,12 @@ def add_active(
     start: str = "start_ts",
     end: str = "end_ts",
     width: int | None = None,
-    source: DataFrame | None = None,
 ) -> DataFrame:
     """Add ``active_*``: the resources held by all other rows with ``start <= eligible < end``.
 
     ``remaining`` maps duration columns (seconds) to outputs that hold the seconds still to run, summed over the same
     rows, where a row ends at the earlier of its end and its start plus duration. Durations that are not in ``df``
-    are skipped. ``source`` holds the same rows in a form that is cheaper to read, if ``df`` has a long plan.
+    are skipped. ``df`` is read twice, for the events and for the join of the answers, so pass it slim and written.
     """
     tick = ticks_per_second(df, eligible)
     width = width or DAY_SECONDS * tick
@@ -74,15 +73,13 @@ def add_active(
     def seconds(col: str) -> str:
         return f"({quoted(col)} div {tick}L)" if tick > 1 else quoted(col)
 
-    def place(rows: DataFrame) -> DataFrame:
-        times = {"_at": eligible, "_from": start, "_to": end}
-        return rows.withColumns({c: position(rows, t) for c, t in times.items()}).withColumns(
-            {
-                stop: F.expr(f"least(_to, _from + CAST({quoted(d)} AS BIGINT) * {tick})")
-                for d, stop in stops.items()
-            }
-        )
-
+    times = {"_at": eligible, "_from": start, "_to": end}
+    placed = df.withColumns({c: position(df, t) for c, t in times.items()}).withColumns(
+        {
+            stop: F.expr(f"least(_to, _from + CAST({quoted(d)} AS BIGINT) * {tick})")
+            for d, stop in stops.items()
+        }
+    )
     values = {f"_v_{r}": kinds[r] for r in resources}
     for d in remaining:
         values |= {f"_n_{d}": "bigint", f"_d_{d}": "bigint"}
@@ -98,14 +95,13 @@ def add_active(
         events.append(event(stop, {f"_n_{d}": "-1", f"_d_{d}": f"-{seconds(stop)}"}))
 
     points = (
-        place(df if source is None else source)
-        .selectExpr(*[quoted(k) for k in keys], f"inline(array({', '.join(events)}))")
+        placed.selectExpr(*[quoted(k) for k in keys], f"inline(array({', '.join(events)}))")
         .where("_pos IS NOT NULL")
         .groupBy(*keys, "_pos")
         .agg(*[F.expr(f"sum({quoted(v)}) AS {quoted(v)}") for v in values])
     )
     totals = scan_points(points, keys, "_pos", list(values), width=width).withColumnRenamed("_pos", "_at")
-    found = join_matching(place(df), totals, [*keys, "_at"], "left")
+    found = join_matching(placed, totals, [*keys, "_at"], "left")
 
     outputs = {}
     for r in resources:
@@ -128,19 +124,17 @@ def add_rolling_count(
     out: str,
     *,
     days: int = 7,
-    source: DataFrame | None = None,
 ) -> DataFrame:
     """Count, per key, the rows in ``[order - days, order)``: rows at the very same moment are not counted.
 
     Rows are reduced to one per (keys, moment). Time is cut into slices of ``days`` length: a moment counts in its own
     slice and, until it expires, in the next one. Each slice is one running total, so neither a key with very many rows
-    nor a long frame costs more than its rows. ``source``: see :func:`add_active`.
+    nor a long frame costs more than its rows.
     """
     span = days * DAY_SECONDS * ticks_per_second(df, order)
-    counted = df if source is None else source
+    placed = df.withColumn("_pos", position(df, order))
     moments = (
-        counted.withColumn("_pos", position(counted, order))
-        .groupBy(*keys, "_pos")
+        placed.groupBy(*keys, "_pos")
         .agg(F.count(F.lit(1)).alias("_n"))
         .withColumn("_own", bucket_of("_pos", span))
     )
@@ -157,4 +151,4 @@ def add_rolling_count(
         .where("_asks")
         .select(*keys, "_pos", out)
     )
-    return join_matching(df.withColumn("_pos", position(df, order)), found, [*keys, "_pos"], "left").drop("_pos")
+    return join_matching(placed, found, [*keys, "_pos"], "left").drop("_pos")

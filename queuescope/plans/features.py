@@ -74,12 +74,10 @@ def add_usage(
     keys: Sequence[str] = ("partition",),
     who: Mapping[str, str] = USAGE,
     days: int = 7,
-    source: DataFrame | None = None,
 ) -> DataFrame:
     """Jobs the same user, and the same account, submitted to the queue in the days before."""
-    source = df if source is None else source
     for column, out in who.items():
-        df = add_rolling_count(df, [*keys, column], "submit_ts", out, days=days, source=source)
+        df = add_rolling_count(df, [*keys, column], "submit_ts", out, days=days)
     return df
 
 
@@ -92,16 +90,27 @@ def add_features(
 ) -> DataFrame:
     """All features of cleaned jobs (see ``cleaning.preprocess``), computed per queue.
 
-    The cleaned jobs are ranked and written once. Every sweep reads that table, and only the answers are joined.
+    The cleaned jobs are ranked and written once. Every sweep reads only its own columns of that table, and the
+    answers come together by queue and rank, which are unique: the wide rows are shuffled a single time.
     """
-    keys = [queue]
     resources = [c for c in df.columns if c.startswith("allocated_")] + SIZE_FLAGS
-    ranked = add_queue_rank(df, keys=keys, tie_break=tie_break, out="_queue_rank")
-    base = add_size_flags(ranked, size_column(queue), keys)
-    jobs = add_active(base, resources, keys=keys, remaining=REMAINING)
-    jobs = add_queued(
-        jobs, resources, keys=keys, rank="_queue_rank", chunk_bits=chunk_bits, source=base
+    place = [queue, "_queue_rank"]
+    jobs = add_queue_rank(df, keys=[queue], tie_break=tie_break, out="_queue_rank")
+    sized = add_size_flags(jobs, size_column(queue), [queue])
+    times = ["eligible_start_ts", "start_ts", "end_ts"]
+
+    active = add_active(
+        sized.select(*place, *times, *resources), resources, keys=[queue], remaining=REMAINING
+    ).drop(*times, *resources)
+    queued = add_queued(
+        sized.select(*place, *times[:2], *resources), resources, keys=[queue], rank="_queue_rank",
+        chunk_bits=chunk_bits,
+    ).drop(*times, *resources)
+    for column, out in USAGE.items():
+        recent = jobs.select(*place, column, "submit_ts")
+        recent = add_rolling_count(recent, [queue, column], "submit_ts", out)
+        jobs = jobs.join(recent.drop(column, "submit_ts"), place)
+    jobs = jobs.join(active, place).join(queued, place)
+    return (
+        jobs.transform(add_reservation_flag).transform(add_chained_flag).transform(add_temporal).drop("_queue_rank")
     )
-    jobs = add_usage(jobs, keys, source=ranked)
-    jobs = jobs.transform(add_reservation_flag).transform(add_chained_flag).transform(add_temporal)
-    return jobs.drop("_queue_rank", *SIZE_FLAGS)
