@@ -65,7 +65,7 @@ def add_queued(
     eligible: str = "eligible_start_ts",
     start: str = "start_ts",
     chunk_bits: int = CHUNK_BITS,
-    width: int | None = None,
+    width: int | Sequence[int] | None = None,
 ) -> DataFrame:
     """Add ``queued_*`` (double): the resources of waiting rows that are ahead of each row.
 
@@ -109,7 +109,7 @@ def add_queued(
 
 
 def _earlier_chunks(
-    placed: DataFrame, keys: Sequence[str], outputs: dict[str, str], last_chunk: int, width: int
+    placed: DataFrame, keys: Sequence[str], outputs: dict[str, str], last_chunk: int, width: int | Sequence[int]
 ) -> DataFrame:
     """Waiting totals of all earlier chunks per (keys, chunk, moment asked for)."""
     key_list = [quoted(k) for k in keys]

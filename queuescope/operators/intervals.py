@@ -56,7 +56,7 @@ def add_active(
     eligible: str = "eligible_start_ts",
     start: str = "start_ts",
     end: str = "end_ts",
-    width: int | None = None,
+    width: int | Sequence[int] | None = None,
 ) -> DataFrame:
     """Add ``active_*``: the resources held by all other rows with ``start <= eligible < end``.
 

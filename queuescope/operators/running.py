@@ -19,9 +19,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from queuescope.session import materialize
+from queuescope.session import materialize, pin_if_small
 
 DAY_SECONDS = 86_400
+FINE_SECONDS = 10
 _MICROS = 1_000_000
 _ROW_BITS = 33  # monotonically_increasing_id keeps the row number of a partition in its lower 33 bits
 
@@ -49,16 +50,29 @@ def prefixed(prefix: str, quoted_name: str) -> str:
     return quoted(prefix + quoted_name.strip("`"))
 
 
+def default_widths(df: DataFrame, name: str) -> list[int]:
+    """Bucket widths for times of any resolution: ten seconds within days (seconds within days for numbers)."""
+    if is_time(df, name):
+        return [FINE_SECONDS * _MICROS, DAY_SECONDS * _MICROS]
+    return [DAY_SECONDS]
+
+
 def bucket_of(pos: str, width: int) -> Column:
     """Number of the fixed-width bucket of a bigint column (floor division, also below zero)."""
     return F.expr(f"(`{pos}` - pmod(`{pos}`, {width}L)) div {width}L")
 
 
-def join_matching(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
-    """Equi join on ``keys`` where null equals null; keeps the key columns of ``left`` only."""
+def join_matching(
+    left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner", broadcast: bool = False
+) -> DataFrame:
+    """Equi join on ``keys`` where null equals null; keeps the key columns of ``left`` only.
+
+    Set ``broadcast`` only for a right side whose size has been checked.
+    """
     renamed = right.withColumnsRenamed({k: f"_right_{k}" for k in keys})
     condition = F.expr(" AND ".join(f"{quoted(k)} <=> {quoted(f'_right_{k}')}" for k in keys))
-    return left.join(renamed, condition, how).drop(*[f"_right_{k}" for k in keys])
+    joined = left.join(F.broadcast(renamed) if broadcast else renamed, condition, how)
+    return joined.drop(*[f"_right_{k}" for k in keys])
 
 
 # --------------------------------------------------------------------------------------------------- bucketed form
@@ -71,39 +85,45 @@ def scan_points(
     sums: Sequence[str] = (),
     lasts: Sequence[str] = (),
     *,
-    width: int,
+    width: int | Sequence[int],
 ) -> DataFrame:
     """Replace ``sums`` by their running total and ``lasts`` by their latest non-null value, in order of ``pos``.
 
-    ``points`` must be unique on (keys, pos), and ``pos`` must be a bigint.
+    ``points`` must be unique on (keys, pos), and ``pos`` must be a bigint. With several widths, each a multiple of the
+    one before, the buckets are themselves scanned in wider buckets, so no task sees more buckets than fit in one.
     """
-    cut = points.withColumn("_bucket", bucket_of(pos, width))
+    width, *wider = [width] if isinstance(width, int) else list(width)
+    bucket = f"_cut_{pos}"
+    cut = points.withColumn(bucket, bucket_of(pos, width))
     key_list = [quoted(k) for k in keys]
-    key_sql = ", ".join([*key_list, "_bucket"])
+    key_sql = ", ".join([*key_list, quoted(bucket)])
     inside = f"OVER (PARTITION BY {key_sql} ORDER BY {quoted(pos)} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
     per_key = f"PARTITION BY {', '.join(key_list)} " if key_list else ""
-    before = f"OVER ({per_key}ORDER BY _bucket ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    before = f"OVER ({per_key}ORDER BY {quoted(bucket)} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
     sums = [quoted(c) for c in sums]
     lasts = [quoted(c) for c in lasts]
 
-    ends = cut.groupBy(*keys, "_bucket").agg(
+    ends = cut.groupBy(*keys, bucket).agg(
         *[F.expr(f"sum({c}) AS {c}") for c in sums],
         *[F.expr(f"max_by({c}, {quoted(pos)}) FILTER (WHERE {c} IS NOT NULL) AS {c}") for c in lasts],
     )
-    offsets = ends.selectExpr(
-        *key_list,
-        "_bucket",
-        *[f"sum({c}) {before} AS {prefixed('_off_', c)}" for c in sums],
-        *[f"last({c}, true) {before} AS {prefixed('_off_', c)}" for c in lasts],
-    )
+    if wider:
+        offsets = _totals_before(ends, keys, bucket, sums, lasts, [w // width for w in wider])
+    else:
+        offsets = ends.selectExpr(
+            *key_list,
+            quoted(bucket),
+            *[f"sum({c}) {before} AS {prefixed('_off_', c)}" for c in sums],
+            *[f"last({c}, true) {before} AS {prefixed('_off_', c)}" for c in lasts],
+        )
     within = cut.selectExpr(
         *key_list,
-        "_bucket",
+        quoted(bucket),
         quoted(pos),
         *[f"sum({c}) {inside} AS {c}" for c in sums],
         *[f"last({c}, true) {inside} AS {c}" for c in lasts],
     )
-    return join_matching(within, offsets, [*keys, "_bucket"]).selectExpr(
+    return join_matching(within, offsets, [*keys, bucket]).selectExpr(
         *key_list,
         quoted(pos),
         *[f"coalesce({c}, 0) + coalesce({prefixed('_off_', c)}, 0) AS {c}" for c in sums],
@@ -111,19 +131,35 @@ def scan_points(
     )
 
 
+def _totals_before(
+    ends: DataFrame, keys: Sequence[str], bucket: str, sums: Sequence[str], lasts: Sequence[str], widths: Sequence[int]
+) -> DataFrame:
+    """Offsets of buckets by another scan: each bucket's values count from the next bucket number on."""
+    key_list, values = [quoted(k) for k in keys], [*sums, *lasts]
+    given = ends.selectExpr(*key_list, f"{quoted(bucket)} + 1 AS {quoted(bucket)}", *values)
+    asked = ends.selectExpr(*key_list, quoted(bucket), *[f"IF(false, {c}, NULL) AS {c}" for c in values])
+    points = given.unionByName(asked).groupBy(*keys, bucket).agg(
+        *[F.expr(f"sum({c}) AS {c}") for c in sums],
+        *[F.expr(f"any_value({c}) FILTER (WHERE {c} IS NOT NULL) AS {c}") for c in lasts],
+    )
+    names = [c.strip("`") for c in values]
+    found = scan_points(points, keys, bucket, names[: len(sums)], names[len(sums) :], width=widths)
+    return found.withColumnsRenamed({c: f"_off_{c}" for c in names})
+
+
 def running_total(
     df: DataFrame,
     keys: Sequence[str],
     order: str,
     values: Mapping[str, str],
     *,
-    width: int | None = None,
+    width: int | Sequence[int] | None = None,
 ) -> DataFrame:
     """Add, per key, the total of each value over all rows with the same or an earlier ``order`` value.
 
     ``values`` maps output column to input column. Rows that share a position get the same total (RANGE frame).
     """
-    width = width or DAY_SECONDS * ticks_per_second(df, order)
+    width = width or default_widths(df, order)
     placed = df.withColumn("_pos", position(df, order))
     points = placed.groupBy(*keys, "_pos").agg(*[F.sum(c).alias(out) for out, c in values.items()])
     totals = scan_points(points, keys, "_pos", list(values), width=width)
@@ -139,7 +175,7 @@ def asof_join(
     payload: Mapping[str, str],
     *,
     tie_break: Sequence[str] = (),
-    width: int | None = None,
+    width: int | Sequence[int] | None = None,
 ) -> DataFrame:
     """Give each left row the values of the latest right row at or before it (null if there is none).
 
@@ -147,7 +183,7 @@ def asof_join(
     ``tie_break`` columns counts.
     """
     keys = list(keys)
-    width = width or DAY_SECONDS * ticks_per_second(left, left_on)
+    width = width or default_widths(left, left_on)
     asked = left.withColumn("_pos", position(left, left_on))
     order = F.struct(*[F.col(c) for c in tie_break]) if tie_break else F.lit(0)
     known = right.withColumn("_pos", position(right, right_on)).where(F.col("_pos").isNotNull())
@@ -213,7 +249,8 @@ def row_numbers(
         (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_shift"),
         *([F.sum("_n").over(per_key).alias(count)] if count else []),
     )
-    numbered = join_matching(table, shifts, [*keys, "_range"])
+    shifts, small = pin_if_small(shifts)
+    numbered = join_matching(table, shifts, [*keys, "_range"], broadcast=small)
     return numbered.withColumn(out, F.col("_row") + F.col("_shift")).drop("_row", "_range", "_shift")
 
 
@@ -242,9 +279,9 @@ def sorted_totals(
         *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"_off_{o}") for o, c in values.items()],
         *[F.sum(c).over(per_key).alias(o) for o, c in totals.items()],
     )
-    merged = join_matching(
-        table.withColumns({o: F.sum(c).over(inside) for o, c in values.items()}), shifts, [*keys, "_range"]
-    )
+    shifts, small = pin_if_small(shifts)
+    totalled = table.withColumns({o: F.sum(c).over(inside) for o, c in values.items()})
+    merged = join_matching(totalled, shifts, [*keys, "_range"], broadcast=small)
     return merged.withColumns({o: F.col(o) + F.col(f"_off_{o}") for o in values}).drop(
         "_row", "_range", *[f"_off_{o}" for o in values]
     )

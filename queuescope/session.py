@@ -63,3 +63,18 @@ def materialize(df: DataFrame) -> DataFrame:
     path = f"{work_dir(spark)}/tables/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+SMALL_TABLE_ROWS = 50_000
+
+
+def pin_if_small(df: DataFrame, limit: int = SMALL_TABLE_ROWS) -> tuple[DataFrame, bool]:
+    """Compute a helper table once if it is small: (table, whether it has at most ``limit`` rows).
+
+    A small table becomes a local one, so several users of it do not compute it again, and it may be broadcast because
+    its size has been checked. A larger one is returned as it is and joined by a shuffle.
+    """
+    rows = df.limit(limit + 1).toArrow()
+    if rows.num_rows > limit:
+        return df, False
+    return df.sparkSession.createDataFrame(rows, schema=df.schema), True

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from queuescope.operators.dominance import add_queued
 from queuescope.operators.intervals import REMAINING, add_active, add_rolling_count
+from queuescope.operators.running import asof_join
 
 COLUMNS = (
     "submit_ts eligible_start_ts start_ts end_ts priority allocated_mem allocated_cpu allocated_gpu".split()
@@ -83,7 +84,7 @@ FROM pdf j JOIN pdf i ON i.partition = j.partition GROUP BY j.job_id ORDER BY j.
 """
 
 
-@pytest.mark.parametrize("seed,chunk_bits,width", [(1, 16, 86_400), (2, 4, 7), (3, 1, 3), (4, 6, 1)])
+@pytest.mark.parametrize("seed,chunk_bits,width", [(1, 16, 86_400), (2, 4, 7), (3, 1, [3, 12]), (4, 6, [1, 5, 10])])
 @pytest.mark.parametrize("stamps", [False, True])
 def test_ties_against_brute_force(spark, seed, chunk_bits, width, stamps):
     pdf = tie_table(seed)
@@ -91,7 +92,7 @@ def test_ties_against_brute_force(spark, seed, chunk_bits, width, stamps):
     df = spark.createDataFrame(pdf)
     if stamps:
         df = df.withColumns({c: F.timestamp_seconds(F.col(c) + 1_700_000_000) for c in df.columns if c.endswith("_ts")})
-        width *= 1_000_000
+        width = [w * 1_000_000 for w in ([width] if isinstance(width, int) else width)]
     out = add_active(df, keys=["partition"], remaining=REMAINING, width=width)
     out = add_queued(out, keys=["partition"], tie_break=["job_id"], chunk_bits=chunk_bits, width=width)
     got = out.orderBy("job_id").select(*expected.columns).toPandas()
@@ -134,3 +135,17 @@ def test_rolling_count_against_range_window(spark):
     )
     got = add_rolling_count(df, ["user_id"], "submit_ts", "recent").orderBy("job_id").select("job_id", "recent")
     pd.testing.assert_frame_equal(got.toPandas(), expected, check_dtype=False)
+
+
+def test_asof_with_ties_and_several_widths(spark):
+    rnd = random.Random(8)
+    left = pd.DataFrame([(i, rnd.randrange(2), rnd.randrange(-50, 50)) for i in range(300)], columns=["id", "k", "t"])
+    right = pd.DataFrame([(i, rnd.randrange(2), rnd.randrange(-40, 60)) for i in range(60)], columns=["rid", "k", "t"])
+    expected = duckdb.sql(
+        """SELECT l.id, r.rid FROM left l ASOF LEFT JOIN (SELECT k, t, max(rid) AS rid FROM right GROUP BY ALL) r
+           ON l.k = r.k AND l.t >= r.t ORDER BY l.id""".replace("FROM left", 'FROM "left"').replace("FROM right", 'FROM "right"')
+    ).df()
+    for width in (7, [2, 10], [3, 6, 30]):
+        got = asof_join(spark.createDataFrame(left), spark.createDataFrame(right), ["k"], "t", "t", {"rid": "rid"},
+                        tie_break=["rid"], width=width).orderBy("id").select("id", "rid")
+        pd.testing.assert_frame_equal(got.toPandas(), expected, check_dtype=False)
