@@ -45,7 +45,7 @@ def work_dir(spark: SparkSession) -> str:
     because a folder on one machine is lost with that machine.
     """
     context = spark.sparkContext
-    folder = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if folder:
         return folder
     if not context.master.startswith("local"):

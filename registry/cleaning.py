@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from queuescope.functions import cleaning, resources
 from queuescope.functions.scalars import edge_bin, name_part
+from queuescope.operators.running import row_numbers
 from queuescope.plans.prep import sample_fraction
 from queuescope.sources.datasets import jobs_from, select_queues
 from registry.tables import CTE_JOBS, CTE_RAW, ENTRY_SQL, clean_jobs, raw_jobs, table
@@ -79,6 +80,12 @@ def c4_not_null(spark, sf_dir):
     return timeless(cleaning.parse_input(raw_jobs(spark, sf_dir)))
 
 
+def c5_submit_order(spark, sf_dir):
+    """The submit order as a column: a sorted frame has no lasting order, a row number has."""
+    jobs = cleaning.parse_input(raw_jobs(spark, sf_dir)).select("job_id", "submit_ts")
+    return row_numbers(jobs, [], ["submit_ts", "job_id"], "place").select("job_id", "place")
+
+
 def c6_state(spark, sf_dir):
     return cleaning.handle_cancellations(cleaning.select_renamed(raw_jobs(spark, sf_dir))).select("job_id", "state")
 
@@ -157,7 +164,7 @@ QUERIES = {
     f.__name__: f
     for f in [
         s1_scan, s2_queue_scan, s3_sample, s4_level, c0_preprocess, c1_project, c2_distinct, c3_known_queues,
-        c4_not_null, c6_state, c7_calendar, c8_timelimit, c12_fill, c13_min_wait, r1_entries, r6_keys, r7_unpack,
+        c4_not_null, c5_submit_order, c6_state, c7_calendar, c8_timelimit, c12_fill, c13_min_wait, r1_entries, r6_keys, r7_unpack,
         r7_pivot, f_scalars,
     ]
 } | {
@@ -190,6 +197,8 @@ SQL = {
     "c2_distinct": f"{CTE_RAW} SELECT DISTINCT * FROM (SELECT * FROM ({RENAMED_SQL}) UNION ALL ({RENAMED_SQL}))",
     "c3_known_queues": f"{CTE_RAW} SELECT * FROM ({RENAMED_SQL}) WHERE {QUEUES_SQL}",
     "c4_not_null": f"{CTE_RAW} SELECT DISTINCT * FROM ({RENAMED_SQL}) WHERE {QUEUES_SQL} AND {COMPLETE_SQL}",
+    "c5_submit_order": f"""{CTE_RAW} SELECT job_id, row_number() OVER (ORDER BY submit_s, job_id) - 1 AS place
+        FROM (SELECT DISTINCT * FROM ({RENAMED_SQL}) WHERE {QUEUES_SQL} AND {COMPLETE_SQL})""",
     "c6_state": f"""{CTE_RAW} SELECT "JobIDRaw" AS job_id,
         CASE WHEN "State" LIKE 'CANC%' THEN 'CANCELLED' ELSE "State" END AS state FROM raw""",
     "c7_calendar": f"""{CTE_RAW} SELECT "JobIDRaw" AS job_id, strftime("Start", '%Y-%m') AS year_month,

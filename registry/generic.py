@@ -161,6 +161,11 @@ def w4_avg_rank(spark, sf_dir):
     return average_ranks(lines, ["l_returnflag"], "l_quantity")
 
 
+def o1_sort(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders").select("o_orderpriority", "o_orderdate", "o_orderkey", "o_totalprice")
+    return orders.orderBy("o_orderpriority", "o_orderdate", "o_orderkey")
+
+
 def o2_sort(spark, sf_dir):
     counts = table(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.count(F.lit(1)).alias("n"))
     order = ["n", "c_nationkey"]
@@ -228,7 +233,7 @@ QUERIES = {
     for f in [
         p1_running_total, p1_sorted_total, p2_row_number, p2_row_number_by_key, j1_inner, j2_left, j3_asof,
         j3_asof_global, a1_first, a2_pivot, a3_pivot_fill, a4_distinct, a5_quantiles, a6_null_counts, a7_value_counts,
-        a8_aggregates, w3_share, w4_avg_rank, o2_sort, o4_topk, u1_union, u2_diagonal, u3_columns, t1_unpivot,
+        a8_aggregates, w3_share, w4_avg_rank, o1_sort, o2_sort, o4_topk, u1_union, u2_diagonal, u3_columns, t1_unpivot,
         t3_prefix, t4_drop_null_columns, t5_combinations,
     ]
 }
@@ -283,6 +288,8 @@ SQL = {
           ORDER BY l_quantity) AS r FROM lineitem)
         SELECT l_returnflag, l_quantity, count(*) AS n_tied, min(r) + (count(*) - 1) / 2.0::DOUBLE AS avg_rank
         FROM ranked GROUP BY l_returnflag, l_quantity""",
+    "o1_sort": """SELECT o_orderpriority, o_orderdate, o_orderkey, o_totalprice FROM orders
+        ORDER BY o_orderpriority, o_orderdate, o_orderkey""",
     "o2_sort": "SELECT c_nationkey, count(*) AS n FROM customer GROUP BY c_nationkey ORDER BY n DESC, c_nationkey DESC",
     "o4_topk": "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 25",
     "u1_union": """SELECT c_custkey AS id, c_name AS name FROM customer UNION ALL
