@@ -46,10 +46,6 @@ def quoted(name: str) -> str:
     return f"`{name}`"
 
 
-def prefixed(prefix: str, quoted_name: str) -> str:
-    return quoted(prefix + quoted_name.strip("`"))
-
-
 def default_widths(df: DataFrame, name: str) -> list[int]:
     """Bucket widths for times of any resolution: ten seconds within days (seconds within days for numbers)."""
     if is_time(df, name):
@@ -95,13 +91,8 @@ def scan_points(
     width, *wider = [width] if isinstance(width, int) else list(width)
     bucket = f"_cut_{pos}"
     cut = points.withColumn(bucket, bucket_of(pos, width))
-    key_list = [quoted(k) for k in keys]
-    key_sql = ", ".join([*key_list, quoted(bucket)])
-    inside = f"OVER (PARTITION BY {key_sql} ORDER BY {quoted(pos)} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
-    per_key = f"PARTITION BY {', '.join(key_list)} " if key_list else ""
-    before = f"OVER ({per_key}ORDER BY {quoted(bucket)} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
-    sums = [quoted(c) for c in sums]
-    lasts = [quoted(c) for c in lasts]
+    sums, lasts = [quoted(c) for c in sums], [quoted(c) for c in lasts]
+    place = [*[quoted(k) for k in keys], quoted(bucket)]
 
     ends = cut.groupBy(*keys, bucket).agg(
         *[F.expr(f"sum({c}) AS {c}") for c in sums],
@@ -110,24 +101,27 @@ def scan_points(
     if wider:
         offsets = _totals_before(ends, keys, bucket, sums, lasts, [w // width for w in wider])
     else:
+        per_key = f"PARTITION BY {', '.join(place[:-1])} " if keys else ""
+        before = f"OVER ({per_key}ORDER BY {place[-1]} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
         offsets = ends.selectExpr(
-            *key_list,
-            quoted(bucket),
-            *[f"sum({c}) {before} AS {prefixed('_off_', c)}" for c in sums],
-            *[f"last({c}, true) {before} AS {prefixed('_off_', c)}" for c in lasts],
+            *place,
+            *[f"sum({c}) {before} AS {c}" for c in sums],
+            *[f"last({c}, true) {before} AS {c}" for c in lasts],
         )
-    within = cut.selectExpr(
-        *key_list,
-        quoted(bucket),
-        quoted(pos),
-        *[f"sum({c}) {inside} AS {c}" for c in sums],
-        *[f"last({c}, true) {inside} AS {c}" for c in lasts],
-    )
-    return join_matching(within, offsets, [*keys, bucket]).selectExpr(
-        *key_list,
-        quoted(pos),
-        *[f"coalesce({c}, 0) + coalesce({prefixed('_off_', c)}, 0) AS {c}" for c in sums],
-        *[f"coalesce({c}, {prefixed('_off_', c)}) AS {c}" for c in lasts],
+    # The offset enters the bucket as its first row, so bucket and offset meet without a join.
+    first = offsets.selectExpr(*place, f"CAST(NULL AS BIGINT) AS {quoted(pos)}", *sums, *lasts)
+    inside = f"""OVER (PARTITION BY {', '.join(place)} ORDER BY {quoted(pos)} NULLS FIRST
+        ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"""
+    return (
+        cut.selectExpr(*place, quoted(pos), *sums, *lasts)
+        .unionByName(first)
+        .selectExpr(
+            *place[:-1],
+            quoted(pos),
+            *[f"coalesce(sum({c}) {inside}, 0) AS {c}" for c in sums],
+            *[f"last({c}, true) {inside} AS {c}" for c in lasts],
+        )
+        .where(f"{quoted(pos)} IS NOT NULL")
     )
 
 
@@ -143,8 +137,7 @@ def _totals_before(
         *[F.expr(f"any_value({c}) FILTER (WHERE {c} IS NOT NULL) AS {c}") for c in lasts],
     )
     names = [c.strip("`") for c in values]
-    found = scan_points(points, keys, bucket, names[: len(sums)], names[len(sums) :], width=widths)
-    return found.withColumnsRenamed({c: f"_off_{c}" for c in names})
+    return scan_points(points, keys, bucket, names[: len(sums)], names[len(sums) :], width=widths)
 
 
 def running_total(

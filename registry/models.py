@@ -92,7 +92,7 @@ def _trained(spark, sf_dir):
     """Result tables of two queues and two feature sets, trained once per session and scale; returns their folder."""
     jobs = feature_jobs(spark, sf_dir)
     queues = ["small-g", "standard"]
-    key = (work_dir(spark), sf_dir)
+    key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _results:
         path = f"{work_dir(spark)}/results-{uuid.uuid4().hex}"
         plan = {q: {"models": ["rf"], "feature_sets": ["baseline", "minimal"]} for q in queues}

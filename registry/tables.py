@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from queuescope.functions.cleaning import preprocess
 from queuescope.plans.features import add_features
-from queuescope.session import configure, materialize, work_dir
+from queuescope.session import configure, materialize
 
 _written: dict[tuple[str, str], DataFrame] = {}
 
@@ -56,7 +56,7 @@ FROM (SELECT event_id, user_id, event_type, date_trunc('second', ts) AS sub,
 
 def raw_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw job records as a Parquet table, derived from all of ``events`` once per session and scale."""
-    key = (work_dir(spark), sf_dir)
+    key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _written:
         events = table(spark, sf_dir, "events").repartition(spark.sparkContext.defaultParallelism)
         _written[key] = materialize(spark.sql(_SPARK_RAW, events=events))
@@ -114,7 +114,7 @@ def clean_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def feature_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Feature table of all queues, written once per session and scale for the model queries."""
-    key = (work_dir(spark), sf_dir + "#features")
+    key = (spark.sparkContext.applicationId, sf_dir + "#features")
     if key not in _written:
         _written[key] = materialize(add_features(clean_jobs(spark, sf_dir)))
     return _written[key]
