@@ -7,11 +7,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from queuescope.llm import simhash, toxicity
+from queuescope.llm import bpe, mixing, quality_rules, simhash, toxicity
 from queuescope.llm.common import configure, table
 from queuescope.session import work_dir
 
 
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the risk-controlled quality rules keep."""
+    configure(spark)
+    return quality_rules.accepted(docs, table(spark, sf_dir, "labels"))
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the compression classifier does not call toxic."""
     configure(spark)
@@ -24,9 +30,24 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return simhash.one_of_each(docs)
 
 
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix of the sources: texts hold the words taken of them, twice where they are taken twice."""
+    configure(spark)
+    return mixing.mixed(docs)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens and token ids of every text of the mix."""
+    configure(spark)
+    return bpe.encode(docs)
+
+
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality rules", keep_quality),
     ("toxicity", drop_toxic),
     ("near copies", drop_near_copies),
+    ("source mix", mix_sources),
+    ("token ids", encode),
 ]
 
 

@@ -210,30 +210,39 @@ def _kept(cutoffs: str) -> Column:
     return ~base_failed() & ~rejected
 
 
+def _judged(docs: DataFrame, labels: DataFrame, *unused: str) -> DataFrame:
+    """``docs`` without ``unused``, its measures, and the cutoffs of each row's stratum.
+
+    The measures are worked out once and written: a filter on them would else be pushed below and repeat them all.
+    """
+    measures = materialize(measured(docs.withColumn("_rule_stratum", _stratum(docs))).drop(*unused))
+    plain = measures.select("doc_id", F.col("_rule_stratum").alias("stratum"), *_measure_columns(measures))
+    cutoffs = materialize(certified_cutoffs(plain, labels)).withColumnsRenamed(
+        {"stratum": "_rule_of", "cutoffs": "_rule_cutoffs"}
+    )
+    return measures.join(cutoffs, F.col("_rule_stratum") == F.col("_rule_of"), "left")
+
+
+def _measure_columns(df: DataFrame) -> list[str]:
+    return [c for c in df.columns if c.startswith("_rule_") and c != "_rule_stratum"]
+
+
 def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """One row per document row: doc_id, the base measures, base_failed, kept.
 
     Null texts count as empty and fail the base rule. Only doc_id, text and the stratum column are read. Repeated rows are
     judged like any other; rows without a doc_id never count as labelled.
     """
-    columns = ["doc_id", _stratum(docs).alias("stratum"), F.col("text")]
-    measures = materialize(measured(docs.select(*columns)).drop("text"))
-    cutoffs = materialize(certified_cutoffs(measures, labels))
-    judged = measures.join(cutoffs.withColumnRenamed("stratum", "_stratum"), F.col("stratum") == F.col("_stratum"), "left")
+    stratum = [STRATUM] if STRATUM in docs.columns else []
+    judged = _judged(docs.select("doc_id", "text", *stratum), labels, "text")
     return judged.select(
         "doc_id",
         *[F.col(f"_rule_{m}").alias(m) for m in MEASURES],
         base_failed().alias("base_failed"),
-        _kept("cutoffs").alias("kept"),
+        _kept("_rule_cutoffs").alias("kept"),
     )
 
 
 def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents the rules keep, with the columns they came with."""
-    slim = docs.select("doc_id", _stratum(docs).alias("stratum"), "text")
-    measures = materialize(measured(slim).drop("text"))
-    cutoffs = materialize(certified_cutoffs(measures, labels)).select(
-        F.col("stratum").alias("_rule_stratum"), F.col("cutoffs").alias("_rule_cutoffs")
-    )
-    judged = measured(docs).join(cutoffs, _stratum(docs) == F.col("_rule_stratum"), "left")
-    return judged.where(_kept("_rule_cutoffs")).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return _judged(docs, labels).where(_kept("_rule_cutoffs")).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from queuescope.llm import bpe, mixing, quality, quality_rules, simhash, topk, toxicity
+from queuescope.llm import bpe, html_text, lattice, mixing, quality, quality_rules, simhash, topk, toxicity, warc
 from queuescope.llm.common import table
 
 
@@ -28,10 +28,22 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.main_text(table(spark, sf_dir, "pages"))
+
+
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice.score(table(spark, sf_dir, "documents"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -42,7 +54,10 @@ QUERIES = {
     "op3_simhash": op3_simhash,
     "op4_bpe": op4_bpe,
     "op5_quality_rules": op5_quality_rules,
+    "op6_html_text": op6_html_text,
+    "op7_warc": op7_warc,
     "op8_quality": op8_quality,
+    "op9_lattice": op9_lattice,
     "op10_mixing": op10_mixing,
 }
 SQL: dict[str, str] = {
