@@ -35,7 +35,7 @@ def logistic_fit(x: np.ndarray, y: np.ndarray, share: float, ridge: float = 1e-3
 
 
 def sigmoid(z: float) -> float:
-    return 1 / (1 + math.exp(-min(max(z, -30.0), 30.0)))
+    return 1 / (1 + math.exp(-min(max(z, -600.0), 600.0)))
 
 
 # ------------------------------------------------------------------------------------------------------- word windows
@@ -233,12 +233,13 @@ def cut(text: str, window: int) -> list[bytes]:
 
 
 def size_features(compressors: tuple, text: str, window: int) -> np.ndarray:
-    """Normalised size difference of the whole text, the lowest and highest of its windows, and its length."""
+    """Normalised size difference of the whole text, summed over its windows, and the logarithm of its length."""
     good, bad = compressors
-    sizes = np.array([(len(good(w)), len(bad(w)), len(w)) for w in cut(text, window)] or [(0, 0, 0)], dtype=float)
-    each = (sizes[:, 1] - sizes[:, 0]) / (sizes[:, 2] + 16)
-    total = (sizes[:, 1].sum() - sizes[:, 0].sum()) / (sizes[:, 2].sum() + 16)
-    return np.array([10 * total, 10 * each.min(), 10 * each.max(), math.log1p(sizes[:, 2].sum()) / 10])
+    saved = size = 0
+    for w in cut(text, window):
+        saved += len(bad(w)) - len(good(w))
+        size += len(w)
+    return np.array([10 * saved / (size + 16), math.log1p(size) / 10])
 
 
 def _dictionary(texts: Sequence[str], others: Sequence[str], window: int, size: int) -> bytes:
@@ -256,7 +257,7 @@ def _dictionary(texts: Sequence[str], others: Sequence[str], window: int, size:
         return b"".join(parts)[-max(size, 256):]
 
 
-def train_sizes(sample: Sequence[tuple[int, str]], window: int = 512, size: int = 48_000) -> SizeModel | None:
+def train_sizes(sample: Sequence[tuple[int, str]], window: int = 256, size: int = 48_000) -> SizeModel | None:
     """Model of label 1 (good) against 0 (bad), or None if a class is missing; calibrated on unseen halves."""
     seen: dict[str, int] = {}
     for label, text in sample:
@@ -272,6 +273,6 @@ def train_sizes(sample: Sequence[tuple[int, str]], window: int = 512, size: int
         for label, group in ((1, good[1 - half :: 2]), (0, bad[1 - half :: 2])):
             rows += [size_features(pair, t, window) for t in group]
             truth += [label] * len(group)
-    beta = logistic_fit(np.array(rows), np.array(truth), 0.5)
+    beta = logistic_fit(np.array(rows), np.array(truth), 0.5, ridge=0.1)
     dictionaries = _dictionary(good, bad, window, size), _dictionary(bad, good, window, size)
     return SizeModel(*dictionaries, window, tuple(beta))
