@@ -56,17 +56,18 @@ def parse_input(
     names: Mapping[str, str] = COLUMN_NAMES,
     required: Sequence[str] = REQUIRED,
     queues: Sequence[str] = QUEUES,
+    distinct: bool = True,
 ) -> DataFrame:
     """Project and rename, keep known queues and complete rows, drop exact duplicates.
 
     The filters come first so that they reach the scan and shrink the shuffle of the distinct.
     """
-    return (
+    rows = (
         select_renamed(df, names)
         .where(F.col("partition").isin(*queues))
         .na.drop(subset=[names.get(c, c) for c in required])
-        .dropDuplicates()
     )
+    return rows.dropDuplicates() if distinct else rows
 
 
 def handle_cancellations(df: DataFrame) -> DataFrame:
@@ -111,11 +112,22 @@ def fill_empty_allocations(df: DataFrame, value: float = 1, prefix: str = "alloc
 def preprocess(
     df: DataFrame,
     *,
-    resource_keys: Sequence[str] | None = resources.DECLARED_KEYS,
+    resource_keys: Sequence[str] | None = None,
     queues: Sequence[str] = QUEUES,
     strict: bool = True,
+    ignore_other_keys: bool = False,
 ) -> DataFrame:
-    """All cleaning steps. ``resource_keys=None`` looks the keys up in the data, at the price of one more job."""
+    """All cleaning steps. One job looks up the resource keys of the rows that stay; each gets a column.
+
+    Given ``resource_keys``, that job checks that no other key occurs; ``ignore_other_keys`` leaves it out, and the columns
+    of any other key with it.
+    """
+    if not (resource_keys and ignore_other_keys):
+        staying = add_target(parse_input(df, queues=queues, distinct=False))
+        if resource_keys is None:
+            resource_keys = resources.all_keys(staying)
+        else:
+            resources.check_keys(staying, resource_keys)
     return (
         df.transform(parse_input, queues=queues)
         .transform(handle_cancellations)

@@ -7,10 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Keys expected in the data, and the keys that are used up rather than held.
+# Keys that always get a column, and the keys that are used up rather than held.
 DECLARED_KEYS = ["billing", "cpu", "energy", "gpu", "mem", "node"]
 CONSUMED = ["energy", "billing"]
-MAX_DISCOVERED_KEYS = 500
 
 
 def to_number(text: Column, strict: bool = True) -> Column:
@@ -32,24 +31,26 @@ def column_name(key: str) -> str:
 def unpack(
     df: DataFrame,
     column: str = "allocated_resources",
-    keys: Sequence[str] | None = DECLARED_KEYS,
+    keys: Sequence[str] | None = None,
     strict: bool = True,
 ) -> DataFrame:
     """Replace the string column by one column per key: the first value of the key, null if there is none.
 
-    Works inside the row with plain string search: no explode, no shuffle, no join. ``gpu`` stands for any ``gres...``
-    key. The steps are separate projections, so that each piece of text is cut out once.
+    Without ``keys`` all keys of the data are used (one job looks them up), next to the declared ones. Works inside the row
+    with plain string search: no explode, no shuffle, no join. ``gpu`` stands for any ``gres...`` key; an entry without
+    ``=`` has no value. The steps are separate projections, so that each piece of text is cut out once.
     """
-    keys = discover_keys(df, column) if keys is None else keys
-    text = f"concat(',', `{column}`, ',')"
-    found, entry, value = {}, {}, {}
-    for k in keys:
-        needles = [",gres", ",gpu="] if k == "gpu" else [f",{k}="]
-        places = [f"nullif(instr({text}, '{n}'), 0)" for n in needles]
-        found[f"_at_{k}"] = F.expr(places[0] if len(places) == 1 else f"least({', '.join(places)})")
-        entry[f"_entry_{k}"] = F.expr(f"substring_index(substr(`{column}`, `_at_{k}`), ',', 1)")
-        value[f"_text_{k}"] = F.expr(f"nullif(substr(`_entry_{k}`, instr(`_entry_{k}`, '=') + 1), '')")
-    numbers = {column_name(k): to_number(F.col(f"_text_{k}"), strict) for k in keys}
+    keys = all_keys(df, column) if keys is None else keys
+    text = F.concat(F.lit(","), F.col(column), F.lit(","))
+    found, entry, value, numbers = {}, {}, {}, {}
+    for i, k in enumerate(keys):
+        starts = [",gres", ",gpu=", ",gpu,"] if k == "gpu" else [f",{k}=", f",{k},"]
+        places = [F.nullif(F.instr(text, F.lit(s)), F.lit(0)) for s in starts]
+        found[f"_at_{i}"] = F.least(*places)
+        entry[f"_entry_{i}"] = F.substring_index(F.substr(F.col(column), F.col(f"_at_{i}")), ",", 1)
+        sign = F.instr(F.col(f"_entry_{i}"), F.lit("="))
+        value[f"_text_{i}"] = F.when(sign > 0, F.nullif(F.substr(F.col(f"_entry_{i}"), sign + 1), F.lit("")))
+        numbers[column_name(k)] = to_number(F.col(f"_text_{i}"), strict)
     return (
         df.withColumns(found).withColumns(entry).withColumns(value).withColumns(numbers)
     ).drop(column, *found, *entry, *value)
@@ -80,15 +81,30 @@ def keys_in(df: DataFrame, column: str = "allocated_resources") -> DataFrame:
 
 
 def discover_keys(df: DataFrame, column: str = "allocated_resources") -> list[str]:
-    found = [r[0] for r in keys_in(df, column).limit(MAX_DISCOVERED_KEYS + 1).collect()]
-    if len(found) > MAX_DISCOVERED_KEYS:
-        raise ValueError(f"more than {MAX_DISCOVERED_KEYS} resource keys; pass the keys to unpack")
-    return sorted(found)
+    """All keys of the data, however many. They become columns, so their number is that of the result's columns."""
+    return sorted(r[0] for r in keys_in(df, column).collect())
+
+
+def all_keys(df: DataFrame, column: str = "allocated_resources") -> list[str]:
+    """The declared keys, which always have a column, and all others the data hold."""
+    return sorted({*DECLARED_KEYS, *discover_keys(df, column)})
+
+
+def check_keys(df: DataFrame, keys: Sequence[str], column: str = "allocated_resources") -> None:
+    """Raise if the data hold a key that is not in ``keys``, so that none is lost unnoticed."""
+    missing = set(discover_keys(df, column)).difference(keys)
+    if missing:
+        raise ValueError(f"resource keys without a column: {', '.join(sorted(missing))}")
 
 
 def pivot_entries(
-    long: DataFrame, row_keys: Sequence[str], keys: Sequence[str] | None = DECLARED_KEYS
+    long: DataFrame, row_keys: Sequence[str], keys: Sequence[str] | None = None
 ) -> DataFrame:
-    """Long form back to one row per ``row_keys``: the first value of each key, null if absent."""
-    pivoted = long.groupBy(*row_keys).pivot("key", list(keys) if keys else None)
+    """Long form back to one row per ``row_keys``: the first value of each key, null if absent.
+
+    Without ``keys`` the declared ones and all others of the data become columns.
+    """
+    if keys is None:
+        keys = sorted({*DECLARED_KEYS, *(r[0] for r in long.select("key").distinct().collect())})
+    pivoted = long.groupBy(*row_keys).pivot("key", list(keys))
     return pivoted.agg(F.min_by("value", "place"))

@@ -33,7 +33,7 @@ from queuescope.operators.running import (
     ticks_per_second,
 )
 
-CHUNK_BITS = 16
+CHUNK_BITS = 10
 
 # Send the chunk solver along with the job, so that executors need not have this package installed.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -93,13 +93,9 @@ def add_queued(
         }
     )
     last_rank = df.agg(F.max(rank)).first()[0] or 0
-    last_chunk = last_rank >> chunk_bits
-    if last_chunk:
-        earlier = _earlier_chunks(placed, keys, outputs, last_chunk, width)
-        placed = join_matching(placed, earlier, [*keys, "_chunk", "_at"], "left")
-        placed = placed.withColumns({o: F.expr(f"coalesce({quoted(o)}, 0D)") for o in outputs.values()})
-    else:
-        placed = placed.withColumns({o: F.lit(0.0) for o in outputs.values()})
+    earlier = _earlier_chunks(placed, keys, outputs, last_rank >> chunk_bits, width)
+    placed = join_matching(placed, earlier, [*keys, "_chunk", "_at"], "left")
+    placed = placed.withColumns({o: F.expr(f"coalesce({quoted(o)}, 0D)") for o in outputs.values()})
 
     schema = T.StructType([T.StructField(f.name, f.dataType) for f in placed.schema])
     solve = _chunk_solver(list(outputs), list(outputs.values()))
@@ -114,7 +110,7 @@ def _earlier_chunks(
     """Waiting totals of all earlier chunks per (keys, chunk, moment asked for)."""
     key_list = [quoted(k) for k in keys]
     values = [f"_r_{r}" for r in outputs]
-    levels = last_chunk.bit_length() - 1
+    levels = max(last_chunk.bit_length() - 1, 0)
     blocks = placed.selectExpr(
         *key_list, "_at", "_until", "_chunk", *[quoted(v) for v in values], f"explode(sequence(0, {levels})) AS _level"
     ).withColumn("_block", F.expr("shiftright(_chunk, _level)"))

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from queuescope.operators.running import join_matching
+from queuescope.session import materialize
 
 # Widening order of numeric types.
 _NUMERIC = [T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType]
@@ -95,7 +96,7 @@ def without_null_columns(df: DataFrame) -> DataFrame:
 def with_group_values(df: DataFrame, keys: Sequence[str], aggregates: Mapping[str, Column]) -> DataFrame:
     """Add aggregates of each row's group to the row. Without keys the one result row becomes constants."""
     grouped = df.groupBy(*keys).agg(*[a.alias(name) for name, a in aggregates.items()])
-    if keys:
-        return join_matching(df, grouped, keys)
+    if keys:  # written, so that Spark knows its size and need not shuffle all rows for a handful of groups
+        return join_matching(df, materialize(grouped), keys)
     row = grouped.first()
     return df.withColumns({name: F.lit(row[name]).cast(grouped.schema[name].dataType) for name in aggregates})

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from queuescope.session import materialize, pin_if_small
+from queuescope.session import materialize
 
 DAY_SECONDS = 86_400
 FINE_SECONDS = 10
@@ -59,15 +59,12 @@ def bucket_of(pos: str, width: int) -> Column:
 
 
 def join_matching(
-    left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner", broadcast: bool = False
+    left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner"
 ) -> DataFrame:
-    """Equi join on ``keys`` where null equals null; keeps the key columns of ``left`` only.
-
-    Set ``broadcast`` only for a right side whose size has been checked.
-    """
+    """Equi join on ``keys`` where null equals null; keeps the key columns of ``left`` only."""
     renamed = right.withColumnsRenamed({k: f"_right_{k}" for k in keys})
     condition = F.expr(" AND ".join(f"{quoted(k)} <=> {quoted(f'_right_{k}')}" for k in keys))
-    joined = left.join(F.broadcast(renamed) if broadcast else renamed, condition, how)
+    joined = left.join(renamed, condition, how)
     return joined.drop(*[f"_right_{k}" for k in keys])
 
 
@@ -242,8 +239,8 @@ def row_numbers(
         (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_shift"),
         *([F.sum("_n").over(per_key).alias(count)] if count else []),
     )
-    shifts, small = pin_if_small(shifts)
-    numbered = join_matching(table, shifts, [*keys, "_range"], broadcast=small)
+    # Written, so that Spark knows its size: a small one is broadcast, a large one shuffled.
+    numbered = join_matching(table, materialize(shifts), [*keys, "_range"])
     return numbered.withColumn(out, F.col("_row") + F.col("_shift")).drop("_row", "_range", "_shift")
 
 
@@ -272,22 +269,26 @@ def sorted_totals(
         *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"_off_{o}") for o, c in values.items()],
         *[F.sum(c).over(per_key).alias(o) for o, c in totals.items()],
     )
-    shifts, small = pin_if_small(shifts)
     totalled = table.withColumns({o: F.sum(c).over(inside) for o, c in values.items()})
-    merged = join_matching(totalled, shifts, [*keys, "_range"], broadcast=small)
+    merged = join_matching(totalled, materialize(shifts), [*keys, "_range"])
     return merged.withColumns({o: F.col(o) + F.col(f"_off_{o}") for o in values}).drop(
         "_row", "_range", *[f"_off_{o}" for o in values]
     )
 
 
 def value_counts(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    """Histogram of ``value`` per key; one row per distinct value, so ties no longer matter for skew."""
-    return df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
+    """Histogram of ``value`` per key, nulls included; one row per distinct value, so ties no longer matter for skew."""
+    return df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
+
+
+def _known_counts(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """Ranks and quantiles are those of the known values."""
+    return value_counts(df.where(F.col(value).isNotNull()), keys, value)
 
 
 def average_ranks(df: DataFrame, keys: Sequence[str], value: str, out: str = "avg_rank") -> DataFrame:
     """One row per (keys, value) with the 1-based rank its rows share (ties get their mean) and their number."""
-    counts = sorted_totals(value_counts(df, keys, value), keys, [value], {"_upto": "_n"})
+    counts = sorted_totals(_known_counts(df, keys, value), keys, [value], {"_upto": "_n"})
     return counts.select(
         *keys,
         value,
@@ -302,7 +303,7 @@ def exact_quantiles(
     """Exact quantiles per key, one column per entry of ``probs``; ``nearest`` or ``linear`` interpolation."""
     keys = list(keys)
     counts = sorted_totals(
-        value_counts(df, keys, value), keys, [value], {"_upto": "_n"}, totals={"_total": "_n"}
+        _known_counts(df, keys, value), keys, [value], {"_upto": "_n"}, totals={"_total": "_n"}
     )
     return _pick_quantiles(counts, keys, value, probs, method)
 
@@ -317,7 +318,7 @@ def histogram_quantiles(
     keys = list(keys)
     per_key = W.partitionBy(*keys)
     upto = per_key.orderBy(value).rowsBetween(W.unboundedPreceding, 0)
-    counts = value_counts(df, keys, value).withColumns(
+    counts = _known_counts(df, keys, value).withColumns(
         {"_upto": F.sum("_n").over(upto), "_total": F.sum("_n").over(per_key)}
     )
     return _pick_quantiles(counts, keys, value, probs, method)

@@ -7,10 +7,10 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from queuescope.operators.dominance import add_queue_rank, add_queued
+from queuescope.operators.dominance import CHUNK_BITS, add_queue_rank, add_queued
 from queuescope.operators.intervals import REMAINING, add_active, add_rolling_count
 from queuescope.operators.running import histogram_quantiles, join_matching
-from queuescope.session import pin_if_small
+from queuescope.session import materialize
 
 # Queues that hand out whole nodes; job size is counted in nodes there, in CPUs elsewhere.
 NODE_QUEUES = ["standard", "standard-g"]
@@ -31,9 +31,8 @@ def add_size_flags(df: DataFrame, size: str | Column, keys: Sequence[str] = ("pa
     edges = histogram_quantiles(sized, keys, "_size", {"_q50": 0.5, "_q80": 0.8}, "nearest")
     value, q50, q80 = F.col("_size"), F.col("_q50"), F.col("_q80")
     flags = [value < q50, value.between(q50, q80), value > q80]
-    edges, small = pin_if_small(edges)  # one row per queue
     return (
-        join_matching(sized, edges, keys, "left", broadcast=small)
+        join_matching(sized, materialize(edges), keys, "left")  # one row per key
         .withColumns({name: flag.cast("tinyint") for name, flag in zip(SIZE_FLAGS, flags)})
         .drop("_size", "_q50", "_q80")
     )
@@ -88,7 +87,7 @@ def add_features(
     queue: str = "partition",
     *,
     tie_break: Sequence[str] = ("job_id",),
-    chunk_bits: int = 16,
+    chunk_bits: int = CHUNK_BITS,
 ) -> DataFrame:
     """All features of cleaned jobs (see ``cleaning.preprocess``), computed per queue.
 

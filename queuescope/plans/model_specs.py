@@ -103,31 +103,11 @@ REGRESSORS = {
         "xgb", BOOSTED, draws=30, lower=1, log_policy="only_target", weights="aggressive", permutation_importance=True
     ),
 }
-TEST_REGRESSORS = {
-    "rf": ModelSpec(
-        "rf", {"n_estimators": [10, 20]}, folds=2, lower=1, upper=1_000_000, log_policy="all_variables",
-        weights="aggressive",
-    ),
-    "xgb": ModelSpec(
-        "xgb", {"n_estimators": [100]}, folds=2, lower=1, upper=1_000_000, log_policy="only_target",
-        weights="aggressive", permutation_importance=True,
-    ),
-}
 CLASSIFIERS = {
     "rf": ModelSpec("rf", FOREST_CLASSES, "classification", draws=50, upper=11),
     "xgb": ModelSpec("xgb", BOOSTED_CLASSES, "classification", draws=50, upper=11, permutation_importance=True),
     "mlp": ModelSpec(
-        "mlp", NETWORK_CLASSES, "classification", draws=30, upper=11, scaling="all_variables",
+        "mlp", NETWORK_CLASSES, "classification", draws=30, upper=11, scaling="all_variables", log_policy="all_variables",
         fold_strategy="timeseries", permutation_importance=True,
     ),
 }
-TEST_CLASSIFIERS = {
-    "rf": ModelSpec("rf", {"n_estimators": IntRange(10, 20)}, "classification", draws=3, upper=11),
-    "xgb": ModelSpec(
-        "xgb", {"n_estimators": IntRange(10, 20)}, "classification", draws=3, upper=11, permutation_importance=True
-    ),
-    "mlp": ModelSpec(
-        "mlp", {"hidden_layer_sizes": [(10,), (15,)], "max_iter": [2000]}, "classification", draws=30, upper=11,
-        scaling="all_variables", fold_strategy="timeseries", permutation_importance=True,
-    ),
-}

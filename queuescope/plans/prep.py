@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from queuescope.functions.scalars import clip, edge_bin
 from queuescope.operators.relational import to_rows, with_group_values
 from queuescope.operators.running import average_ranks, join_matching, row_numbers
+from queuescope.session import materialize
 
 SEED = 49  # fixed value
 
@@ -84,9 +85,23 @@ def sample_fraction(
     """Exactly ``floor(n * fraction)`` rows per key, the same ones every time; taken before cleaning."""
     if fraction >= 1.0:
         return df
-    order = [shuffled(id_column, seed), F.col(id_column), F.xxhash64(*df.columns)]
-    numbered = row_numbers(df, keys, order, "_row_number", count="_count")
-    return numbered.where(F.col("_row_number") < F.floor(F.col("_count") * fraction)).drop("_row_number", "_count")
+    # Only the order is sorted and written; the rows themselves are read once more and compared with their key's last place.
+    order = F.struct(shuffled(id_column, seed).alias("h"), F.col(id_column).alias("id"), F.xxhash64(*df.columns).alias("row"))
+    slim = df.select(*keys, order.alias("_order"))
+    numbered = row_numbers(slim, keys, ["_order"], "_row_number", count="_count")
+    taken = F.col("_row_number") < F.floor(F.col("_count") * fraction)
+    last = materialize(numbered.where(taken).groupBy(*keys).agg(F.max("_order").alias("_last")))
+    beyond = join_matching(numbered, last, keys).where(~taken & (F.col("_order") == F.col("_last")))
+    placed = join_matching(df.withColumn("_order", order), last, keys)
+    if beyond.isEmpty():
+        return placed.where("_order <= _last").drop("_order", "_last")
+    # Copies of a whole row stand on both sides of the cut: of these only as many as fit are taken.
+    fit = join_matching(numbered, last, keys).where(taken & (F.col("_order") == F.col("_last"))).groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("_fit")
+    )
+    copies = row_numbers(placed.where("_order = _last"), keys, ["_order"], "_copy")
+    copies = join_matching(copies, fit, keys).where("_copy < _fit").drop("_copy", "_fit")
+    return placed.where("_order < _last").unionByName(copies).drop("_order", "_last")
 
 
 def add_split(

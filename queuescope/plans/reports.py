@@ -145,8 +145,21 @@ def create_reports(
     tables = {t: df.where(F.col("partition").isin(*queues)) for t, df in tables.items()}
     reports = accuracy_reports(tables["accuracy"])
     reports["cv"] = cv_report(tables["cv_scores"], task)
+    for queue in levels_of(tables["cv_scores"], "partition"):
+        for model in levels_of(tables["cv_scores"].where(F.col("partition") == queue), "model"):
+            reports[f"cv_{queue}_{model}"] = cv_report_of(reports["cv"], queue, model)
     reports["feature_importance"] = importance_report(tables["feature_importance"])
     reports["histogram"] = prediction_histogram(tables["predictions"])
     if task == "regression":
         reports["granular"] = granular_report(tables["predictions"], jobs)
+        for queue in levels_of(tables["predictions"], "partition"):
+            reports[f"held_out_{queue}"] = held_out_errors(spark, path, run_id, jobs, queue)
     return reports
+
+
+def held_out_errors(
+    spark: SparkSession, path: str, run_id: str, jobs: DataFrame, queue: str, y: str = "wait_time_seconds"
+) -> DataFrame:
+    """The held-out jobs of a queue with the prediction and the error of every model and feature set of a run."""
+    predictions = results.read_table(spark, path, "predictions", run_id).where(F.col("partition") == queue)
+    return add_errors(attach_predictions(jobs.where(F.col("partition") == queue), predictions), y)

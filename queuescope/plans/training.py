@@ -54,11 +54,20 @@ def _subset(share: Any) -> str:
     return "all" if share is None else str(share)
 
 
+def _depth(depth: int | None) -> int:
+    """No depth means the deepest tree there is; a larger number than that is refused."""
+    if depth is None:
+        return DEEPEST_TREE
+    if int(depth) > DEEPEST_TREE:
+        raise ValueError(f"max_depth is {DEEPEST_TREE} at most")
+    return int(depth)
+
+
 # How a parameter of the usual Python estimators is called here, per family.
 PARAMETERS = {
     "rf": {
         "n_estimators": ("numTrees", int),
-        "max_depth": ("maxDepth", lambda d: DEEPEST_TREE if d is None else min(int(d), DEEPEST_TREE)),
+        "max_depth": ("maxDepth", _depth),
         "min_samples_leaf": ("minInstancesPerNode", int),
         "criterion": ("impurity", lambda c: "entropy" if c == "log_loss" else c),
         "max_features": ("featureSubsetStrategy", _subset),
@@ -67,7 +76,7 @@ PARAMETERS = {
         "n_estimators": ("maxIter", int),
         "learning_rate": ("stepSize", float),
         "subsample": ("subsamplingRate", float),
-        "max_depth": ("maxDepth", lambda d: min(int(d), DEEPEST_TREE)),
+        "max_depth": ("maxDepth", _depth),
         "gamma": ("minInfoGain", float),
         "min_child_weight": ("minInstancesPerNode", int),
         "colsample_bytree": ("featureSubsetStrategy", _subset),
@@ -86,6 +95,8 @@ def build_estimator(
     values = {**spec.fixed, **params}
     layers = values.pop("hidden_layer_sizes", (10,))
     options = {known[p][0]: known[p][1](v) for p, v in values.items()}
+    if spec.family == "mlp" and "stepSize" in options:
+        options["solver"] = "gd"  # the default solver has no step size
     columns = {"featuresCol": "features", "labelCol": label, "seed": spec.seed}
     if weight and spec.family != "mlp":
         columns["weightCol"] = weight
@@ -211,10 +222,10 @@ def best_of(scores: DataFrame, metric: str, keep: int = 1) -> list[int]:
 def search(
     train: DataFrame, spec: ModelSpec, label: str, features: int, classes: int = 2, weight: str | None = None
 ) -> tuple[dict[str, Any], DataFrame]:
-    """Best parameters and the scores (candidate, params, fold, metric, value) of everything tried.
+    """Best parameters and the scores (round, candidate, params, fold, metric, value) of everything tried.
 
-    Halving scores all candidates on a share of the rows, keeps the best third and triples the rows, until the last
-    round uses all rows.
+    Halving scores all candidates on a share of the rows, keeps the best third (rounded up) and triples the rows, until
+    the last round uses all rows. Other searches have one round, 0.
     """
     spark = train.sparkSession
     tried = dict(enumerate(candidates(spec)))
@@ -226,6 +237,7 @@ def search(
     if spec.search != "halving":
         scores = materialize(score_candidates(train, spec, tried, label, features, classes, weight))
         best = best_of(scores, metric)[0]
+        scores = scores.withColumn("round", F.lit(0))
     else:
         rounds, left = 1, len(tried)
         while left >= 3:
@@ -236,16 +248,20 @@ def search(
             rows = train.where(F.pmod(F.xxhash64("split_row"), F.lit(share)) == 0) if share > 1 else train
             scores = materialize(score_candidates(rows, spec, remaining, label, features, classes, weight))
             parts.append(scores.withColumn("round", F.lit(step)))
-            order = best_of(scores, metric, max(1, len(remaining) // 3) if step < rounds - 1 else 1)
+            order = best_of(scores, metric, -(-len(remaining) // 3) if step < rounds - 1 else 1)
             best, remaining = order[0], {n: remaining[n] for n in order}
         scores = reduce(DataFrame.unionByName, parts)
     return tried[best], scores.join(shown, "candidate")
 
 
 def cv_results(scores: DataFrame, task: str, keys: Sequence[str] = (), folds: int = 5) -> DataFrame:
-    """One row per candidate: scores per fold, their mean and deviation, the rank by mean, and the parameters."""
-    keys = list(keys)
-    spread = scores.groupBy(*keys, "candidate", "params_text").pivot("metric", SCORES[task])
+    """One row per round and candidate: scores per fold, their mean and deviation, the rank by mean, the parameters."""
+    keys = [*keys, "round"] if "round" in scores.columns else list(keys)
+    searched = {}
+    if "params" in scores.columns:  # one column per searched parameter; a search has a handful of them
+        names = scores.select(F.explode(F.map_keys("params")).alias("name")).distinct().collect()
+        searched = {f"param_{r['name']}": F.col("params")[r["name"]] for r in sorted(names)}
+    spread = scores.withColumns(searched).groupBy(*keys, "candidate", "params_text", *searched).pivot("metric", SCORES[task])
     picks = [F.max(F.when(F.col("fold") == f, F.col("value"))).alias(f"split{f}_test") for f in range(folds)]
     wide = spread.agg(F.avg("value").alias("mean_test"), F.stddev_pop("value").alias("std_test"), *picks)
     names = {}
@@ -350,7 +366,7 @@ def predict(
     if task == "classification" and y != "wait_time_bin":
         raise ValueError("classification predicts wait_time_bin")
     rows = rows.withColumns({c: F.col(c).cast("double") for c in [*x, y]})
-    rows = prep.log_transform(rows, spec.log_policy if task == "regression" else "none", [y])
+    rows = prep.log_transform(rows, spec.log_policy, [y] if task == "regression" else [])
     selection = prep.feature_scores(rows, y, x, k)
     chosen = list(x)
     if k is not None and k < len(x):
@@ -424,7 +440,7 @@ def train_models(
                 for table in results.TABLES:
                     rows = getattr(run, table)
                     if table == "cv_scores":
-                        rows = rows.select("candidate", "params", "fold", "metric", "value")
+                        rows = rows.select("round", "candidate", "params", "fold", "metric", "value")
                     rows = rows.select(*[F.lit(v).alias(k) for k, v in keys.items()], "*")
                     results.write_table(export_path, table, rows)
                 if save_models:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -41,14 +42,14 @@ def build_session(app_name: str = "queuescope", master: str | None = None, **con
 def work_dir(spark: SparkSession) -> str:
     """Shared folder for written intermediate tables: the session's ``spark.checkpoint.dir``.
 
-    Only a local session without that setting gets a temporary folder; on a cluster the setting is required,
-    because a folder on one machine is lost with that machine.
+    Only a session in one process (master ``local`` or ``local[...]``) without that setting gets a temporary folder;
+    everywhere else the setting is required, because other machines do not see a folder on this one.
     """
     context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if folder:
         return folder
-    if not context.master.startswith("local"):
+    if not re.fullmatch(r"local(\[[^]]*\])?", context.master):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
     context.setCheckpointDir(tempfile.mkdtemp(prefix="queuescope-"))
     return context.getCheckpointDir()
@@ -62,19 +63,27 @@ def materialize(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{work_dir(spark)}/tables/{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-SMALL_TABLE_ROWS = 50_000
+_written: list[str] = []
 
 
-def pin_if_small(df: DataFrame, limit: int = SMALL_TABLE_ROWS) -> tuple[DataFrame, bool]:
-    """Compute a helper table once if it is small: (table, whether it has at most ``limit`` rows).
+def written_tables() -> int:
+    """A mark for :func:`release_tables`: how many tables have been written so far."""
+    return len(_written)
 
-    A small table becomes a local one, so several users of it do not compute it again, and it may be broadcast because
-    its size has been checked. A larger one is returned as it is and joined by a shuffle.
-    """
-    rows = df.limit(limit + 1).toArrow()
-    if rows.num_rows > limit:
-        return df, False
-    return df.sparkSession.createDataFrame(rows, schema=df.schema), True
+
+def release_tables(spark: SparkSession, since: int = 0) -> None:
+    """Delete the tables written after the mark ``since``. Call it once no result that reads them is needed any more."""
+    jvm = spark.sparkContext._jvm
+    configuration = spark.sparkContext._jsc.hadoopConfiguration()
+    while len(_written) > since:
+        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
+        path.getFileSystem(configuration).delete(path, True)
+
+
+def folder_exists(spark: SparkSession, folder: str) -> bool:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)

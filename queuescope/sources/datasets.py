@@ -7,10 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from queuescope.functions.cleaning import at_least_minutes, preprocess
-from queuescope.functions.resources import DECLARED_KEYS
+from queuescope.functions.cleaning import QUEUES, at_least_minutes, preprocess
 from queuescope.plans.features import add_features
 from queuescope.plans.prep import sample_fraction
+from queuescope.session import folder_exists
 
 # Queues that can be asked for by name.
 SELECTABLE = ["small", "small-g", "standard", "standard-g"]
@@ -19,9 +19,9 @@ LEVELS = ["raw", "preprocess", "with_features"]
 
 def select_queues(raw: DataFrame, queues: str | Sequence[str] = "all") -> DataFrame:
     """All records, or those of one or more queues; the filter is pushed to the Parquet scan."""
-    if queues == "all":
-        return raw
     names = [queues] if isinstance(queues, str) else list(queues)
+    if "all" in names:
+        return raw
     if not set(names) <= set(SELECTABLE):
         raise ValueError(f"queue must be in {SELECTABLE}")
     return raw.where(F.col("Partition") == names[0] if len(names) == 1 else F.col("Partition").isin(*names))
@@ -32,12 +32,15 @@ def jobs_from(
     queues: str | Sequence[str] = "all",
     level: str = "with_features",
     fraction: float = 1.0,
-    resource_keys: Sequence[str] | None = DECLARED_KEYS,
+    resource_keys: Sequence[str] | None = None,
 ) -> DataFrame:
-    """Raw records at the wanted level. A fraction is taken per queue, before cleaning."""
+    """Raw records at the wanted level. A fraction is taken per queue, before cleaning.
+
+    Every resource key of the data becomes a column; ``resource_keys`` fixes the columns, and fails if keys are missing.
+    """
     if level not in LEVELS:
         raise ValueError(f"level must be in {LEVELS}")
-    rows = sample_fraction(select_queues(raw, queues), fraction, [] if queues == "all" else ["Partition"])
+    rows = sample_fraction(select_queues(raw, queues), fraction, [] if "all" in ([queues] if isinstance(queues, str) else queues) else ["Partition"])
     if level == "raw":
         return rows
     clean = preprocess(rows, resource_keys=resource_keys)
@@ -45,9 +48,10 @@ def jobs_from(
 
 
 def get_partition(
-    spark: SparkSession, data_path: str, queue: str = "all", level: str = "with_features", fraction: float = 1.0
+    spark: SparkSession, data_path: str, queue: str = "all", level: str = "with_features", fraction: float = 1.0,
+    resource_keys: Sequence[str] | None = None,
 ) -> DataFrame:
-    return jobs_from(spark.read.parquet(data_path), queue, level, fraction)
+    return jobs_from(spark.read.parquet(data_path), queue, level, fraction, resource_keys)
 
 
 def create_datasets(
@@ -58,18 +62,23 @@ def create_datasets(
     fraction: float = 1.0,
     level: str = "with_features",
     min_wait_minutes: int = 0,
+    resource_keys: Sequence[str] | None = None,
 ) -> list[str]:
-    """Write all queues in one job, one folder per queue, and return the folders.
+    """Write all queues in one job, one folder per queue, and return the folders that exist.
+
+    ``all`` writes every queue of the data. Folders of queues that are written are replaced; those of others stay.
 
     Every queue has the same columns. A resource no job of a queue asks for counts as missing there, so it is filled
     like any other missing allocation.
     """
-    jobs = jobs_from(spark.read.parquet(data_path), list(queues), level, fraction)
+    queues = [queues] if isinstance(queues, str) else list(queues)
+    jobs = jobs_from(spark.read.parquet(data_path), queues, level, fraction, resource_keys)
     column = "Partition" if level == "raw" else "partition"
     if level != "raw":
         jobs = at_least_minutes(jobs, min_wait_minutes)
-    jobs.write.mode("overwrite").partitionBy(column).parquet(export_path)
-    return [f"{export_path}/{column}={q}" for q in queues]
+    jobs.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(column).parquet(export_path)
+    wanted = QUEUES if "all" in queues else queues
+    return [folder for folder in (f"{export_path}/{column}={q}" for q in wanted) if folder_exists(spark, folder)]
 
 
 def read_queue(spark: SparkSession, path: str, queue: str) -> DataFrame:

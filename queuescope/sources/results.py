@@ -1,4 +1,7 @@
-"""Result tables of training runs: appended Parquet tables keyed by run, queue, model and feature set."""
+"""Result tables of training runs: Parquet tables with a folder per run, queue, model and feature set.
+
+Writing the results of the same keys again replaces them, so a run can be repeated.
+"""
 
 from __future__ import annotations
 
@@ -15,12 +18,14 @@ TABLES = ["accuracy", "cv_scores", "feature_importance", "feature_selection", "p
 def write_table(path: str, table: str, df: DataFrame) -> None:
     if table not in TABLES:
         raise ValueError(f"table must be in {TABLES}")
-    df.write.mode("append").partitionBy("run_id").parquet(f"{path}/{table}")
+    writer = df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy(*RUN_KEYS).parquet(f"{path}/{table}")
 
 
 def read_table(spark: SparkSession, path: str, table: str, run_id: str | None = None) -> DataFrame:
     """All results, or those of one run (only its folder is read)."""
-    df = spark.read.parquet(f"{path}/{table}").withColumn("run_id", F.col("run_id").cast("string"))
+    df = spark.read.parquet(f"{path}/{table}")
+    df = df.select(*[F.col(k).cast("string") for k in RUN_KEYS], *[c for c in df.columns if c not in RUN_KEYS])
     return df if run_id is None else df.where(F.col("run_id") == run_id)
 
 
@@ -34,7 +39,7 @@ def write_run(spark: SparkSession, path: str, run_id: str, feature_sets: str, mo
     """Record of a run: its feature sets and model parameters as JSON text."""
     row = [(run_id, feature_sets, model_parameters)]
     runs = spark.createDataFrame(row, "run_id string, feature_sets string, model_parameters string")
-    runs.write.mode("append").json(f"{path}/runs")
+    runs.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id").json(f"{path}/runs")
 
 
 def write_reports(path: str, reports: Mapping[str, DataFrame], form: str = "parquet") -> list[str]:

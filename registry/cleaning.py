@@ -55,7 +55,7 @@ def s3_sample(spark, sf_dir):
 
 
 def s4_level(spark, sf_dir):
-    return timeless(jobs_from(raw_jobs(spark, sf_dir), ["small", "standard"], "preprocess"))
+    return timeless(jobs_from(raw_jobs(spark, sf_dir), ["small", "small-g", "standard", "standard-g"], "preprocess"))
 
 
 def c0_preprocess(spark, sf_dir):
@@ -136,6 +136,15 @@ def r7_pivot(spark, sf_dir):
     return resources.pivot_entries(resources.entries(slim), ["job_id"])
 
 
+def r7_discovered(spark, sf_dir):
+    """Keys that were never declared, one with a slash, and an entry without a value."""
+    more = "concat(allocated_resources, ',fs/disk=', priority, 'G', IF(priority % 2 = 0, ',license', ',license=3'))"
+    slim = cleaning.select_renamed(raw_jobs(spark, sf_dir)).selectExpr("job_id", f"{more} AS allocated_resources")
+    return resources.unpack(slim).select(
+        "job_id", "allocated_cpu", "allocated_gpu", F.col("allocated_fs/disk").alias("disk"), "allocated_license"
+    )
+
+
 def f_scalars(spark, sf_dir):
     """The scalar functions of the reference on whole tables: text, rounding, limits, logarithms, nulls."""
     orders = table(spark, sf_dir, "orders")
@@ -165,7 +174,7 @@ QUERIES = {
     for f in [
         s1_scan, s2_queue_scan, s3_sample, s4_level, c0_preprocess, c1_project, c2_distinct, c3_known_queues,
         c4_not_null, c5_submit_order, c6_state, c7_calendar, c8_timelimit, c12_fill, c13_min_wait, r1_entries, r6_keys, r7_unpack,
-        r7_pivot, f_scalars,
+        r7_pivot, r7_discovered, f_scalars,
     ]
 } | {
     "c9_target": _waits("wait_time_seconds"),
@@ -191,7 +200,7 @@ SQL = {
         SELECT "JobIDRaw", "Partition", count(*) OVER (PARTITION BY "Partition") AS n,
                row_number() OVER (PARTITION BY "Partition" ORDER BY md5(concat("JobIDRaw", '_49')), "JobIDRaw") AS r
         FROM raw) WHERE r <= floor(n * 0.2)""",
-    "s4_level": f"{CTE_JOBS} SELECT {JOB_COLUMNS} FROM jobs WHERE partition IN ('small', 'standard')",
+    "s4_level": f"{CTE_JOBS} SELECT {JOB_COLUMNS} FROM jobs",
     "c0_preprocess": f"{CTE_JOBS} SELECT {JOB_COLUMNS} FROM jobs",
     "c1_project": f"{CTE_RAW} {RENAMED_SQL}",
     "c2_distinct": f"{CTE_RAW} SELECT DISTINCT * FROM (SELECT * FROM ({RENAMED_SQL}) UNION ALL ({RENAMED_SQL}))",
@@ -219,6 +228,9 @@ SQL = {
     "r7_unpack": f'{CTE_RAW} SELECT "JobIDRaw" AS job_id, {_ENTRY_COLUMNS} FROM raw',
     "r7_pivot": f"""{CTE_RAW} SELECT "JobIDRaw" AS job_id, {", ".join(f"{v} AS {k}" for k, v in ENTRY_SQL.items())}
         FROM raw""",
+    "r7_discovered": f"""{CTE_RAW} SELECT "JobIDRaw" AS job_id, {ENTRY_SQL["cpu"]} AS allocated_cpu,
+        {ENTRY_SQL["gpu"]} AS allocated_gpu, "Priority"::DOUBLE AS disk,
+        CASE WHEN "Priority" % 2 = 1 THEN 3.0::DOUBLE END AS allocated_license FROM raw""",
     "f_scalars": """SELECT o_orderkey, split_part(o_orderpriority, '-', 1) AS rank_text,
         regexp_replace(o_orderpriority, '^[0-9]-', '') AS stripped, rtrim(o_orderpriority, 'GHMT') AS trimmed,
         round_even(floor(o_totalprice) / 2, 0) AS half_even,

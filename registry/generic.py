@@ -138,6 +138,10 @@ def a7_value_counts(spark, sf_dir):
     return value_counts(table(spark, sf_dir, "lineitem"), [], "l_quantity").withColumnRenamed("_n", "n")
 
 
+def a7_value_counts_null(spark, sf_dir):
+    return value_counts(raw_jobs(spark, sf_dir), ["Partition"], "ReservationId").withColumnRenamed("_n", "n")
+
+
 def a8_aggregates(spark, sf_dir):
     lines = table(spark, sf_dir, "lineitem").withColumn("cents", cents("l_extendedprice"))
     return lines.groupBy("l_returnflag", "l_linestatus").agg(
@@ -232,7 +236,7 @@ QUERIES = {
     f.__name__: f
     for f in [
         p1_running_total, p1_sorted_total, p2_row_number, p2_row_number_by_key, j1_inner, j2_left, j3_asof,
-        j3_asof_global, a1_first, a2_pivot, a3_pivot_fill, a4_distinct, a5_quantiles, a6_null_counts, a7_value_counts,
+        j3_asof_global, a1_first, a2_pivot, a3_pivot_fill, a4_distinct, a5_quantiles, a6_null_counts, a7_value_counts, a7_value_counts_null,
         a8_aggregates, w3_share, w4_avg_rank, o1_sort, o2_sort, o4_topk, u1_union, u2_diagonal, u3_columns, t1_unpivot,
         t3_prefix, t4_drop_null_columns, t5_combinations,
     ]
@@ -277,6 +281,8 @@ SQL = {
         count(*) FILTER (WHERE "ReservationId" IS NULL) AS reservation_id,
         count(*) FILTER (WHERE "Start" IS NULL) AS start_ts, count(*) FILTER (WHERE "State" IS NULL) AS state
         FROM raw GROUP BY "Partition" """,
+    "a7_value_counts_null": f"""{CTE_RAW} SELECT "Partition", "ReservationId", count(*) AS n FROM raw
+        GROUP BY "Partition", "ReservationId\"""",
     "a7_value_counts": "SELECT l_quantity, count(*) AS n FROM lineitem GROUP BY l_quantity",
     "a8_aggregates": f"""SELECT l_returnflag, l_linestatus, min({_LINE}) AS lowest, max({_LINE}) AS highest,
         sum({_LINE})::BIGINT AS total, round(avg({_LINE}), 4) AS mean, count(*) AS n FROM lineitem

@@ -13,7 +13,7 @@ from queuescope.plans.model_specs import IntRange, ModelSpec
 from queuescope.session import materialize, work_dir
 from queuescope.sources import results
 from queuescope.sources.datasets import create_datasets, read_queue
-from registry.tables import CTE_JOBS, feature_jobs, raw_jobs
+from registry.tables import CTE_JOBS, clean_jobs, feature_jobs, raw_jobs
 
 X = FEATURE_SETS["standard"]["full"]
 FOREST = ModelSpec(
@@ -157,10 +157,80 @@ def s5_datasets(spark, sf_dir):
     )
 
 
+def s5_two_writes(spark, sf_dir):
+    """Two queues written one after the other, the first of them once more: both stay, nothing doubles."""
+    path = f"{work_dir(spark)}/datasets-{uuid.uuid4().hex}"
+    raw_jobs(spark, sf_dir).write.parquet(f"{path}/raw")
+    for queue in ("small", "standard", "small"):
+        create_datasets(spark, [queue], f"{path}/raw", f"{path}/jobs", level="preprocess")
+    return spark.read.parquet(f"{path}/jobs").select("job_id", "wait_time_seconds", "partition")
+
+
+def s7_rerun(spark, sf_dir):
+    """Predictions and the run's record written twice under the same keys, read back as they were written once."""
+    path = f"{work_dir(spark)}/results-{uuid.uuid4().hex}"
+    guesses = clean_jobs(spark, sf_dir).selectExpr(
+        "'again' AS run_id", "partition", "'limit' AS model", "'full' AS feature_set", "job_id",
+        "CAST(wait_time_seconds AS DOUBLE) AS y_true", "CAST(allocated_timelimit_seconds AS DOUBLE) AS y_pred",
+    )
+    for _ in range(2):
+        results.write_table(path, "predictions", guesses)
+        results.write_run(spark, path, "again", "{}", "{}")
+    records = spark.read.json(f"{path}/runs").groupBy("run_id").agg(F.count(F.lit(1)).alias("n_records"))
+    return results.read_table(spark, path, "predictions", "again").join(records, "run_id")
+
+
+def _given_scores(spark, sf_dir):
+    """Scores of three candidates in two rounds and two folds that follow from the jobs, not from a fit."""
+    return clean_jobs(spark, sf_dir).selectExpr(
+        "partition", "CAST(priority % 3 AS INT) AS candidate", "CAST(job_id % 2 AS INT) AS fold",
+        "CAST(priority DIV 50 AS INT) AS round", "wait_time_minutes AS w",
+        "inline(array(struct('mae' AS metric, 1 AS f), struct('mape' AS metric, 2 AS f),"
+        " struct('rmse' AS metric, 3 AS f), struct('r2' AS metric, 4 AS f)))",
+    ).groupBy("partition", "round", "candidate", "fold", "metric").agg(F.expr("-avg(w * f)").alias("value")).selectExpr(
+        "partition", "round", "candidate", "fold", "metric", "value",
+        "map('depth', CAST(candidate + 3 AS STRING), 'trees', '9') AS params",
+    )
+
+
+def l10_given_scores(spark, sf_dir):
+    """The table of a halving search: a row per round and candidate, a column per parameter."""
+    scores = training.with_params_text(_given_scores(spark, sf_dir))
+    table = training.cv_results(scores, "regression", ["partition"], folds=2)
+    return table.selectExpr(
+        "partition", "round", "candidate", "param_depth", "param_trees", "round(mean_test_mae, 6) AS mean_test_mae",
+        "round(std_test_rmse, 6) AS std_test_rmse", "round(split1_test_r2, 6) AS split1_test_r2", "rank_test_mae",
+    )
+
+
+def l7_halving_rounds(spark, sf_dir):
+    """Scores per round of a halving search: four candidates, then the best third of them, rounded up."""
+    train, _ = _prepared(spark, sf_dir)
+    spec = ModelSpec("rf", {"n_estimators": [2, 3], "max_depth": [2, 3]}, search="halving", folds=2)
+    _, scores = training.search(train, spec, "y", len(X))
+    return scores.groupBy("round").agg(
+        F.countDistinct("candidate").alias("n_candidates"), F.count(F.lit(1)).alias("n_scores")
+    )
+
+
+def l2_held_out(spark, sf_dir):
+    """The held-out rows of a forest: which jobs, their true waits, and that predictions beat the mean of the rest."""
+    jobs = feature_jobs(spark, sf_dir)
+    spec = FOREST.but(grid={"n_estimators": [10], "max_depth": [6]}, lower=0, weights="none")
+    run = training.predict(jobs, "wait_time_seconds", X, spec, split="timeseries")
+    own, zero = run.predictions.selectExpr(
+        "avg(abs(log1p(y_true) - log1p(greatest(y_pred, 0))))", "avg(log1p(y_true))"
+    ).first()
+    return run.predictions.selectExpr(
+        "job_id", "CAST(round(y_true) AS BIGINT) AS y_true",
+        "y_pred IS NOT NULL AND NOT isnan(y_pred) AND abs(y_pred) < 1e300 AS finite",
+    ).withColumn("better_than_nothing", F.lit(own < zero))
+
+
 QUERIES = {
     f.__name__: f
     for f in [l10_cv_results, l11_importance, l12_permutation, l1_grid_of_runs, s7_result_tables, e12_cv, e15_reports,
-              s5_datasets]
+              s5_datasets, s5_two_writes, s7_rerun, l10_given_scores, l7_halving_rounds, l2_held_out]
 } | {
     "l2_run_timeseries": _regression(FOREST, "timeseries", "all_variables"),
     "l4_forest": _regression(FOREST),
@@ -178,6 +248,25 @@ QUERIES = {
 }
 
 SQL = {
+    "s5_two_writes": f"""{CTE_JOBS} SELECT job_id, wait_time_seconds, partition FROM jobs
+        WHERE partition IN ('small', 'standard')""",
+    "s7_rerun": f"""{CTE_JOBS} SELECT 'again' AS run_id, partition, 'limit' AS model, 'full' AS feature_set, job_id,
+        wait_time_seconds::DOUBLE AS y_true, allocated_timelimit_seconds::DOUBLE AS y_pred, 1::BIGINT AS n_records
+        FROM jobs""",
+    "l10_given_scores": f"""{CTE_JOBS}, scores AS (
+          SELECT partition, (priority // 50)::INT AS round, (priority % 3)::INT AS candidate, (job_id % 2)::INT AS fold,
+                 -avg(wait_time_minutes) AS v FROM jobs GROUP BY ALL),
+        means AS (SELECT partition, round, candidate, avg(v) AS m, 3 * stddev_pop(v) AS s,
+                         4 * max(v) FILTER (WHERE fold = 1) AS second FROM scores GROUP BY ALL)
+        SELECT partition, round, candidate, (candidate + 3)::VARCHAR AS param_depth, '9' AS param_trees,
+          round(m, 6) AS mean_test_mae, round(s, 6) AS std_test_rmse, round(second, 6) AS split1_test_r2,
+          (rank() OVER (PARTITION BY partition, round ORDER BY m DESC))::INT AS rank_test_mae FROM means""",
+    "l7_halving_rounds": """SELECT * FROM (VALUES (0, 4::BIGINT, 32::BIGINT), (1, 2::BIGINT, 16::BIGINT))
+        t(round, n_candidates, n_scores)""",
+    "l2_held_out": f"""{CTE_JOBS}, numbered AS (SELECT job_id, wait_time_seconds,
+          row_number() OVER (ORDER BY s, job_id) - 1 AS r, count(*) OVER () AS n FROM jobs)
+        SELECT job_id, wait_time_seconds AS y_true, true AS finite, true AS better_than_nothing FROM numbered
+        WHERE r >= floor(n * (1 - 0.2))""",
     "s5_datasets": f"""{CTE_JOBS} SELECT job_id, wait_time_minutes, partition FROM jobs
         WHERE partition = 'standard' AND wait_time_minutes >= 10""",
 }

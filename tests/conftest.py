@@ -1,5 +1,6 @@
 import os
 import sys
+import tempfile
 
 import pytest
 
@@ -19,6 +20,7 @@ def spark():
             "spark.driver.memory": "8g",
             "spark.driver.bindAddress": "127.0.0.1",
             "spark.driver.host": "127.0.0.1",
+            "spark.checkpoint.dir": tempfile.mkdtemp(prefix="queuescope-tests-"),  # one process: its own folder will do
         },
     )
     session.sparkContext.setLogLevel("ERROR")
