@@ -60,6 +60,15 @@ QUERIES = {
     "op9_lattice": op9_lattice,
     "op10_mixing": op10_mixing,
 }
+# Fixed values of both dialects: the white space between words, as a regular expression, and the rules' cutoffs.
+_GAP = "[ \\t\\n\\x0B\\f\\r]+"
+_CUTS = ", ".join(f"({i}, {c}::DOUBLE)" for i, c in enumerate(quality_rules.CUTOFFS))
+_RATE, _LEVEL = quality_rules.MAX_FALSE_REJECTION, quality_rules.ERROR
+_RULES = " UNION ALL ".join(
+    f"SELECT r, doc_id, stratum, '{rule}' AS rule, {top} / greatest({bottom}, 1)::DOUBLE AS v FROM base WHERE NOT base_failed"
+    for rule, (top, bottom) in ((rule, form.split(" / ")) for rule, form in quality_rules.RULES.items())
+)
+
 SQL: dict[str, str] = {
     "op2_topk": """
 WITH usable AS (
@@ -74,4 +83,54 @@ ranked AS (
 SELECT query_id, rank, vec_id, score
 FROM (SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INTEGER AS rank FROM ranked)
 WHERE rank <= 5""",
+    "op5_quality_rules": f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(lang, '') AS stratum, coalesce(text, '') AS t FROM documents),
+w AS MATERIALIZED (
+  SELECT r, doc_id, stratum, list_filter(regexp_split_to_array(t, '{_GAP}'), lambda x: x <> '') AS ws,
+         list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^ \\t\\n\\x0B\\f\\r]')) AS ls FROM d),
+j AS (SELECT *, array_to_string(ws, '') AS joined FROM w),
+g AS (SELECT r, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS g FROM (SELECT r, ws, unnest(range(1, len(ws) - 1)) AS i FROM w)),
+twice AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, g) AS n FROM g) WHERE n > 1),
+covered AS (SELECT r, count(DISTINCT i + k) AS n FROM twice, (VALUES (0), (1), (2)) v(k) GROUP BY r),
+measured AS (
+  SELECT j.r, doc_id, stratum, len(ws) AS n_words, length(joined) AS word_chars,
+         length(joined) - length(regexp_replace(joined, '[#*$%&|<>]', '', 'g')) AS n_symbols, len(ls) AS n_lines,
+         len(ls) - len(list_distinct(ls)) AS n_dup_lines, coalesce(c.n, 0) AS n_repeat_words,
+         length(regexp_replace(joined, '\\P{{Lu}}+', '', 'g')) AS n_capitals
+  FROM j LEFT JOIN covered c ON c.r = j.r),
+base AS MATERIALIZED (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM measured),
+rules AS MATERIALIZED ({_RULES}),
+cuts(place, cutoff) AS (VALUES {_CUTS}),
+good AS (SELECT doc_id, max(quality) AS good FROM labels WHERE quality IN (0, 1) AND doc_id IS NOT NULL GROUP BY doc_id),
+tried AS (
+  SELECT stratum, rule, cutoff, sum(good)::BIGINT AS n, sum(good) FILTER (WHERE v > cutoff) AS k0,
+         sum(1 - good) FILTER (WHERE v > cutoff) AS h0
+  FROM rules JOIN good USING (doc_id), cuts GROUP BY stratum, rule, cutoff),
+counted AS (
+  SELECT stratum, rule, cutoff, n, coalesce(k0, 0)::BIGINT AS k, coalesce(h0, 0)::BIGINT AS hits,
+         {_LEVEL} / (SELECT count(DISTINCT stratum) * {len(quality_rules.RULES)} FROM tried) AS level
+  FROM tried WHERE n > 0),
+tested AS (
+  SELECT *, CASE WHEN k >= n * {_RATE} THEN false ELSE list_sum(list_transform(range(0, k + 1), lambda i:
+      exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({_RATE}) + (n - i) * ln(1 - {_RATE})))) <= level END AS passes
+  FROM counted),
+certified AS (SELECT *, bool_and(passes) OVER (PARTITION BY stratum, rule ORDER BY cutoff DESC) AS ok FROM tested),
+chosen AS (
+  SELECT stratum, rule, cutoff FROM (
+    SELECT *, row_number() OVER (PARTITION BY stratum, rule ORDER BY hits - 10 * k DESC, cutoff DESC) AS place
+    FROM certified WHERE ok AND hits - 10 * k > 0) WHERE place = 1),
+rejected AS (SELECT DISTINCT r FROM rules JOIN chosen USING (stratum, rule) WHERE v > cutoff)
+SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols,
+       n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words, base_failed,
+       NOT base_failed AND r NOT IN (SELECT r FROM rejected) AS kept
+FROM base""",
+    "op7_warc": """
+WITH p AS (SELECT page_id, url, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages),
+first AS (SELECT h, min(page_id) AS first_id FROM p GROUP BY h)
+SELECT page_id, url, octet_length(encode(html))::BIGINT AS payload_bytes,
+       array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+         1 + ((('0x' || substr(h, (1 + (i // 4) * 5)::INT, 5))::BIGINT >> (15 - 5 * (i % 4))::INT) & 31)::INT, 1)), '') AS payload_digest,
+       CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first_id THEN first_id END AS refers_to
+FROM p JOIN first USING (h)""",
 }
