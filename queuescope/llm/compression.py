@@ -45,7 +45,7 @@ def sigmoid(z: float) -> float:
 _HEAD = bytes(range(1, 9)) + bytes(range(14, 32))
 _TAIL = bytes(range(128, 160))
 _LOOK = zstd.ZstdCompressionParameters(
-    window_log=17, min_match=4, strategy=zstd.STRATEGY_LAZY2, search_log=6, hash_log=14, chain_log=14,
+    window_log=17, min_match=4, strategy=zstd.STRATEGY_BTLAZY2, search_log=9, hash_log=17, chain_log=17,
     target_length=64, **_FRAME,
 )
 _RUN = 5  # bytes of the runs whose counts in both classes are compared
@@ -83,8 +83,11 @@ def word_dictionaries(marked: Sequence[list[bytes]], ordinary: Sequence[list[byt
     n, o = max(1, len(marked)), max(1, len(ordinary))
     share = n / (n + o)
 
+    # So many windows are looked at that chance alone reaches the logarithm of their number.
+    least = max(6.0, math.log(max(1, len(in_marked))))
+
     def stands_out(a: int, b: int) -> bool:
-        return a >= 3 and b / o <= 0.1 * a / n and _unlikely(a, b, share) >= 6
+        return a >= 3 and b / o <= 0.02 * a / n and _unlikely(a, b, share) >= least
 
     words = {w: c for w, c in in_marked.items() if stands_out(c, in_ordinary[w])}
     wanted = {r for w in words for r in _runs(w)}
