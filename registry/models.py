@@ -89,9 +89,9 @@ _results: dict[tuple[str, str], str] = {}
 
 
 def _trained(spark, sf_dir):
-    """Result tables of two queues and two feature sets, trained once per session and scale; returns their folder."""
+    """Result tables of all queues and two feature sets, trained once per session and scale; returns their folder."""
     jobs = feature_jobs(spark, sf_dir)
-    queues = ["small-g", "standard"]
+    queues = ["small", "small-g", "standard", "standard-g"]
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _results:
         path = f"{work_dir(spark)}/results-{uuid.uuid4().hex}"
