@@ -107,11 +107,8 @@ def add_features(
         sized.select(*place, *times[:2], *resources), resources, keys=[queue], rank="_queue_rank",
         chunk_bits=chunk_bits,
     ).drop(*times, *resources)
-    for column, out in USAGE.items():
-        recent = jobs.select(*place, column, "submit_ts")
-        recent = add_rolling_count(recent, [queue, column], "submit_ts", out)
-        jobs = jobs.join(recent.drop(column, "submit_ts"), place)
-    jobs = jobs.join(active, place).join(queued, place)
+    recent = add_usage(jobs.select(*place, *USAGE, "submit_ts"), [queue]).drop(*USAGE, "submit_ts")
+    jobs = jobs.join(recent, place).join(active, place).join(queued, place)
     return (
         jobs.transform(add_reservation_flag).transform(add_chained_flag).transform(add_temporal).drop("_queue_rank")
     )

@@ -299,26 +299,26 @@ def permutation_importance(
 ) -> DataFrame:
     """Mean drop of R² (or accuracy) when one feature takes its values from another row.
 
-    Per repeat, places in two orders pair each row with a donor row; a row is scored once per feature, with that
-    feature replaced. Rows, features and repeats are one plan; nothing is gathered.
+    The rows are put in the order of a repeatable shuffle once. In each repeat a row's donor stands a fixed number of places
+    further on, another number each time. A row is scored once per feature and repeat, with that feature replaced; rows,
+    features and repeats are one plan with one join, and nothing is gathered.
     """
-    slim = materialize(
-        df.select(F.col(id_column), F.col(y).cast("double").alias("_y"), vector_to_array("features").alias("_x"))
-    )
-    placed = row_numbers(slim, [], [id_column], "_place")
+    slim = df.select(F.col(id_column), F.col(y).cast("double").alias("_y"), vector_to_array("features").alias("_x"))
+    placed = row_numbers(slim, [], [prep.shuffled(id_column, seed), F.col(id_column)], "_place")
+    rows = max(placed.count(), 1)
+    donors_at = F.array(*[
+        F.struct(F.lit(r).alias("_repeat"), F.pmod(F.col("_place") + (r + 1) * rows // (repeats + 1), F.lit(rows)).alias("_at"))
+        for r in range(repeats)
+    ])
+    donors = placed.select(F.col("_place").alias("_at"), F.col("_x").alias("_donor"))
     features = F.explode(F.sequence(F.lit(0), F.lit(len(x) - 1))).alias("_f")
-    scored = [model.transform(df).select(F.lit(-1).alias("_repeat"), F.lit(-1).alias("_f"),
-                                         F.col(y).cast("double").alias("_y"), "prediction")]
-    for repeat in range(repeats):
-        order = [prep.shuffled(id_column, f"{seed}_{repeat}"), F.col(id_column)]
-        donors = row_numbers(slim, [], order, "_place").select("_place", F.col("_x").alias("_donor"))
-        mixed = placed.join(donors, "_place").select("_y", "_x", "_donor", features)
-        replaced = F.expr("transform(_x, (v, i) -> IF(i = _f, _donor[i], v))")
-        vectors = mixed.select("_y", "_f", array_to_vector(replaced).alias("features"))
-        scored.append(
-            model.transform(vectors).select(F.lit(repeat).alias("_repeat"), "_f", "_y", "prediction")
-        )
-    joint = reduce(DataFrame.unionByName, scored)
+    mixed = placed.select("_y", "_x", F.inline(donors_at)).join(donors, "_at").select("_repeat", "_y", "_x", "_donor", features)
+    replaced = F.expr("transform(_x, (v, i) -> IF(i = _f, _donor[i], v))")
+    vectors = mixed.select("_repeat", "_f", "_y", array_to_vector(replaced).alias("features"))
+    as_they_are = df.select(
+        F.lit(-1).alias("_repeat"), F.lit(-1).alias("_f"), F.col(y).cast("double").alias("_y"), "features"
+    )
+    joint = model.transform(as_they_are.unionByName(vectors))
     if task == "regression":
         score = error_aggregates("_y", "prediction")["r2"]
     else:

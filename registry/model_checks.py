@@ -139,11 +139,9 @@ _GIVEN = f"""{CTE_JOBS}, scores AS (
     SELECT partition, (priority // 50)::INT AS round, (priority % 3)::INT AS candidate, (job_id % 2)::INT AS fold,
            -avg(wait_time_minutes) AS v FROM jobs GROUP BY ALL),
   means AS (SELECT partition, round, candidate, avg(v) AS m FROM scores GROUP BY ALL)"""
-_DONORS = ", ".join(
-    f"row_number() OVER (ORDER BY md5(concat(job_id, '_49_{r}')), job_id) AS place_{r}" for r in range(REPEATS)
-)
 _SWAPPED = " UNION ALL ".join(
-    f"SELECT '{f}' AS feature, {r} AS repeat, p.y, {guess} AS p FROM placed p JOIN placed d ON p.place = d.place_{r}"
+    f"SELECT '{f}' AS feature, {r} AS repeat, p.y, {guess} AS p FROM placed p JOIN placed d"
+    f" ON d.place = (p.place + ({r + 1} * p.n) // {REPEATS + 1}) % p.n"
     for r in range(REPEATS)
     for f, guess in (("a", "2 * d.a + p.b"), ("b", "2 * p.a + d.b"), ("c", "2 * p.a + p.b"))
 )
@@ -163,8 +161,8 @@ SQL = {
             ELSE count(*) FILTER (WHERE fold = f) END AS n
         FROM folds, range(5) t(f), (VALUES ('rest'), ('held_out')) u(part) GROUP BY f, part""",
     "l12_fixed_model": f"""{CTE_JOBS}, placed AS MATERIALIZED (SELECT priority::DOUBLE AS a, allocated_cpu AS b,
-            (2 * priority + allocated_cpu + timelimit_minutes / 10)::DOUBLE AS y, row_number() OVER (ORDER BY job_id) AS place,
-            {_DONORS} FROM jobs),
+            (2 * priority + allocated_cpu + timelimit_minutes / 10)::DOUBLE AS y,
+            row_number() OVER (ORDER BY md5(concat(job_id, '_49')), job_id) - 1 AS place, count(*) OVER () AS n FROM jobs),
         swapped AS ({_SWAPPED}),
         drops AS (SELECT feature, repeat, (SELECT {_R2} FROM (SELECT y, 2 * a + b AS p FROM placed)) - ({_R2}) AS drop_
           FROM swapped GROUP BY feature, repeat)
