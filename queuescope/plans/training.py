@@ -9,6 +9,7 @@ from __future__ import annotations
 import json
 import random
 from collections.abc import Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import asdict, dataclass
 from functools import reduce
 from itertools import product
@@ -40,6 +41,7 @@ from queuescope.session import materialize
 from queuescope.sources import results
 
 DEEPEST_TREE = 30  # largest depth Spark ML accepts
+CONCURRENT_FITS = 3  # candidates of a search that are fitted at the same time
 SCORES = {
     "regression": ["mae", "mape", "rmse", "r2"],
     "classification": ["f1_macro", "balanced_accuracy", "roc_auc"],
@@ -184,9 +186,15 @@ def score_candidates(
     train: DataFrame, spec: ModelSpec, tried: Mapping[int, Mapping[str, Any]], label: str, features: int, classes: int,
     weight: str | None,
 ) -> DataFrame:
-    """(candidate, fold, metric, value) for the given candidates. Larger is better: errors are negative."""
-    predictions = []
-    for number, params in tried.items():
+    """(candidate, fold, metric, value) for the given candidates. Larger is better: errors are negative.
+
+    A few candidates are fitted at a time. The predictions of each are written and its models let go, so neither the driver
+    nor the plan grows with the number of candidates.
+    """
+
+    def predictions_of(candidate: tuple[int, Mapping[str, Any]]) -> DataFrame:
+        number, params = candidate
+        parts = []
         for fold in range(spec.folds):
             rest, held_out = fold_parts(train, spec.fold_strategy, fold)
             model = build_estimator(spec, params, label, features, classes, weight).fit(rest)
@@ -194,10 +202,11 @@ def score_candidates(
             columns = [F.col(label).cast("double").alias("y"), F.col("prediction").alias("p")]
             if spec.task == "classification":
                 columns.append(as_probabilities(predicted, classes).alias("probabilities"))
-            predictions.append(
-                predicted.select(F.lit(number).alias("candidate"), F.lit(fold).alias("fold"), *columns)
-            )
-    joint = materialize(reduce(DataFrame.unionByName, predictions))
+            parts.append(predicted.select(F.lit(number).alias("candidate"), F.lit(fold).alias("fold"), *columns))
+        return materialize(reduce(DataFrame.unionByName, parts))
+
+    with ThreadPoolExecutor(CONCURRENT_FITS) as pool:
+        joint = reduce(DataFrame.unionByName, list(pool.map(predictions_of, tried.items())))
     keys = ["candidate", "fold"]
     if spec.task == "regression":
         errors = error_aggregates("y", "p")
@@ -357,7 +366,8 @@ def predict(
     """Prepare the rows of one queue, tune and fit a model, and score it on the held-out rows.
 
     Features and target are scored in one space: predictions are brought back to the unit of the target, and
-    permutation importance stays in the space the model was fitted in.
+    permutation importance stays in the space the model was fitted in. Rows that are split already (by
+    ``prep.add_split``) keep their split, so the runs of a queue can share one.
     """
     spark = df.sparkSession
     task = spec.task
@@ -372,8 +382,11 @@ def predict(
     if k is not None and k < len(x):
         best = {r[0] for r in selection.where("selected").select("feature").collect()}
         chosen = [c for c in x if c in best]
-    rows = rows.select(*dict.fromkeys([id_column, "start_ts", *chosen, y]))
-    rows = materialize(prep.add_split(rows, test_size, split, id_column=id_column))
+    parts = [c for c in ("is_test", "split_row", "split_rows") if c in df.columns]
+    rows = rows.select(*dict.fromkeys([id_column, "start_ts", *chosen, y, *parts]))
+    if not parts:
+        rows = prep.add_split(rows, test_size, split, id_column=id_column)
+    rows = materialize(rows)
 
     scaler = {}
     if task == "regression" or spec.scaling == "all_variables":
@@ -429,8 +442,8 @@ def train_models(
     """
     spark = None
     for queue, todo in plan.items():
-        df = datasets[queue]
-        spark = df.sparkSession
+        spark = datasets[queue].sparkSession
+        df = prep.add_split(datasets[queue], test_size, split)  # written once, shared by all runs of the queue
         for model in todo["models"]:
             for name in todo["feature_sets"]:
                 run = predict(
