@@ -7,9 +7,11 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from queuescope.llm import html_text, topk, warc
+from queuescope.llm import html_text, mixing, quality_rules, topk, toxicity, warc
 from queuescope.session import materialize
 
+from .plain import WORD, classes, plain_fingerprint
+
 SMALL = "/root/testdata/sf0.001"
 
 
@@ -155,18 +157,43 @@ def test_broken_payloads_are_noticed(spark, tmp_path):
 # ----------------------------------------------------------------------------------------------------------- pipeline
 
 
-def test_pipeline_stages_work_on_what_was_kept(spark):
+def test_pipeline_equals_brute_force_stage_by_stage(spark):
     import corpus_pipeline
+    import public_tokenizers
+    from tokenizers import Tokenizer
 
     docs = spark.read.parquet(f"{SMALL}/documents.parquet").withColumn("score", F.lit("x"))
-    columns, before = docs.columns, docs.count()
-    for name, stage in corpus_pipeline.STAGES[:-1]:
-        docs = materialize(stage(spark, docs, SMALL))
-        assert docs.columns == columns, name
-        after = docs.count()
-        assert 0 < after <= before, name
-        before = after
-    last = corpus_pipeline.STAGES[-1][1](spark, docs, SMALL)
-    assert last.count() == before and last.where("n_tokens = size(ids)").count() == before
-    empty = corpus_pipeline.STAGES[0][1](spark, docs.limit(0), SMALL)
-    assert empty.count() == 0
+    labels = spark.read.parquet(f"{SMALL}/labels.parquet")
+    columns, made = docs.columns, [docs]
+    for name, stage in corpus_pipeline.STAGES:
+        made.append(materialize(stage(spark, made[-1], SMALL)))
+        if name != corpus_pipeline.STAGES[-1][0]:
+            assert made[-1].columns == columns, name
+    texts = [{r["doc_id"]: r["text"] for r in df.collect()} for df in made[:-1]]
+    kept = {r["doc_id"] for r in quality_rules.judge(docs, labels).collect() if r["kept"]}
+    assert texts[1] == {k: t for k, t in texts[0].items() if k in kept}
+    clean = {r["doc_id"] for r in toxicity.classify(made[1], labels).collect() if not r["predicted"]}
+    assert texts[2] == {k: t for k, t in texts[1].items() if k in clean}
+    keys = sorted(texts[2])
+    first = {}
+    for key, group in zip(keys, classes([plain_fingerprint(texts[2][k]) for k in keys], 4)):
+        first[group] = min(key, first.get(group, key))
+    assert texts[3] == {k: texts[2][k] for k in first.values()}
+    taken = {r["doc_id"]: r["taken"] for r in mixing.mix(made[3]).collect() if r["taken"]}
+    assert {k: len(WORD.findall(t)) for k, t in texts[4].items()} == taken
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    assert {r["doc_id"]: r["ids"] for r in made[5].collect()} == {
+        k: library.encode(t, add_special_tokens=False).ids for k, t in texts[4].items()
+    }
+    assert corpus_pipeline.run(spark, SMALL).count() == made[5].count()
+
+
+def test_pipeline_stages_take_odd_and_no_rows(spark):
+    import corpus_pipeline
+
+    rows = [(None, None, None, "s", 1), (1, "", "en", None, 0), (1, "", "en", None, 0), (2, "x" * 20_000, "de", "s", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, SMALL)
+        assert out.count() <= docs.count(), name
+        assert stage(spark, docs.limit(0), SMALL).count() == 0, name

@@ -2,21 +2,20 @@
 
 import hashlib
 import math
-import re
 from collections import Counter, defaultdict
 from fractions import Fraction
 
 import pytest
-import xxhash
 from pyspark.sql import functions as F
 
 from queuescope.llm import bpe, lattice, mixing, quality, quality_rules, simhash, toxicity
 from queuescope.llm.compression import train_sizes, train_windows
 from queuescope.session import materialize
 
+from .plain import WORD, classes, plain_fingerprint
+
 SMALL = "/root/testdata/sf0.001"
 LARGER = "/root/testdata/sf0.01"
-WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 ODD = [
     (0, None, None), (1, "", "a"), (2, " \t\n", "a"), (3, "word", "b"), (4, "word", "b"), (4, "word", "b"),
@@ -84,28 +83,6 @@ def test_window_model_finds_marked_words_and_scores_any_text():
 # --------------------------------------------------------------------------------------------------------- simhash (3)
 
 
-def plain_fingerprint(text):
-    words = WORD.findall((text or "").translate({c: c + 32 for c in range(65, 91)}))
-    shingles = [" ".join(words[i : i + 4]) for i in range(max(1, len(words) - 3))] if words else []
-    hashes = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
-    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
-
-
-def classes(prints, distance):
-    root = list(range(len(prints)))
-
-    def find(i):
-        while root[i] != i:
-            i = root[i]
-        return i
-
-    for i, a in enumerate(prints):
-        for j in range(i):
-            if bin(a ^ prints[j]).count("1") <= distance:
-                root[find(i)] = find(j)
-    return [find(i) for i in range(len(prints))]
-
-
 def test_near_duplicates_equal_brute_force(documents, odd):
     for docs in (documents, odd):
         rows = docs.select("doc_id", "text").collect()
@@ -275,6 +252,26 @@ def test_word_probability_sums_all_segmentations():
     assert math.isfinite(model.log_probability("ab" * 3000))
 
 
+def plain_score(counts, n_docs, words, known={}):
+    """Expectation maximisation and scoring without Spark."""
+    import numpy as np
+
+    key = tuple(sorted(counts.items())), n_docs
+    if key not in known:
+        pieces, byte_ids, prior = lattice.read_vocabulary()
+        weights = np.log(prior)
+        for _ in range(lattice.ROUNDS):
+            model, sums = lattice.Lattice(pieces, byte_ids, weights), [0.0] * len(weights)
+            for word, n in counts.items():
+                model.expect(word, n, sums)
+            total = lattice.PRIOR * prior + np.array(sums)
+            total[-1] += n_docs
+            weights = np.log(total / total.sum())
+        known[key] = lattice.Lattice(pieces, byte_ids, weights), weights[-1]
+    model, end = known[key]
+    return (sum(model.log_probability(w) for w in words) + end) / math.log(10)
+
+
 @pytest.mark.parametrize("hot_words", [0, 50, lattice.HOT_WORDS])
 def test_lattice_base_counts_equal_brute_force(odd, documents, hot_words):
     import zlib
@@ -292,10 +289,16 @@ def test_lattice_base_counts_equal_brute_force(odd, documents, hot_words):
         for r, own in zip(rows, tokens):
             base = sum(math.log10((train[t] + 0.5) / (total + 0.5 * (distinct + 1))) for t in own)
             wanted[r["doc_id"]].append((held(r["doc_id"]), len(own), sum(train[t] > 0 for t in own), total, base))
-        found = defaultdict(list)
+        found, scores = defaultdict(list), defaultdict(set)
         for r in lattice.score(docs, hot_words=hot_words).collect():
             assert math.isfinite(r["score"]) and r["score"] < 0
+            scores[r["doc_id"], r["n_tokens"]].add(round(r["score"], 6))
             found[r["doc_id"]].append((r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], r["base_score"]))
+        counts = Counter(t for r, own in zip(rows, tokens) if not held(r["doc_id"]) for t in own if t is not None)
+        n_docs = sum(not held(r["doc_id"]) for r in rows)
+        for r, own in zip(rows, tokens):  # by the trained weights, word for word
+            expected = plain_score(counts, n_docs, own[:-1])
+            assert any(math.isclose(expected, s, rel_tol=1e-6) for s in scores[r["doc_id"], len(own)])
         assert found.keys() == wanted.keys()
         for key, rows_ in wanted.items():
             for a, b in zip(sorted(found[key]), sorted(rows_)):
