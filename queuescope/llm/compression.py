@@ -181,7 +181,8 @@ def train_windows(sample: Sequence[tuple[int, str]], size: int = 24_000) -> Wind
     seen: dict[str, int] = {}
     for label, text in sample:
         seen[text] = max(label, seen.get(text, 0))
-    texts = [(label, windows_of(text)) for text, label in seen.items()]
+    same: dict[bytes, bytes] = {}  # one object per distinct window, so the sample takes little of the driver's memory
+    texts = [(label, [same.setdefault(w, w) for w in windows_of(text)]) for text, label in seen.items()]
     marked = [w for label, w in texts if label == 1]
     ordinary = [w for label, w in texts if label == 0]
     if len(marked) < 2 or len(ordinary) < 2:
