@@ -12,6 +12,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pyarrow as pa
 import sentencepiece
@@ -25,8 +26,7 @@ VOCABULARY = "piece_bpe_32k.model"
 FOLD = (5, 1)  # rows whose crc32(doc_id as text) mod 5 is 1 are held out
 ROUNDS = 2  # of expectation maximisation
 PRIOR = 1000.0  # pseudo-counts that the vocabulary's own scores are worth
-HOT_WORDS = 200_000  # most frequent words whose counts are sent to all tasks; all others are joined
-KEPT_WORDS = 300_000  # word probabilities a worker keeps
+HOT_WORDS = 200_000  # most frequent words whose counts and scores are sent to all tasks; all others are joined
 FLUSH_WORDS = 200_000  # distinct words a task counts before it hands them on
 LONG_WORD = 64  # characters from which sums are kept in log space throughout
 _SPACE = "▁"
@@ -73,38 +73,73 @@ class Lattice:
 
     def log_probability(self, word: str) -> float:
         """Natural log of the word's probability: forward recursion, every sum taken in log space."""
-        text, weights = _SPACE + word, self.weights
-        arriving: list[list[float]] = [[] for _ in range(len(text) + 1)]
+        text, weights, find = _SPACE + word, self.weights, self.find.get
+        size = len(text)
+        arriving: list[list[float]] = [[] for _ in range(size + 1)]
         arriving[0].append(0.0)
-        at, here = -1, 0.0
-        for start, end, numbers in self.edges(text):
-            if start != at:
-                at, here = start, _log_sum(arriving[start])
-                arriving[start] = ()
-            arriving[end].append(here + (weights[numbers[0]] if len(numbers) == 1 else sum(weights[n] for n in numbers)))
-        return _log_sum(arriving[-1])
-
-    def expect(self, word: str, times: float, counts: np.ndarray) -> None:
+        for i in range(size):
+            here = _log_sum(arriving[i])
+            arriving[i] = []
+            number = find(text[i])
+            if number is None or number < 0:
+                arriving[i + 1].append(here + sum(weights[self.byte_ids[b]] for b in text[i].encode("utf-8", "replace")))
+            j = i + 1
+            while number is not None:
+                if number >= 0:
+                    arriving[j].append(here + weights[number])
+                if j == size:
+                    break
+                j += 1
+                number = find(text[i:j])
+        return _log_sum(arriving[size])
+
+    def expect(self, word: str, times: float, counts: list[float]) -> None:
         """Add ``times`` the expected number of uses of each piece in the word to ``counts``."""
         text = _SPACE + word
-        edges = list(self.edges(text))
         size = len(text)
-        if size <= LONG_WORD:
-            linear = self.linear
-            ahead, behind = [0.0] * (size + 1), [0.0] * (size + 1)
-            ahead[0] = behind[size] = 1.0
-            costs = [linear[n[0]] if len(n) == 1 else math.prod(linear[x] for x in n) for _, _, n in edges]
-            for (i, j, _), p in zip(edges, costs):
-                ahead[j] += ahead[i] * p
-            for (i, j, _), p in zip(reversed(edges), reversed(costs)):
-                behind[i] += behind[j] * p
-            if ahead[size] > 1e-250:
-                scale = times / ahead[size]
-                for (i, j, numbers), p in zip(edges, costs):
-                    share = ahead[i] * p * behind[j] * scale
-                    for n in numbers:
-                        counts[n] += share
-                return
+        if size > LONG_WORD or not self._expect_short(text, size, times, counts):
+            self._expect_long(text, size, times, counts)
+
+    def _expect_short(self, text: str, size: int, times: float, counts: list[float]) -> bool:
+        """Forward and backward sums of plain probabilities; False if they are too small for that."""
+        linear, find = self.linear, self.find.get
+        ahead = [0.0] * (size + 1)
+        ahead[0] = 1.0
+        edges = []  # start, end, piece (-1: bytes), probability of everything up to its end
+        for i in range(size):
+            here = ahead[i]
+            number = find(text[i])
+            if number is None or number < 0:
+                reached = here * math.prod(linear[self.byte_ids[b]] for b in text[i].encode("utf-8", "replace"))
+                ahead[i + 1] += reached
+                edges.append((i, i + 1, -1, reached))
+            j = i + 1
+            while number is not None:
+                if number >= 0:
+                    reached = here * linear[number]
+                    ahead[j] += reached
+                    edges.append((i, j, number, reached))
+                if j == size:
+                    break
+                j += 1
+                number = find(text[i:j])
+        if ahead[size] < 1e-250:
+            return False
+        scale = times / ahead[size]
+        behind = [0.0] * (size + 1)
+        behind[size] = 1.0
+        for i, j, number, reached in reversed(edges):
+            share = reached * behind[j]
+            behind[i] += share / ahead[i]
+            if number >= 0:
+                counts[number] += share * scale
+            else:
+                for b in text[i].encode("utf-8", "replace"):
+                    counts[self.byte_ids[b]] += share * scale
+        return True
+
+    def _expect_long(self, text: str, size: int, times: float, counts: list[float]) -> None:
+        edges = list(self.edges(text))
         costs = [sum(self.weights[x] for x in n) for _, _, n in edges]
         ahead, behind = [-math.inf] * (size + 1), [-math.inf] * (size + 1)
         ahead[0] = behind[size] = 0.0
@@ -204,8 +239,8 @@ def train(words: DataFrame, n_docs: int, path: str | None = None, rounds: int =
 # ------------------------------------------------------------------------------------------------------------- scoring
 
 
-def _frequent(words: DataFrame, most: int) -> dict[str, int]:
-    """Counts of the most frequent words, ``most`` at most: the lowest count comes from a histogram of logarithms."""
+def _frequent(words: DataFrame, most: int) -> dict[str, tuple[int, float]]:
+    """Counts and scores of the most frequent words, ``most`` at most: the lowest count comes from a histogram of logarithms."""
     level = F.floor(F.log2("c") * 8)
     histogram = words.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("n")).collect()  # 512 rows at most
     lowest, used = math.inf, 0
@@ -217,56 +252,58 @@ def _frequent(words: DataFrame, most: int) -> dict[str, int]:
     if lowest == math.inf:
         return {}
     top = words.where(level >= lowest).toArrow()
-    return dict(zip(top["word"].to_pylist(), top["c"].to_pylist()))
+    return dict(zip(top["word"].to_pylist(), zip(top["c"].to_pylist(), top["p"].to_pylist())))
 
 
-_ROW = """doc_id long, held_out boolean, row long, n_tokens long, score double, hot_known long, hot_base double,
-    rest array<struct<word string, n int>>"""
+def _word_scores(vocabulary, weights: np.ndarray):
+    def scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lattice = Lattice(*vocabulary.value, weights)
+        for batch in batches:
+            p = [lattice.log_probability(w) / _LN10 for w in batch.column(0).to_pylist()]
+            yield pa.record_batch({"word": batch.column(0), "c": batch.column(1), "p": pa.array(p, type=pa.float64())})
 
+    return scores
 
-class _Words(dict):
-    """log10 probability of words, worked out once and kept up to a bound."""
 
-    def __init__(self, lattice: Lattice):
-        super().__init__()
-        self.lattice = lattice
+def _unseen_scores(vocabulary, weights: np.ndarray):
+    """Column function: log10 probability of a word; null stays null."""
 
-    def __missing__(self, word: str) -> float:
-        found = self.lattice.log_probability(word) / _LN10
-        if len(word) <= LONG_WORD:
-            if len(self) >= KEPT_WORDS:
-                self.clear()
-            self[word] = found
-        return found
+    @F.pandas_udf("double")
+    def scores(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        lattice = Lattice(*vocabulary.value, weights)
+        for batch in batches:
+            found = {w: lattice.log_probability(w) / _LN10 for w in batch.dropna().unique()}
+            yield batch.map(found).astype("float64")
+
+    return scores
 
 
-def _scored(vocabulary, weights: np.ndarray, hot, n_docs: int, below: float):
+_ROW = """doc_id long, held_out boolean, row long, n_tokens long, hot_known long, hot_base double, hot_score double,
+    rest array<struct<word string, n int>>"""
+
+
+def _scored(hot, end_known: int, end_base: float, end_score: float, below: float):
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces, byte_ids = vocabulary.value
-        lattice = Lattice(pieces, byte_ids, weights)
-        known = _Words(lattice)
-        counts = hot.value
-        base = {w: math.log10((c + 0.5) / below) for w, c in counts.items()}
-        end_base = math.log10((n_docs + 0.5) / below)
-        end_score = weights[lattice.end] / _LN10
+        known = {w: (math.log10((c + 0.5) / below), p) for w, (c, p) in hot.value.items()}
+        names = ["n_tokens", "hot_known", "hot_base", "hot_score"]
+        kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64()]
         for batch in batches:
-            columns: dict[str, list] = {k: [] for k in ("n_tokens", "score", "hot_known", "hot_base")}
+            columns: list[list] = [[] for _ in names]
             rest_words, rest_counts, offsets = [], [], [0]
             for text in batch.column(3).to_pylist():
                 tokens = words_of(text)
-                found = Counter(tokens)
-                score, hot_base, hot_known = end_score, end_base, int(n_docs > 0)
-                for word, n in found.items():
-                    score += n * known[word]
-                    value = base.get(word)
-                    if value is None:
+                hot_known, base, score = end_known, end_base, end_score
+                for word, n in Counter(tokens).items():
+                    values = known.get(word)
+                    if values is None:
                         rest_words.append(word)
                         rest_counts.append(n)
                     else:
-                        hot_base += n * value
                         hot_known += n
-                for name, value in zip(columns, (len(tokens) + 1, score, hot_known, hot_base)):
-                    columns[name].append(value)
+                        base += n * values[0]
+                        score += n * values[1]
+                for column, value in zip(columns, (len(tokens) + 1, hot_known, base, score)):
+                    column.append(value)
                 offsets.append(len(rest_words))
             rest = pa.ListArray.from_arrays(
                 pa.array(offsets, type=pa.int32()),
@@ -274,14 +311,11 @@ def _scored(vocabulary, weights: np.ndarray, hot, n_docs: int, below: float):
                     [pa.array(rest_words, type=pa.string()), pa.array(rest_counts, type=pa.int32())], ["word", "n"]
                 ),
             )
-            yield pa.record_batch({
-                "doc_id": batch.column(0), "held_out": batch.column(1), "row": batch.column(2),
-                "n_tokens": pa.array(columns["n_tokens"], type=pa.int64()),
-                "score": pa.array(columns["score"], type=pa.float64()),
-                "hot_known": pa.array(columns["hot_known"], type=pa.int64()),
-                "hot_base": pa.array(columns["hot_base"], type=pa.float64()),
-                "rest": rest,
-            })
+            yield pa.record_batch(
+                {"doc_id": batch.column(0), "held_out": batch.column(1), "row": batch.column(2)}
+                | {name: pa.array(values, type=kind) for name, values, kind in zip(names, columns, kinds)}
+                | {"rest": rest}
+            )
 
     return scored
 
@@ -291,8 +325,8 @@ def score(docs: DataFrame, path: str | None = None, hot_words: int = HOT_WORDS)
 
     Null and empty texts are the end token alone. A null doc_id is not held out. Repeated rows are counted and scored as
     documents of their own. Without training rows no token is known and the vocabulary's own weights score. Only doc_id
-    and text are read. The counts of the most frequent words go to all tasks (``hot_words`` at most); a text's other words
-    are joined with the count table, one row per text and distinct word.
+    and text are read. Every distinct training word is scored once; counts and scores of the most frequent ones go to all
+    tasks (``hot_words`` at most), a text's other words are joined, one row per text and distinct word.
     """
     spark = docs.sparkSession
     words = materialize(word_counts(docs))
@@ -301,28 +335,26 @@ def score(docs: DataFrame, path: str | None = None, hot_words: int = HOT_WORDS)
     train_tokens = total + n_docs
     below = train_tokens + 0.5 * (distinct + int(n_docs > 0) + 1)
     vocabulary, weights = train(words, n_docs, path)
+    words = materialize(words.mapInArrow(_word_scores(vocabulary, weights), "word string, c long, p double"))
     hot = spark.sparkContext.broadcast(_frequent(words, hot_words))
+    end = int(n_docs > 0), math.log10((n_docs + 0.5) / below), float(weights[-1]) / _LN10
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), held_out("doc_id", *FOLD).alias("held_out"),
         F.monotonically_increasing_id().alias("row"), "text",
     )
-    rows = materialize(rows.mapInArrow(_scored(vocabulary, weights, hot, n_docs, below), _ROW))
-    unknown = math.log10(0.5 / below)
-    rest = (
-        rows.select("row", F.explode("rest").alias("r")).select("row", "r.word", "r.n")
-        .join(words, "word", "left")
-        .groupBy("row")
-        .agg(
-            F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("rest_known"),
-            F.sum(F.col("n") * F.when(F.col("c") > 0, F.log10((F.col("c") + 0.5) / F.lit(below))).otherwise(unknown)).alias(
-                "rest_base"
-            ),
-        )
+    rows = materialize(rows.mapInArrow(_scored(hot, *end, below), _ROW))
+    joined = rows.select("row", F.explode("rest").alias("r")).select("row", "r.word", "r.n").join(words, "word", "left")
+    unseen = _unseen_scores(vocabulary, weights)(F.when(F.col("c").isNull(), F.col("word")))
+    base = F.log10((F.coalesce("c", F.lit(0)) + 0.5) / F.lit(below))
+    rest = joined.select("row", "n", "c", base.alias("base"), F.coalesce("p", unseen).alias("p")).groupBy("row").agg(
+        F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("rest_known"),
+        F.sum(F.col("n") * F.col("base")).alias("rest_base"),
+        F.sum(F.col("n") * F.col("p")).alias("rest_score"),
     )
     return rows.drop("rest").join(rest, "row", "left").select(
         "doc_id", "held_out", "n_tokens",
         (F.col("hot_known") + F.coalesce("rest_known", F.lit(0))).cast("long").alias("n_known"),
         F.lit(train_tokens).cast("long").alias("train_tokens"),
         (F.col("hot_base") + F.coalesce("rest_base", F.lit(0.0))).alias("base_score"),
-        "score",
+        (F.col("hot_score") + F.coalesce("rest_score", F.lit(0.0))).alias("score"),
     )
