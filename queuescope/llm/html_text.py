@@ -1,8 +1,8 @@
 """Main text of pages by wrapper induction: same-host DOM trees are aligned, constant nodes are template, varying ones content.
 
 A page's skeleton is the tree of its containers; runs of equal siblings fold into one node. Skeletons of a host are aligned
-with its most frequent one by simple tree matching. A node whose text is the same on all pages of the host is template. Of the
-others, nodes that are no part of an article by tag, role or class (menus, adverts, comments, ...) or that are mostly links are
+with its most frequent one by simple tree matching. A node whose text is the same on all pages of the host is template, if these
+are several pages and not copies or near copies of one article. Of the others, nodes that are no part of an article by tag, role or class (menus, adverts, comments, ...) or that are mostly links are
 left out. What remains are the slots that hold content; each page gives the text blocks of its slots.
 """
 
@@ -17,13 +17,16 @@ from functools import lru_cache
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql import Window as W
 
+from queuescope.llm import simhash
+from queuescope.llm.components import components
 from queuescope.session import materialize
 
-MIN_PAGES = 3  # pages a node must be on before equal texts make it template
+MIN_PAGES = 3  # different pages a node must be on before equal texts make it template; near copies are one page
 LINK_SHARE = 0.5  # a slot whose text is links beyond this share is a menu
 
 # Fixed values of HTML: what has no end tag, what is never shown, what nests other blocks, what starts a new block.
@@ -266,6 +269,12 @@ def slots(skeleton: str, template: list[bool]) -> list[int]:
 
     If nothing is left, all nodes that may be part of an article are taken: copies of one page have no varying node.
     """
+    may, _ = candidates(skeleton)
+    return [i for i in may if not template[i]] or may
+
+
+def candidates(skeleton: str) -> tuple[list[int], bool]:
+    """Nodes that may be part of an article, and whether they are the ones inside article and main tags."""
     nodes = parse_skeleton(skeleton)
     out = left_out(skeleton)
     in_body = []
@@ -273,8 +282,14 @@ def slots(skeleton: str, template: list[bool]) -> list[int]:
         in_body.append(label.split(".")[0] in BODY_TAGS or (parent >= 0 and in_body[parent]))
     may = [i for i in range(len(nodes)) if not out[i]]
     if any(in_body[i] for i in may):
-        may = [i for i in may if in_body[i]]
-    return [i for i in may if not template[i]] or may
+        return [i for i in may if in_body[i]], True
+    return may, False
+
+
+def telling(skeleton: str, constant: list[bool]) -> list[int]:
+    """Nodes whose text tells pages apart: the article with all its parts, or else what varies on the host."""
+    may, marked = candidates(skeleton)
+    return may if marked else [i for i in may if not constant[i]] or may
 
 
 _PARTIAL = "host string, skeleton string, node int, pages long, low long, high long, chars long, links long"
@@ -322,20 +337,80 @@ def _aligned(references: pd.Series, skeletons: pd.Series) -> pd.Series:
     return pd.Series([known[pair] for pair in zip(references, skeletons)], dtype=object)
 
 
-@F.pandas_udf(T.ArrayType(T.IntegerType()))
-def _slots(skeletons: pd.Series, templates: pd.Series) -> pd.Series:
+def _chosen(choose, skeletons: pd.Series, marked: pd.Series) -> pd.Series:
     rows = []
-    for skeleton, nodes in zip(skeletons, templates):
-        constant = set(nodes)
-        rows.append(slots(skeleton, [i in constant for i in range(len(parse_skeleton(skeleton)))]))
+    for skeleton, nodes in zip(skeletons, marked):
+        known = set(nodes)
+        rows.append(choose(skeleton, [i in known for i in range(len(parse_skeleton(skeleton)))]))
     return pd.Series(rows, dtype=object)
 
 
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
+def _slots(skeletons: pd.Series, templates: pd.Series) -> pd.Series:
+    return _chosen(slots, skeletons, templates)
+
+
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
+def _telling(skeletons: pd.Series, constants: pd.Series) -> pd.Series:
+    return _chosen(telling, skeletons, constants)
+
+
+_BLOCKS = "page_id long, url string, host string, skeleton string, blocks array<struct<node int, text string>>"
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    kind = pa.list_(pa.struct([("node", pa.int32()), ("text", pa.string())]))
+    for batch in batches:
+        hosts, skeletons, blocks = [], [], []
+        for url, source in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+            page = Page(source or "")
+            skeleton, place = page.skeleton()
+            hosts.append(host_of(url))
+            skeletons.append(skeleton)
+            blocks.append([{"node": place[node], "text": text} for node, text, _ in page.blocks])
+        yield pa.record_batch({
+            "page_id": batch.column(0).cast(pa.int64()), "url": batch.column(1), "host": hosts,
+            "skeleton": pa.array(skeletons, type=pa.string()), "blocks": pa.array(blocks, type=kind),
+        })
+
+
+def _text_of(nodes: str) -> Column:
+    """Text of the blocks whose node is in the given array column."""
+    return F.array_join(
+        F.transform(F.filter("blocks", lambda b: F.array_contains(nodes, b["node"])), lambda b: b["text"]), "\n"
+    )
+
+
+def _different(pages: DataFrame, judged: DataFrame) -> DataFrame:
+    """(host, own, at, different) for every judged node: on how many different pages it is, counted up to MIN_PAGES or more.
+
+    Copies and near copies, by the fingerprint of the text that tells pages apart, are one page.
+    """
+    same = F.when(F.col("constant") & (F.col("all_pages") >= MIN_PAGES), F.col("node"))
+    known = judged.groupBy("host", "skeleton").agg(F.collect_list(same).alias("same"))
+    known = materialize(known.select("host", "skeleton", _telling("skeleton", "same").alias("telling")))
+    parsed = pages.select(F.lit(0).cast("long").alias("page_id"), "url", "html").mapInArrow(_blocks, _BLOCKS)
+    prints = materialize(
+        parsed.join(known, ["host", "skeleton"])
+        .select("host", "skeleton", simhash.fingerprint_column(_text_of("telling")).alias("fp"))
+        .distinct()
+    )
+    roots = components(simhash.links(materialize(prints.select("fp").distinct())))
+    kinds = prints.join(roots, prints["fp"] == roots["node"], "left").select(
+        "host", "skeleton", F.coalesce("root", "fp").alias("kind")
+    ).distinct()
+    place = F.row_number().over(W.partitionBy("host", "skeleton").orderBy("kind"))
+    few = kinds.withColumn("place", place).where(F.col("place") <= MIN_PAGES)  # enough to see whether there are so many
+    return few.join(judged.select("host", "skeleton", "own", "at").distinct(), ["host", "skeleton"]).groupBy(
+        "host", "own", "at"
+    ).agg(F.count_distinct("kind").alias("different"))
+
+
 def wrappers(pages: DataFrame) -> DataFrame:
     """(host, skeleton, slots) for every host and skeleton of ``pages``, from statistics over all pages."""
+    pages = pages.select(F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     nodes = materialize(
-        pages.select(F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-        .mapInArrow(_statistics, _PARTIAL)
+        pages.mapInArrow(_statistics, _PARTIAL)
         .groupBy("host", "skeleton", "node")
         .agg(*[F.sum(c).alias(c) for c in ("pages", "chars", "links")], F.min("low").alias("low"), F.max("high").alias("high"))
     )
@@ -352,34 +427,16 @@ def wrappers(pages: DataFrame) -> DataFrame:
         *[F.sum(c).alias(f"all_{c}") for c in ("pages", "chars", "links")],
         (F.min("low") == F.max("high")).alias("constant"),
     )
-    template = (F.col("constant") & (F.col("all_pages") >= MIN_PAGES)) | (
+    judged = materialize(placed.join(judged, ["host", "own", "at"]))
+    template = (F.col("constant") & (F.col("different") >= MIN_PAGES)) | (
         F.col("all_links") > LINK_SHARE * F.col("all_chars")
     )
-    found = placed.join(judged, ["host", "own", "at"]).groupBy("host", "skeleton").agg(
+    found = judged.join(_different(pages, judged), ["host", "own", "at"]).groupBy("host", "skeleton").agg(
         F.collect_list(F.when(template, F.col("node"))).alias("template")
     )
     return found.select("host", "skeleton", _slots("skeleton", "template").alias("slots"))
 
 
-_BLOCKS = "page_id long, url string, host string, skeleton string, blocks array<struct<node int, text string>>"
-
-
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kind = pa.list_(pa.struct([("node", pa.int32()), ("text", pa.string())]))
-    for batch in batches:
-        hosts, skeletons, blocks = [], [], []
-        for url, source in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-            page = Page(source or "")
-            skeleton, place = page.skeleton()
-            hosts.append(host_of(url))
-            skeletons.append(skeleton)
-            blocks.append([{"node": place[node], "text": text} for node, text, _ in page.blocks])
-        yield pa.record_batch({
-            "page_id": batch.column(0).cast(pa.int64()), "url": batch.column(1), "host": hosts,
-            "skeleton": pa.array(skeletons, type=pa.string()), "blocks": pa.array(blocks, type=kind),
-        })
-
-
 def main_text(pages: DataFrame) -> DataFrame:
     """One row per page row: page_id, url, text, n_chars.
 
@@ -390,9 +447,6 @@ def main_text(pages: DataFrame) -> DataFrame:
     parsed = pages.select(
         "page_id", F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html")
     ).mapInArrow(_blocks, _BLOCKS)
-    text = F.array_join(
-        F.transform(F.filter("blocks", lambda b: F.array_contains("slots", b["node"])), lambda b: b["text"]), "\n"
-    )
     return parsed.join(found, ["host", "skeleton"], "left").select(
-        "page_id", "url", F.coalesce(text, F.lit("")).alias("text")
+        "page_id", "url", F.coalesce(_text_of("slots"), F.lit("")).alias("text")
     ).withColumn("n_chars", F.length("text").cast("long"))

@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import math
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -96,6 +97,27 @@ def test_constant_containers_are_template(spark):
     assert {r["text"] for r in html_text.main_text(table).collect()} == {f"Story {i}" for i in range(5)}
 
 
+def test_copies_of_a_page_make_no_template(spark):
+    def words(seed, n=200):
+        return " ".join(f"w{seed}x{i}" for i in range(n))
+
+    parts = "<ul><li>first step</li><li>second step</li></ul><div class=inner><p>closing remark</p></div>"
+    box = "<div class=box><p>The same box everywhere</p></div>"
+    rows = [("copies", f"<article><p>{words(0)}</p>{parts}</article>")] * 4
+    rows += [("copies", f"<article><p>{words(i)}</p></article>") for i in range(1, 8)]
+    rows += [("near", f"<article><p>{words(0)} read {i} times</p>{parts}</article>") for i in range(5)]
+    rows += [("boxes", f"<article><p>{words(i)}</p>{box}</article>") for i in range(3)]
+    rows += [("plain", f"<div class=text><p>{words(0)}</p>{parts}</div>")] * 4
+    rows += [("plain", f"<div class=text><p>{words(i)}</p></div>") for i in range(1, 8)]
+    table = spark.createDataFrame(
+        [(i, f"http://{host}.example/", body) for i, (host, body) in enumerate(rows)], "page_id long, url string, html string"
+    )
+    texts = {r["page_id"]: r["text"] for r in html_text.main_text(table).collect()}
+    for i, (host, body) in enumerate(rows):
+        whole = "\n".join(t for t in re.split("<[^>]*>", body) if t)
+        assert texts[i] == (whole.replace("\nThe same box everywhere", "") if host == "boxes" else whole), host
+
+
 def test_tree_matching_aligns_in_order():
     left, right = "root(a(b() c()) d())", "root(a(c()) e() d())"
     assert html_text.match_trees(left, right) == [0, 1, 3, -1, 4]
