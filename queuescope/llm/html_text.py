@@ -2,8 +2,9 @@
 
 A page's skeleton is the tree of its containers; runs of equal siblings fold into one node. Skeletons of a host are aligned
 with its most frequent one by simple tree matching. A node whose text is the same on all pages of the host is template, if these
-are several pages and not copies or near copies of one article. Of the others, nodes that are no part of an article by tag, role or class (menus, adverts, comments, ...) or that are mostly links are
-left out. What remains are the slots that hold content; each page gives the text blocks of its slots.
+are several pages and not copies or near copies of one article. Of the others, nodes that are mostly links are left out, and
+those that are no part of an article by tag, role or class (menus, adverts, comments, ...), unless the host's texts say otherwise:
+see :func:`left_out`. What remains are the slots that hold content; each page gives the text blocks of its slots.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from __future__ import annotations
 import html as entities
 import re
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import lru_cache
 
 import pandas as pd
@@ -50,6 +51,11 @@ HINTS = frozenset(
     "aside widget footer header masthead cookie cookies consent notice notices alert popup modal newsletter subscribe login search "
     "comment comments disqus reply replies discussion share sharing social related recommended pagination pager toolbar skip".split()
 )
+VARY_BY_NATURE = frozenset(
+    "ad ads advert adverts advertisement sponsor sponsored promo comment comments disqus reply replies".split()
+)  # hints at what differs from page to page and is no article all the same
+IN_ARTICLE = frozenset(["header"])  # hints that mean something else within article and main: their own head
+NEARLY_ALL = 0.9  # share of the text from which on a node is the wrapper of it, whatever its class
 BODY_TAGS = frozenset(["article", "main"])
 
 _TOKEN = re.compile(
@@ -248,35 +254,58 @@ def match_trees(left: str, right: str) -> list[int]:
     return matched
 
 
-def left_out(skeleton: str) -> list[bool]:
-    """For each node whether it, or a node around it, is no part of an article by its tag, role or class."""
+def left_out(skeleton: str, text: Sequence[float] = (), varies: Sequence[bool] = ()) -> list[bool]:
+    """For each node whether it, or a node around it, is no part of an article by its tag, role or class.
+
+    ``text`` holds the varying text of each node on its host, in characters a page and without links; ``varies`` whether its
+    texts are known to differ. A mark does not count on a node around an article (or main) with half the text of the largest
+    or more, or on one with most of the text of the article, main or, without these, the page. Within an article a word of
+    the class or id does not count if the text varies. What varies by nature, like comments, is kept only if it is nearly all.
+    """
     nodes = parse_skeleton(skeleton)
-    out, in_body = [], []
-    for label, parent, _ in nodes:
-        tag, *words = label.split(".")
-        body = tag in BODY_TAGS or (parent >= 0 and in_body[parent])
-        bad = tag in LEFT_OUT or any(w in HINTS or (w[:1] == "@" and w[1:] in ROLES) for w in words)
-        if tag in ("html", "body", "root", "article", "main"):  # a class of the whole page says nothing
-            bad = False
-        bad = bad or (tag == "header" and not body)
+    tags = [label.split(".")[0] for label, _, _ in nodes]
+    words = [set(label.split(".")[1:]) for label, _, _ in nodes]
+    inside = list(text) or [0.0] * len(nodes)
+    differs = list(varies) or [False] * len(nodes)
+    for i in range(len(nodes) - 1, 0, -1):  # children come after their parent
+        inside[nodes[i][1]] += inside[i]
+        differs[nodes[i][1]] |= differs[i]
+    foreign, in_body, around = [], [], []
+    for i, (_, parent, _) in enumerate(nodes):
+        own = bool(words[i] & VARY_BY_NATURE) and inside[i] <= NEARLY_ALL * inside[0]
+        foreign.append(own or (parent >= 0 and foreign[parent]))
+        in_body.append(tags[i] in BODY_TAGS or (parent >= 0 and in_body[parent]))
+    for tag in ("article", "main"):
+        around = around or [i for i in range(len(nodes)) if tags[i] == tag and not foreign[i]]
+    most = max((inside[i] for i in around), default=0.0)
+    bodies = {i for i in around if 2 * inside[i] >= most}
+    holds = set()
+    for i in bodies:
+        while i >= 0:
+            holds.add(i)
+            i = nodes[i][1]
+    out, scope = [], []  # scope: the article or main around a node, or the page if it has none
+    for i, (_, parent, _) in enumerate(nodes):
+        scope.append(i if i in bodies else scope[parent] if parent >= 0 else -1 if bodies else 0)
+        by_tag = tags[i] in LEFT_OUT or (tags[i] == "header" and not in_body[i])
+        by_role = any(w[:1] == "@" and w[1:] in ROLES for w in words[i])
+        hints = words[i] & HINTS - (IN_ARTICLE if in_body[i] else frozenset())
+        if tags[i] in ("html", "body", "root", "article", "main"):  # a class of the whole page says nothing
+            by_tag = by_role = hints = False
+        if scope[i] >= 0 and tags[scope[i]] == "article" and differs[i] and not words[i] & VARY_BY_NATURE:
+            hints = False
+        heavy = scope[i] >= 0 and 2 * inside[i] > inside[scope[i]]
+        if words[i] & VARY_BY_NATURE:
+            heavy = heavy and inside[i] > NEARLY_ALL * inside[scope[i]]
+        bad = bool(by_tag or by_role or hints) and i not in holds and not heavy
         out.append(bad or (parent >= 0 and out[parent]))
-        in_body.append(body)
     return out
 
 
-def slots(skeleton: str, template: list[bool]) -> list[int]:
-    """Nodes whose blocks are content, given which nodes are template.
-
-    If nothing is left, all nodes that may be part of an article are taken: copies of one page have no varying node.
-    """
-    may, _ = candidates(skeleton)
-    return [i for i in may if not template[i]] or may
-
-
-def candidates(skeleton: str) -> tuple[list[int], bool]:
+def candidates(skeleton: str, text: Sequence[float] = (), varies: Sequence[bool] = ()) -> tuple[list[int], bool]:
     """Nodes that may be part of an article, and whether they are the ones inside article and main tags."""
     nodes = parse_skeleton(skeleton)
-    out = left_out(skeleton)
+    out = left_out(skeleton, text, varies)
     in_body = []
     for label, parent, _ in nodes:
         in_body.append(label.split(".")[0] in BODY_TAGS or (parent >= 0 and in_body[parent]))
@@ -286,9 +315,24 @@ def candidates(skeleton: str) -> tuple[list[int], bool]:
     return may, False
 
 
-def telling(skeleton: str, constant: list[bool]) -> list[int]:
+def _varying(marked: Sequence[bool], text: Sequence[float]) -> list[float]:
+    """The text of the nodes that are not marked as constant; of all, if there is no other text."""
+    rest = [0.0 if m else t for m, t in zip(marked, text)]
+    return rest if any(rest) else list(text)
+
+
+def slots(skeleton: str, template: Sequence[bool], text: Sequence[float] = (), varies: Sequence[bool] = ()) -> list[int]:
+    """Nodes whose blocks are content, given which nodes are template.
+
+    If nothing is left, all nodes that may be part of an article are taken: copies of one page have no varying node.
+    """
+    may, _ = candidates(skeleton, _varying(template, text), varies)
+    return [i for i in may if not template[i]] or may
+
+
+def telling(skeleton: str, constant: Sequence[bool], text: Sequence[float] = (), varies: Sequence[bool] = ()) -> list[int]:
     """Nodes whose text tells pages apart: the article with all its parts, or else what varies on the host."""
-    may, marked = candidates(skeleton)
+    may, marked = candidates(skeleton, _varying(constant, text), varies)
     return may if marked else [i for i in may if not constant[i]] or may
 
 
@@ -337,22 +381,29 @@ def _aligned(references: pd.Series, skeletons: pd.Series) -> pd.Series:
     return pd.Series([known[pair] for pair in zip(references, skeletons)], dtype=object)
 
 
-def _chosen(choose, skeletons: pd.Series, marked: pd.Series) -> pd.Series:
-    rows = []
-    for skeleton, nodes in zip(skeletons, marked):
-        known = set(nodes)
-        rows.append(choose(skeleton, [i in known for i in range(len(parse_skeleton(skeleton)))]))
-    return pd.Series(rows, dtype=object)
+def _chosen(choose, *columns: pd.Series) -> pd.Series:
+    return pd.Series([list(choose(*row)) for row in zip(*columns)], dtype=object)
 
 
 @F.pandas_udf(T.ArrayType(T.IntegerType()))
-def _slots(skeletons: pd.Series, templates: pd.Series) -> pd.Series:
-    return _chosen(slots, skeletons, templates)
+def _slots(skeletons: pd.Series, templates: pd.Series, texts: pd.Series, varies: pd.Series) -> pd.Series:
+    return _chosen(slots, skeletons, templates, texts, varies)
 
 
 @F.pandas_udf(T.ArrayType(T.IntegerType()))
-def _telling(skeletons: pd.Series, constants: pd.Series) -> pd.Series:
-    return _chosen(telling, skeletons, constants)
+def _telling(skeletons: pd.Series, constants: pd.Series, texts: pd.Series, varies: pd.Series) -> pd.Series:
+    return _chosen(telling, skeletons, constants, texts, varies)
+
+
+def _per_skeleton(judged: DataFrame, marked: Column, choose, out: str) -> DataFrame:
+    """(host, skeleton, out): the nodes ``choose`` takes, given which are marked and the texts of all, in reading order."""
+    menu = F.col("all_links") > LINK_SHARE * F.col("all_chars")
+    text = F.when(menu, 0.0).otherwise((F.col("all_chars") - F.col("all_links")) / F.col("all_pages"))
+    facts = F.struct(
+        "node", F.coalesce(marked, F.lit(False)).alias("marked"), text.alias("text"), (~F.col("constant") & ~menu).alias("varies")
+    )
+    rows = judged.groupBy("host", "skeleton").agg(F.sort_array(F.collect_list(facts)).alias("facts"))
+    return rows.select("host", "skeleton", choose("skeleton", *[f"facts.{c}" for c in ("marked", "text", "varies")]).alias(out))
 
 
 _BLOCKS = "page_id long, url string, host string, skeleton string, blocks array<struct<node int, text string>>"
@@ -386,9 +437,8 @@ def _different(pages: DataFrame, judged: DataFrame) -> DataFrame:
 
     Copies and near copies, by the fingerprint of the text that tells pages apart, are one page.
     """
-    same = F.when(F.col("constant") & (F.col("all_pages") >= MIN_PAGES), F.col("node"))
-    known = judged.groupBy("host", "skeleton").agg(F.collect_list(same).alias("same"))
-    known = materialize(known.select("host", "skeleton", _telling("skeleton", "same").alias("telling")))
+    same = F.col("constant") & (F.col("all_pages") >= MIN_PAGES)
+    known = materialize(_per_skeleton(judged, same, _telling, "telling"))
     parsed = pages.select(F.lit(0).cast("long").alias("page_id"), "url", "html").mapInArrow(_blocks, _BLOCKS)
     prints = materialize(
         parsed.join(known, ["host", "skeleton"])
@@ -431,10 +481,7 @@ def wrappers(pages: DataFrame) -> DataFrame:
     template = (F.col("constant") & (F.col("different") >= MIN_PAGES)) | (
         F.col("all_links") > LINK_SHARE * F.col("all_chars")
     )
-    found = judged.join(_different(pages, judged), ["host", "own", "at"]).groupBy("host", "skeleton").agg(
-        F.collect_list(F.when(template, F.col("node"))).alias("template")
-    )
-    return found.select("host", "skeleton", _slots("skeleton", "template").alias("slots"))
+    return _per_skeleton(judged.join(_different(pages, judged), ["host", "own", "at"]), template, _slots, "slots")
 
 
 def main_text(pages: DataFrame) -> DataFrame:

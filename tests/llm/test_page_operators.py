@@ -118,6 +118,41 @@ def test_copies_of_a_page_make_no_template(spark):
         assert texts[i] == (whole.replace("\nThe same box everywhere", "") if host == "boxes" else whole), host
 
 
+def test_hints_do_not_overrule_the_text(spark):
+    def words(i, name="w", n=60):
+        return " ".join(f"{name}{i}x{k}" for k in range(n))
+
+    story = [f"<p>{words(i)}</p>" for i in range(4)]
+    teaser = "<div class=related><article class=card><p>short {0}</p></article></div>"
+    comments = "<div id=comments><article class=comment><p>{0}</p></article></div>"
+    wraps = [
+        "<div class='container sidebar-left'><article>{0}</article></div>",
+        "<div id=page class=header-fixed><article>{0}</article></div><aside><p>{1}</p></aside>",
+        "<div class='layout no-aside'><main>{0}</main></div><footer><p>{1}</p></footer>",
+        "<form id=aspnetForm><div class=content>{0}</div><div class=sidebar><p>{1}</p></div></form>",
+        "<article><div class='entry-header'><h1>Head {1}</h1></div>{0}</article>",
+        "<article><div class=related><p>On {1}</p></div>{0}<div class=discussion><p>So {1}</p></div></article>",
+        "<div class='comments-open'><div class=text>{0}</div></div>",
+        "<div class=layout-sidebar><article>{0}</article></div>" + teaser.replace("{0}", "{1}"),
+        "<article>{0}</article>" + comments.replace("{0}", "{2}"),
+        "<div class=text>{0}</div>" + comments.replace("{0}", "{2}"),
+        "<main><div class=text>{0}</div><div class=comments><p>{2}</p></div></main>",
+    ]
+    rows = [
+        (10 * h + i, f"http://h{h}.example/", wrap.format(story[i], f"n{i}", words(i, "c", 180)))
+        for h, wrap in enumerate(wraps) for i in range(4)
+    ]
+    rows += [(900, "http://one.example/", wraps[0].format(story[0])), (901, "http://two.example/", wraps[4].format(story[0], "n0"))]
+    table = spark.createDataFrame(rows, "page_id long, url string, html string")
+    texts = {r["page_id"]: r["text"] for r in html_text.main_text(table).collect()}
+    for h in range(len(wraps)):
+        for i in range(4):
+            body = words(i)
+            wanted = {4: f"Head n{i}\n{body}", 5: f"On n{i}\n{body}\nSo n{i}"}.get(h, body)
+            assert texts[10 * h + i] == wanted, wraps[h]
+    assert texts[900] == words(0) and texts[901] == f"Head n0\n{words(0)}"
+
+
 def test_tree_matching_aligns_in_order():
     left, right = "root(a(b() c()) d())", "root(a(c()) e() d())"
     assert html_text.match_trees(left, right) == [0, 1, 3, -1, 4]
