@@ -262,6 +262,15 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", fingerprint_column(F.col("text")).alias("fp"))
 
 
+def _rooted(rows: DataFrame, distance: int) -> DataFrame:
+    """(fp, first, root) of each fingerprint in ``rows`` (doc_id, fp): its smallest doc_id and the root of its component."""
+    distinct = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("first")))
+    roots = components(links(distinct.select("fp"), distance))
+    return distinct.join(roots, distinct["fp"] == roots["node"], "left").select(
+        "fp", "first", F.coalesce("root", "fp").alias("root")
+    )
+
+
 def near_duplicates(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
     """One row per document row: doc_id, fingerprint, component_id (the smallest doc_id it is linked to).
 
@@ -269,11 +278,7 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
     without a doc_id take part; a component without any doc_id has a null id. Other columns are not read.
     """
     rows = materialize(fingerprints(docs))
-    distinct = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    roots = components(links(distinct.select("fp"), distance))
-    labelled = distinct.join(roots, distinct["fp"] == roots["node"], "left").select(
-        "fp", "first", F.coalesce("root", "fp").alias("root")
-    )
+    labelled = _rooted(rows, distance)
     smallest = labelled.groupBy("root").agg(F.min("first").alias("component_id"))
     classes = labelled.join(smallest, "root").select("fp", "component_id")
     return rows.join(classes, "fp").select(
@@ -282,10 +287,16 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
-    """The document that names its component, for each component, with the columns it came with.
+    """One row of each component, with the columns it came with: the one with the smallest doc_id, rows without one last.
 
-    Of rows that repeat a doc_id one stays. Rows without a doc_id cannot be named and all stay.
+    Of these the smallest fingerprint counts. Rows that repeat a doc_id with another text are documents of their own, and rows
+    without a doc_id stay if no named row is near.
     """
-    kept = near_duplicates(docs, distance).where("doc_id = component_id").select(F.col("doc_id").alias("_kept"))
-    named = docs.join(kept.distinct(), F.col("doc_id") == F.col("_kept")).drop("_kept").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.where(F.col("doc_id").isNull()))
+    rooted = _rooted(materialize(fingerprints(docs)), distance)
+    least = F.min(F.struct(F.col("first").isNull().alias("unnamed"), "first", "fp")).alias("least")
+    kept = materialize(rooted.groupBy("root").agg(least).select(
+        F.col("least.first").alias("_kept"), F.col("least.fp").alias("_kept_fp")
+    ))
+    marked = docs.withColumn("_fp", fingerprint_column(F.col("text")))
+    found = marked.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")) & (F.col("_fp") == F.col("_kept_fp")))
+    return found.dropDuplicates(["doc_id", "_fp"]).drop("_fp", "_kept", "_kept_fp")

@@ -130,6 +130,15 @@ def test_one_of_each_keeps_columns_and_rows_without_key(spark, odd):
     assert simhash.near_duplicates(none_of(spark, odd)).count() == 0
 
 
+def test_one_of_each_keeps_texts_not_keys(spark):
+    a, b, c = (" ".join(f"{name}{i}" for i in range(400)) for name in "abc")
+    rows = [(1, a), (None, a), (3, a + " end"), (None, c), (None, c)] + [(3, b)] * 2 + [(5, b)]
+    assert bin(plain_fingerprint(a) ^ plain_fingerprint(a + " end")).count("1") <= simhash.DISTANCE
+    for parts in (1, 4):
+        docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
+        assert Counter(map(tuple, simhash.one_of_each(docs).collect())) == Counter([(1, a), (3, b), (None, c)])
+
+
 # ------------------------------------------------------------------------------------------------------------- bpe (4)
 
 
