@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from queuescope.llm import bpe, html_text, lattice, mixing, quality, quality_rules, simhash, topk, toxicity, warc
+from queuescope.llm import (
+    bpe, html_text, lattice, mixing, phrase_index, quality, quality_rules, simhash, topk, toxicity, warc,
+)
 from queuescope.llm.common import table
 
 
@@ -48,6 +50,10 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op13_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrase_index.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_topk": op2_topk,
@@ -59,8 +65,11 @@ QUERIES = {
     "op8_quality": op8_quality,
     "op9_lattice": op9_lattice,
     "op10_mixing": op10_mixing,
+    "op13_decontamination": op13_decontamination,
 }
 # Fixed values of both dialects: the white space between words, as a regular expression, and the rules' cutoffs.
+_LETTERS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+_CASES = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 _GAP = "[ \\t\\n\\x0B\\f\\r]+"
 _CUTS = ", ".join(f"({i}, {c}::DOUBLE)" for i, c in enumerate(quality_rules.CUTOFFS))
 _RATE, _LEVEL = quality_rules.MAX_FALSE_REJECTION, quality_rules.ERROR
@@ -133,4 +142,20 @@ SELECT page_id, url, octet_length(encode(html))::BIGINT AS payload_bytes,
        CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
        CASE WHEN page_id <> first_id THEN first_id END AS refers_to
 FROM p JOIN first USING (h)""",
+    "op13_decontamination": f"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), {_CASES}), '{_LETTERS}') AS w FROM documents),
+b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), {_CASES}), '{_LETTERS}') AS w FROM benchmark),
+windows AS (
+  SELECT DISTINCT item_id, w[i : i + 9] AS g FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 8, 2))) AS i FROM b WHERE len(w) > 0)),
+lengths AS (SELECT DISTINCT len(g) AS n FROM windows),
+places AS (
+  SELECT r, i, n, w[i : i + n - 1] AS g
+  FROM (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, lengths)),
+found AS MATERIALIZED (SELECT r, i, n, item_id FROM places JOIN windows USING (g)),
+hits AS (SELECT r, count(DISTINCT i + k) AS n_hit FROM (SELECT r, i, unnest(range(0, n)) AS k FROM (SELECT DISTINCT r, i, n FROM found)) GROUP BY r),
+names AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT r, item_id::VARCHAR AS item FROM found) GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hits USING (r) LEFT JOIN names USING (r)""",
 }
