@@ -24,7 +24,8 @@ from pyspark.sql import types as T
 from queuescope.session import materialize
 
 WINDOW = 10
-SHARD_BYTES = 8 << 20  # texts of a shard, unless one text alone is longer
+SLACK = 5  # words a stretch may hold besides those of the window, for a match by proximity
+SHARD_BYTES = 16 << 20  # texts of a shard, unless one text alone is longer
 SHARD_DOCS = 50_000
 WINDOWS_A_TASK = 200_000  # windows that meet a shard in one task; more are dealt over several
 CANDIDATES = 1 << 21  # places looked at together
@@ -263,6 +264,11 @@ class _Shard:
             low, high = self.starts[document], self.starts[document + 1]
             longest = lengths[window] + slack
             open_ = np.ones(len(window), bool)
+            for column in range(table.shape[1]):  # every word has to stand near the rarest one at all
+                row = np.flatnonzero(open_)
+                term = table[window[row], column]
+                at = self.next_at(np.maximum(term, 0), np.maximum(place[row] - longest[row] + 1, low[row]))
+                open_[row] = (term < 0) | (at < np.minimum(place[row] + longest[row], high[row]))
             for back in range(int(longest.max(initial=0))):  # a stretch starts at most so many words before the rarest
                 row = np.flatnonzero(open_ & (back < longest) & (place - back >= low))
                 first = place[row] - back
@@ -279,21 +285,23 @@ class _Shard:
 
 def _merged(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Overlapping or touching stretches as one."""
+    if not len(starts):
+        return starts, ends
     order = np.argsort(starts, kind="stable")
     starts, reach = starts[order], np.maximum.accumulate(ends[order])
     new = np.append(True, starts[1:] > reach[:-1])
     return starts[new], reach[np.append(new[1:], True)]
 
 
-_FOUND = "shard long, place int, wids array<long>, starts array<long>, ends array<long>"
+_FOUND = "shard long, place int, wids array<long>, starts array<long>, ends array<long>, near array<long>"
 
 
-def occurrences(index: DataFrame, windows: DataFrame, slack: int | None = None) -> DataFrame:
-    """shard, place, wids, starts, ends: per document the windows that occur in it, and the stretches of its words they cover.
+def occurrences(index: DataFrame, windows: DataFrame, slack: int = SLACK) -> DataFrame:
+    """shard, place, wids, starts, ends, near: per document the windows that occur in it, and the stretches they cover.
 
-    Without ``slack`` a window occurs where its words follow one another. With it, where any stretch of at most ``slack``
-    more words than the window holds all its words in any order. Where there are very many windows, a document may have
-    several rows.
+    ``wids`` are the windows whose words follow one another in the document, ``starts`` and ``ends`` the words they cover. ``near``
+    are those all of whose words stand, in any order, in a stretch of at most ``slack`` more words than the window. Where
+    there are very many windows, a document may have several rows.
     """
     ordered = materialize(_by_rarity(index, windows))
     tasks = max(1, -(-ordered.count() // WINDOWS_A_TASK))
@@ -313,27 +321,25 @@ def occurrences(index: DataFrame, windows: DataFrame, slack: int | None = None)
         if right.num_rows:
             is_list = pc.is_valid(left["term"])
             head, own = left.filter(pc.invert(is_list)), left.filter(is_list).combine_chunks()
-            counts = np.array(head["counts"][0].as_py(), np.int64)
             one = [c.chunk(0) if c.num_chunks else pa.array([], c.type) for c in (own["term"], own["postings"])]
-            shard = _Shard(one[0], own["n"].to_numpy(), one[1], counts)
+            shard = _Shard(one[0], own["n"].to_numpy(), one[1], np.array(head["counts"][0].as_py(), np.int64))
             asked, table, lengths = shard.windows(right["words"].chunk(0))
             wids = right["wid"].to_numpy()[asked]
-            parts = []
-            if len(asked) and slack is None:
-                parts = [(w, s, s + lengths[w]) for w, s in shard.phrases(table, lengths)]
-            elif len(asked):
-                parts = list(shard.spans(table, lengths, slack))
-            if parts:
-                window, first, end = (np.concatenate(c) for c in zip(*parts))
-                document = shard.document(first)
-                order = np.argsort(document, kind="stable")
-                cuts = np.flatnonzero(np.diff(document[order], prepend=-1))
-                for group in np.split(order, cuts[1:]) if len(order) else []:
-                    place = int(document[group[0]])
-                    starts, ends = _merged(first[group] - shard.starts[place], end[group] - shard.starts[place])
-                    rows.append((key[0].as_py(), place, np.unique(wids[window[group]]), starts, ends))
-        columns = list(zip(*rows)) or [()] * 5
-        kinds = [pa.int64(), pa.int32(), *[pa.list_(pa.int64())] * 3]
+            if len(asked):
+                exact = [(w, s, s + lengths[w]) for w, s in shard.phrases(table, lengths)]
+                window, first, end = (np.concatenate(c) for c in zip(*exact))
+                near_window, near_first, _ = (np.concatenate(c) for c in zip(*shard.spans(table, lengths, slack)))
+                order, near_order = np.argsort(first, kind="stable"), np.argsort(near_first, kind="stable")
+                window, first, end = window[order], first[order], end[order]
+                near_window, near_first = near_window[near_order], near_first[near_order]
+                for place in np.union1d(shard.document(first), shard.document(near_first)):
+                    begin, limit = shard.starts[place], shard.starts[place + 1]
+                    at = slice(*np.searchsorted(first, (begin, limit)))
+                    starts, ends = _merged(first[at] - begin, end[at] - begin)
+                    near = np.unique(wids[near_window[slice(*np.searchsorted(near_first, (begin, limit)))]])
+                    rows.append((key[0].as_py(), int(place), np.unique(wids[window[at]]), starts, ends, near))
+        columns = list(zip(*rows)) or [()] * 6
+        kinds = [pa.int64(), pa.int32(), *[pa.list_(pa.int64())] * 4]
         return pa.table({f.split()[0]: pa.array(c, t) for f, c, t in zip(_FOUND.split(", "), columns, kinds)})
 
     return lists.groupBy("shard", "block").cogroup(sent.groupBy("to_shard", "to_block")).applyInArrow(search, _FOUND)
@@ -348,26 +354,31 @@ def _covered(spans: Column) -> Column:
     ), lambda a: a.n)
 
 
-def contaminated(index: DataFrame, items: DataFrame, window: int = WINDOW, slack: int | None = None) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated of every document row of the index.
+def contaminated(index: DataFrame, items: DataFrame, window: int = WINDOW, slack: int = SLACK) -> DataFrame:
+    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, n_near_items of every document row of the index.
 
     ``n_hit`` are the words inside occurrences of windows, ``n_items`` the items with such windows, and the digest is that of
-    their ids, sorted as strings and joined by commas. Equal item_ids are one item; a null one counts and is written as an
-    empty string. A window that many documents share, or a text of many rows, is only more rows of the same small size.
+    their ids, sorted as strings and joined by commas; ``n_near_items`` are the items with a window whose words stand together
+    in any order. Equal item_ids are one item; a null one counts and is written as an empty string. A window that many
+    documents share, or a text of many rows, is only more rows of the same small size.
     """
     windows, item_of = windows_of(items, window)
     found = materialize(occurrences(index, windows, slack))
     spans = F.sort_array(F.flatten(F.collect_list(F.arrays_zip("starts", "ends"))))
     hits = found.groupBy("shard", "place").agg(spans.alias("_s")).select("shard", "place", _covered(F.col("_s")).alias("n_hit"))
-    which = found.select("shard", "place", F.explode("wids").alias("wid")).join(item_of, "wid")
-    names = which.groupBy("shard", "place").agg(
-        F.collect_set(F.coalesce(F.col("item_id").cast("string"), F.lit(""))).alias("_i")
+    both = found.select("shard", "place", F.explode("wids").alias("wid"), F.lit(True).alias("exact")).unionByName(
+        found.select("shard", "place", F.explode("near").alias("wid"), F.lit(False).alias("exact"))
+    )
+    name = F.coalesce(F.col("item_id").cast("string"), F.lit(""))
+    names = both.join(item_of, "wid").groupBy("shard", "place").agg(
+        F.collect_set(F.when(F.col("exact"), name)).alias("_i"), F.count_distinct(F.when(~F.col("exact"), name)).alias("_near")
     )
     rows = documents_of(index).join(hits, ["shard", "place"], "left").join(names, ["shard", "place"], "left")
     n_hit, listed = F.coalesce("n_hit", F.lit(0).cast("long")), F.coalesce("_i", F.array().cast("array<string>"))
     return rows.select(
         "doc_id", "n_words", n_hit.alias("n_hit"), F.size(listed).cast("long").alias("n_items"),
         F.sha2(F.array_join(F.sort_array(listed), ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"),
+        F.coalesce("_near", F.lit(0).cast("long")).alias("n_near_items"),
     )
 
 

@@ -154,8 +154,15 @@ places AS (
   FROM (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, lengths)),
 found AS MATERIALIZED (SELECT r, i, n, item_id FROM places JOIN windows USING (g)),
 hits AS (SELECT r, count(DISTINCT i + k) AS n_hit FROM (SELECT r, i, unnest(range(0, n)) AS k FROM (SELECT DISTINCT r, i, n FROM found)) GROUP BY r),
-names AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT r, item_id::VARCHAR AS item FROM found) GROUP BY r)
+names AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT r, item_id::VARCHAR AS item FROM found) GROUP BY r),
+keyed AS (SELECT *, list_last(list_sort(list_transform(g, lambda x: {{'n': length(x), 'w': x}}))).w AS word FROM windows),
+words AS (SELECT r, w, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM d),
+starts AS (
+  SELECT r, w, p, g, item_id, unnest(range(greatest(1, p - len(g) - {phrase_index.SLACK} + 1), p + 1)) AS i FROM words JOIN keyed USING (word)),
+near AS (
+  SELECT r, count(DISTINCT item_id) AS n_near_items FROM starts WHERE list_has_all(w[i : i + len(g) + {phrase_index.SLACK} - 1], g) GROUP BY r)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
-       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM d LEFT JOIN hits USING (r) LEFT JOIN names USING (r)""",
+       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated,
+       coalesce(n_near_items, 0)::BIGINT AS n_near_items
+FROM d LEFT JOIN hits USING (r) LEFT JOIN names USING (r) LEFT JOIN near USING (r)""",
 }
