@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from queuescope.llm import (
-    bpe, html_text, lattice, mixing, phrase_index, quality, quality_rules, simhash, topk, toxicity, warc,
+    bpe, collocations, html_text, lattice, mixing, phrase_index, quality, quality_rules, simhash, topk, toxicity, warc,
 )
 from queuescope.llm.common import table
 
@@ -50,6 +50,10 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 def op13_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrase_index.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -65,6 +69,7 @@ QUERIES = {
     "op8_quality": op8_quality,
     "op9_lattice": op9_lattice,
     "op10_mixing": op10_mixing,
+    "op11_collocations": op11_collocations,
     "op13_decontamination": op13_decontamination,
 }
 # Fixed values of both dialects: the white space between words, as a regular expression, and the rules' cutoffs.
@@ -142,6 +147,31 @@ SELECT page_id, url, octet_length(encode(html))::BIGINT AS payload_bytes,
        CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
        CASE WHEN page_id <> first_id THEN first_id END AS refers_to
 FROM p JOIN first USING (h)""",
+    "op11_collocations": f"""
+WITH t AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), {_CASES}) AS t FROM documents),
+pieces AS (SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?\\x0A-\\x0D]')) AS piece FROM t),
+w AS MATERIALIZED (SELECT lang, list_filter(regexp_split_to_array(piece, '[ \\t]+'), lambda x: x <> '') AS w FROM pieces),
+grams AS (
+  SELECT lang, k, array_to_string(w[i : i + k - 1], ' ') AS phrase
+  FROM (SELECT lang, k, w, unnest(range(1, len(w) - k + 2)) AS i FROM w, (VALUES (1), (2), (3)) v(k))),
+f AS MATERIALIZED (SELECT lang, k, phrase, string_split(phrase, ' ') AS p, count(*) AS f FROM grams GROUP BY lang, k, phrase),
+totals AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang),
+candidates AS MATERIALIZED (SELECT * FROM f WHERE k > 1 AND f >= 10),
+cuts AS (SELECT lang, phrase, k, f, c, array_to_string(p[:c], ' ') AS a, array_to_string(p[c + 1 :], ' ') AS b
+         FROM (SELECT *, unnest(range(1, k)) AS c FROM candidates)),
+scored AS (
+  SELECT cuts.lang, cuts.phrase, cuts.k, cuts.f AS a, x.f AS l, y.f AS r, c,
+         ((1000000::HUGEINT * cuts.f * cuts.f) // (x.f::HUGEINT * y.f))::BIGINT AS score
+  FROM cuts JOIN f x ON x.lang = cuts.lang AND x.phrase = cuts.a JOIN f y ON y.lang = cuts.lang AND y.phrase = cuts.b),
+lowest AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, c) AS place FROM scored) WHERE place = 1),
+longer AS (
+  SELECT lang, phrase, max(f) AS f FROM (
+    SELECT lang, unnest([p[1] || ' ' || p[2], p[2] || ' ' || p[3]]) AS phrase, f FROM candidates WHERE k = 3) GROUP BY lang, phrase),
+ranked AS (
+  SELECT s.*, row_number() OVER (PARTITION BY s.lang ORDER BY score DESC, a DESC, s.phrase) AS rank
+  FROM lowest s LEFT JOIN longer g ON g.lang = s.lang AND g.phrase = s.phrase WHERE g.f IS NULL OR 100 * g.f < 50 * a)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000""",
     "op13_decontamination": f"""
 WITH d AS (
   SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), {_CASES}), '{_LETTERS}') AS w FROM documents),
