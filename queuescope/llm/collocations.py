@@ -14,23 +14,25 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
+import zstandard as zstd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from queuescope.llm.common import cut_words
 from queuescope.session import materialize
 
 MIN_COUNT = 10
 TOP = 2000
 UNKNOWN = "und"
-TRIE_ENTRIES = 600_000  # phrases a task keeps before it spills
+TRIE_ENTRIES = 1_000_000  # phrases a task keeps before it spills
 BURST = 4096  # keys of a container below the first word
-BLOCK_BYTES = 1 << 20  # text that is cut into words at once, unless one text is longer
+BLOCK_BYTES = 2 << 20  # text that is cut into words at once, unless one text is longer
 WORD_BYTES = 64 << 20  # words a task keeps numbered
 PART_BYTES = 32 << 20  # text per prefix partition
 PARTS = 32, 16_384  # fewest and most prefix partitions
@@ -40,146 +42,193 @@ _TEXT = bytes(
     b + 32 if 65 <= b <= 90 else 255 if b in b".,;:!?\n\x0b\x0c\r" else 32 if b == 9 else b for b in range(256)
 )
 _K = [np.uint64(k) for k in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]  # odd multipliers of the words
-_RUN = "part int, run binary"
+_RUN = "part int, lang string, run binary"
 _COUNT = "lang string, phrase string, size int, f long"
 
 
-def _mixed(lang: np.ndarray | int, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+def _mixed(lang: int | np.ndarray, first: np.ndarray, second: np.ndarray) -> np.ndarray:
     """64-bit hash of (lang, two words) from the hashes of each."""
-    h = np.uint64(lang) * _K[0] + first * _K[1] + second * _K[2]
+    lang = np.atleast_1d(np.asarray(lang, np.uint64))  # arrays wrap around, which is what a hash wants
+    h = lang * _K[0] + first * _K[1] + second * _K[2]
     h = (h ^ (h >> np.uint64(32))) * _K[1]
     return h ^ (h >> np.uint64(29))
 
 
-def _hash(word: bytes) -> int:
-    return xxhash.xxh64_intdigest(word, 42)
+def _hashes(words: pa.LargeBinaryArray) -> np.ndarray:
+    """64-bit hashes of words: a polynomial of the bytes, mixed."""
+    offsets = np.frombuffer(words.buffers()[1], np.int64)[words.offset : words.offset + len(words) + 1]
+    letters = np.frombuffer(words.buffers()[2], np.uint8)[offsets[0] : offsets[-1]] if len(words) else np.zeros(0, np.uint8)
+    begin, length = offsets[:-1] - offsets[0], np.diff(offsets)
+    power = np.cumprod(np.full(int(length.max(initial=1)), _K[2]))
+    value = (letters + np.uint64(1)) * power[np.arange(len(letters)) - np.repeat(begin, length)]
+    total = np.concatenate(([np.uint64(0)], np.cumsum(value, dtype=np.uint64)))  # sums wrap around
+    h = total[begin + length] - total[begin]
+    return (h ^ (h >> np.uint64(31))) * _K[0]
 
 
-class _Words(dict):
-    """Numbers of words, from 1 on, given as they come."""
+def _hash_of(word: str) -> np.uint64:
+    return _hashes(pa.array([word.encode()], pa.large_binary()))[0]
 
-    def __init__(self):
-        super().__init__({_SEP: 0})
-        self.texts, self.hashes, self.size = [b""], [0], 0
-
-    def __missing__(self, word: bytes) -> int:
-        self[word] = number = len(self.texts)
-        self.texts.append(word)
-        self.hashes.append(_hash(word))
-        self.size += len(word) + 100
-        return number
 
-
-class _Node(defaultdict):
-    """A container that burst: second word -> container of third words."""
+class _Words:
+    """Numbers of words, from 1 on, given as they come, with their texts and hashes. Number 0 is no word."""
 
     def __init__(self):
-        super().__init__(dict)
+        self.number: dict[bytes, int] = {}
+        self.texts = [pa.array([b""], pa.large_binary())]
+        self.hashes = np.zeros(1, np.uint64)
+        self.size = 0
+
+    def ids(self, data: bytes) -> np.ndarray:
+        """Numbers of the words of a text in order, with 0 before the first piece, between pieces and after the last."""
+        letters = np.frombuffer(data.translate(_TEXT), np.uint8)
+        words, starts = cut_words(letters, (letters != 32) & (letters != 255))
+        coded = words.dictionary_encode()
+        known, number = self.number, []
+        fresh = []
+        for place, word in enumerate(coded.dictionary.to_numpy(zero_copy_only=False).tolist()):
+            n = known.get(word)
+            if n is None:
+                n = known[word] = len(known) + 1
+                fresh.append(place)
+            number.append(n)
+        if fresh:
+            new = coded.dictionary.take(pa.array(fresh))
+            self.texts.append(new)
+            self.hashes = np.concatenate((self.hashes, _hashes(new)))
+            self.size += new.nbytes + 100 * len(fresh)
+        numbers = np.array(number, np.int64)[coded.indices.to_numpy(zero_copy_only=False)]
+        piece = np.searchsorted(np.flatnonzero(letters == 255), starts)
+        place = np.arange(1, len(starts) + 1) + np.cumsum(np.diff(piece, prepend=piece[:1]) > 0)
+        out = np.zeros(place[-1] + 2 if len(place) else 1, np.int64)
+        out[place] = numbers
+        return out
+
+    def texts_of(self, ids: np.ndarray) -> pa.LargeBinaryArray:
+        self.texts = [pa.concat_arrays(self.texts)]
+        return self.texts[0].take(pa.array(ids))
 
 
 class HatTrie:
-    """Counts of phrases as paths of word ids, for one language."""
+    """Counts of phrases as paths of word ids, for one language.
+
+    ``plain`` holds one hash container per first word. A container that grew too large has burst into ``burst``: a node with
+    one container per second word. A container's keys are the ids below it; two ids are one number, second << 32 | third.
+    """
 
     def __init__(self):
-        self.root: defaultdict[int, dict] = defaultdict(dict)
+        self.plain: dict[int, dict[int, int]] = {}
+        self.burst: dict[int, dict[int, dict[int, int]]] = {}
+        self.most = 0  # at least as many as there are phrases
 
-    def add_pairs(self, codes: list[int]) -> None:
+    def add_pairs(self, ids: np.ndarray) -> None:
         """Count every word by the one that follows it; id 0 follows the last word of a piece."""
-        root = self.root
-        for first, second in zip(codes, codes[1:]):
-            if first:
-                container = root[first]
-                container[second] = container.get(second, 0) + 1
-
-    def add_triples(self, firsts: list[int], suffixes: list[int]) -> None:
-        """Count phrases of three words; a suffix is second << 32 | third."""
-        root = self.root
-        for first, suffix in zip(firsts, suffixes):
-            container = root[first]
-            if container.__class__ is _Node:
-                container, suffix = container[suffix >> 32], suffix & 0xFFFFFFFF
-            container[suffix] = container.get(suffix, 0) + 1
-        for first in set(firsts):
-            container = root[first]
-            if container.__class__ is dict and len(container) > BURST:
-                node = _Node()
-                for suffix, n in container.items():
-                    node[suffix >> 32][suffix & 0xFFFFFFFF] = n
-                root[first] = node
-
-    @staticmethod
-    def _size(subtree: dict) -> int:
-        return sum(map(len, subtree.values())) if subtree.__class__ is _Node else len(subtree)
+        first, second = ids[:-1], ids[1:]
+        order = np.argsort(first, kind="stable")
+        order = order[np.count_nonzero(first == 0) :]
+        self.most += len(order)
+        _add(self.plain, first[order], second[order].tolist())
+
+    def add_triples(self, first: np.ndarray, second: np.ndarray, third: np.ndarray) -> None:
+        """Count phrases of three words."""
+        order = np.lexsort((second, first))
+        first, second, third = first[order], second[order], third[order]
+        self.most += len(order)
+        apart = np.isin(first, np.fromiter(self.burst, np.int64, len(self.burst)))
+        for word, begin, end in _groups(first[apart]):
+            _add(self.burst[word], second[apart][begin:end], third[apart][begin:end].tolist())
+        first = first[~apart]
+        _add(self.plain, first, (second[~apart] << 32 | third[~apart]).tolist())
+        for word, *_ in _groups(first):
+            if len(self.plain[word]) > BURST:
+                node = self.burst[word] = {}
+                for suffix, n in self.plain.pop(word).items():
+                    node.setdefault(suffix >> 32, {})[suffix & 0xFFFFFFFF] = n
 
     def entries(self) -> int:
-        return sum(map(self._size, self.root.values()))
-
-    def take(self, at_least: int) -> list[tuple[int, dict]]:
-        """Remove the largest subtrees, until they hold ``at_least`` phrases."""
+        below = sum(sum(map(len, node.values())) for node in self.burst.values())
+        self.most = sum(map(len, self.plain.values())) + below
+        return self.most
+
+    def take(self, at_least: int) -> list[tuple[int, int, dict[int, int]]]:
+        """Remove the largest subtrees, until they hold ``at_least`` phrases: (first word, second << 32, container)."""
+        words = [*self.plain, *self.burst]
+        sizes = [*map(len, self.plain.values()), *(sum(map(len, n.values())) for n in self.burst.values())]
+        order = np.argsort(sizes)[::-1]
+        cut = int(np.searchsorted(np.cumsum(np.array(sizes, np.int64)[order]), at_least)) + 1
         taken = []
-        for first, size in sorted(((f, self._size(s)) for f, s in self.root.items()), key=lambda x: -x[1]):
-            if at_least <= 0:
-                break
-            taken.append((first, self.root.pop(first)))
-            at_least -= size
+        for place in order[:cut].tolist():
+            word = words[place]
+            if word in self.burst:
+                taken += [(word, below << 32, container) for below, container in self.burst.pop(word).items()]
+            else:
+                taken.append((word, 0, self.plain.pop(word)))
         return taken
 
 
-def _flat(subtrees: list[tuple[int, dict]], size: int) -> tuple[np.ndarray, np.ndarray]:
+def _add(node: dict[int, dict[int, int]], words: np.ndarray, below: list[int]) -> None:
+    """Count keys in the containers of sorted words."""
+    for word, begin, end in _groups(words):
+        container = node.get(word)
+        if container is None:
+            container = node[word] = {}
+        for key in below[begin:end]:
+            container[key] = container.get(key, 0) + 1
+
+
+def _groups(values: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """(value, begin, end) of the runs of equal values."""
+    begins = np.flatnonzero(np.diff(values, prepend=-1))
+    return zip(values[begins].tolist(), begins.tolist(), [*begins[1:].tolist(), len(values)])
+
+
+def _flat(subtrees: list[tuple[int, int, dict[int, int]]], size: int) -> tuple[np.ndarray, np.ndarray]:
     """(words, counts) of whole subtrees: one row per phrase, id 0 where it has fewer words than columns."""
-    firsts, lengths, suffixes, counts = [], [], [], []
-    for first, subtree in subtrees:
-        parts = [(s << 32, c) for s, c in subtree.items()] if subtree.__class__ is _Node else [(0, subtree)]
-        for prefix, container in parts:
-            firsts.append(first)
-            lengths.append(len(container))
-            suffixes.extend(container if not prefix else [prefix | s for s in container])
-            counts.extend(container.values())
-    counts, suffixes = np.array(counts, np.int64), np.array(suffixes, np.int64)
-    first = np.repeat(np.array(firsts, np.int64), lengths)
+    lengths = np.array([len(c) for *_, c in subtrees], np.int64)
+    single, prefix = (np.array([t[i] for t in subtrees], np.int64) for i in (0, 1))
+    suffixes = np.fromiter(chain.from_iterable(c for *_, c in subtrees), np.int64, int(lengths.sum()))
+    counts = np.fromiter(chain.from_iterable(c.values() for *_, c in subtrees), np.int64, int(lengths.sum()))
+    first = np.repeat(single, lengths)
     if size == 3:
-        return np.stack([first, suffixes >> 32, suffixes & 0xFFFFFFFF], axis=1), counts
+        suffixes |= np.repeat(prefix, lengths)
+        return np.stack([first, suffixes >> 32, suffixes & 0xFFFFFFFF]), counts
     # A word occurs as often as something follows it.
-    alone = np.add.reduceat(counts, np.concatenate(([0], np.cumsum(lengths)[:-1]))) if len(counts) else counts
+    alone = np.add.reduceat(counts, np.cumsum(lengths) - lengths)
     pair = suffixes > 0
-    single = np.array(firsts, np.int64)
-    words = np.concatenate((
-        np.stack([single, np.zeros_like(single)], axis=1), np.stack([first[pair], suffixes[pair]], axis=1)
-    ))
+    words = np.concatenate((np.stack([single, np.zeros_like(single)]), np.stack([first[pair], suffixes[pair]])), axis=1)
     return words, np.concatenate((alone, counts[pair]))
 
 
-def _runs(lang: str, subtrees: list[tuple[int, dict]], size: int, words: _Words, parts: int) -> pa.RecordBatch:
+def _runs(lang: str, subtrees: list[tuple[int, int, dict[int, int]]], size: int, words: _Words, parts: int) -> pa.RecordBatch:
     """The phrases of some subtrees as one sorted run per prefix partition."""
     ids, counts = _flat(subtrees, size)
-    used, place = np.unique(ids, return_inverse=True)  # id 0 and the words of these phrases
-    place = place.reshape(ids.shape)
-    texts = pa.array([words.texts[i] for i in used], pa.binary())
-    hashes = np.array([words.hashes[i] for i in used], np.uint64)
-    h = _mixed(_hash(lang.encode()), hashes[place[:, 0]], hashes[place[:, 1]])
-    part = (h >> np.uint64(33)).astype(np.int64) % parts
-    key = texts.take(pa.array(place[:, 0]))
-    for column in range(1, ids.shape[1]):
-        longer = pc.binary_join_element_wise(key, texts.take(pa.array(place[:, column])), pa.scalar(b" ", pa.binary()))
-        key = pc.if_else(pa.array(ids[:, column] > 0), longer, key)
-    n_words = (ids > 0).sum(axis=1)
-    # Words sort by rank; an array of ranks sorts much faster than their texts.
-    rank = np.empty(len(used), np.int64)
+    used = np.flatnonzero(np.bincount(ids.ravel(), minlength=1))
+    place = np.zeros(used[-1] + 1, np.int64)
+    place[used] = np.arange(len(used))
+    place = place[ids]
+    texts, hashes = words.texts_of(used), words.hashes[used]
+    part = (_mixed(_hash_of(lang), hashes[place[0]], hashes[place[1]]) >> np.uint64(33)).astype(np.int64) % parts
+    rank = np.empty(len(used), np.int64)  # numbers sort faster than texts
     rank[pc.sort_indices(texts).to_numpy()] = np.arange(len(used))
-    order = np.lexsort([*(rank[place[:, c]] for c in range(ids.shape[1] - 1, -1, -1)), part])
-    cuts = np.flatnonzero(np.diff(part[order], prepend=-1))
-    key, n_words, counts = key.take(pa.array(order)), n_words[order], counts[order]
-    runs = []
-    for begin, end in zip(cuts, [*cuts[1:], len(order)]):
-        batch = pa.record_batch({
-            "phrase": key.slice(begin, end - begin), "size": pa.array(n_words[begin:end].astype(np.int8)),
-            "f": pa.array(counts[begin:end]),
-        }).replace_schema_metadata({b"lang": lang.encode()})
+    ranks = [rank[column] for column in place]
+    order = np.argsort((part << 48) | (ranks[0] << 24) | ranks[1]) if size == 2 else np.lexsort([*ranks[::-1], part])
+    part, counts, place = part[order], counts[order], place[:, order]
+    key, filled = texts.take(pa.array(place[0])), ids[:, order] > 0
+    for column, has in zip(place[1:], filled[1:]):
+        longer = pc.binary_join_element_wise(key, texts.take(pa.array(column)), pa.scalar(b" ", pa.large_binary()))
+        key = longer if has.all() else pc.if_else(pa.array(has), longer, key)
+    columns = {"phrase": key.cast(pa.binary()), "size": pa.array(filled.sum(axis=0).astype(np.int8)), "f": pa.array(counts.astype(np.int32))}
+    table = pa.record_batch(columns)
+    pack, rows = zstd.ZstdCompressor(level=1).compress, []
+    for at, begin, end in _groups(part):
         sink = pa.BufferOutputStream()
-        with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
-            out.write_batch(batch)
-        runs.append(sink.getvalue().to_pybytes())
-    return pa.record_batch({"part": pa.array(part[order][cuts].astype(np.int32)), "run": pa.array(runs, pa.binary())})
+        with pa.ipc.new_stream(sink, table.schema) as out:
+            out.write_batch(table.slice(begin, end - begin))
+        rows.append((at, pack(sink.getvalue())))
+    return pa.record_batch({
+        "part": pa.array([at for at, _ in rows], pa.int32()), "lang": pa.array([lang] * len(rows), pa.string()),
+        "run": pa.array([run for _, run in rows], pa.binary()),
+    })
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, bytes]]:
@@ -207,32 +256,30 @@ def _counting(size: int, parts: int, pairs=None):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, tries = _Words(), defaultdict(HatTrie)
         bits = None if pairs is None else np.frombuffer(pairs.value, np.uint64)
-        hashes = np.zeros(1, np.uint64)
         for lang, data in _blocks(batches):
-            codes = list(map(words.__getitem__, data.translate(_TEXT).replace(_SEP, b" \xff ").split()))
+            ids = words.ids(data)
             if bits is None:
-                tries[lang].add_pairs(codes)
+                tries[lang].add_pairs(ids)
             else:
-                hashes = np.concatenate((hashes, np.array(words.hashes[len(hashes):], np.uint64)))
-                ids = np.array(codes, np.int64)
-                h = _mixed(_hash(lang.encode()), hashes[ids[:-1]], hashes[ids[1:]])
-                may = _may_hold(bits, h) & (ids[:-1] > 0) & (ids[1:] > 0)
+                known = words.hashes[ids]
+                may = _may_hold(bits, _mixed(_hash_of(lang), known[:-1], known[1:]))
+                may &= (ids[:-1] > 0) & (ids[1:] > 0)
                 at = np.flatnonzero(may[:-1] & may[1:])
-                tries[lang].add_triples(ids[at].tolist(), (ids[at + 1] << 32 | ids[at + 2]).tolist())
-            held = sum(t.entries() for t in tries.values())
-            if held > TRIE_ENTRIES:
-                for name in sorted(tries, key=lambda x: -tries[x].entries()):
-                    yield _runs(name, tries[name].take(min(held - TRIE_ENTRIES // 2, tries[name].entries())), size, words, parts)
-                    held = sum(t.entries() for t in tries.values())
+                tries[lang].add_triples(ids[at], ids[at + 1], ids[at + 2])
+            if sum(t.most for t in tries.values()) > TRIE_ENTRIES:
+                held = sum(t.entries() for t in tries.values())
+                for name in sorted(tries, key=lambda x: -tries[x].most):
                     if held <= TRIE_ENTRIES // 2:
                         break
+                    yield _runs(name, tries[name].take(min(held - TRIE_ENTRIES // 2, tries[name].most)), size, words, parts)
+                    held = sum(t.entries() for t in tries.values())
             if words.size > WORD_BYTES or len(tries) > 64:
                 for name, trie in tries.items():
-                    if trie.root:
+                    if trie.entries():
                         yield _runs(name, trie.take(trie.entries()), size, words, parts)
-                words, tries, hashes = _Words(), defaultdict(HatTrie), hashes[:1]
+                words, tries = _Words(), defaultdict(HatTrie)
         for name, trie in tries.items():
-            if trie.root:
+            if trie.entries():
                 yield _runs(name, trie.take(trie.entries()), size, words, parts)
 
     return count
@@ -243,43 +290,42 @@ def _merging(min_count: int):
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: list[pa.Table] = []
-        rows, at = 0, None
+        rows, limit, at = 0, 1_000_000, None
 
         def compact() -> None:
-            nonlocal kept, rows
-            table = pa.concat_tables(kept).group_by(["lang", "phrase", "size"]).aggregate([("f", "sum")])
-            kept = [table.rename_columns(["lang", "phrase", "size", "f"]).cast(schema)]
-            rows = table.num_rows
+            nonlocal kept, rows, limit
+            table = pa.concat_tables(kept).group_by("phrase", use_threads=False).aggregate([("size", "min"), ("f", "sum")])
+            kept = [table.select(["phrase", "size_min", "f_sum"]).rename_columns(names).cast(schema)]
+            rows, limit = table.num_rows, max(limit, 2 * table.num_rows)
 
-        def frequent() -> Iterator[pa.RecordBatch]:
+        def frequent() -> pa.RecordBatch:
             compact()
-            table = kept[0]
-            totals = table.filter(pc.equal(table["size"], 1)).group_by("lang").aggregate([("f", "sum")])
-            yield from table.filter(pc.greater_equal(table["f"], min_count)).cast(out).to_batches(max_chunksize=100_000)
-            yield pa.record_batch({
-                "lang": totals["lang"].combine_chunks(), "phrase": pa.nulls(totals.num_rows, pa.string()),
-                "size": pa.array(np.zeros(totals.num_rows, np.int32)), "f": totals["f_sum"].combine_chunks(),
+            (table,) = kept
+            total = pc.sum(table["f"].filter(pc.equal(table["size"], 1))).as_py() or 0
+            table = table.filter(pc.greater_equal(table["f"], min_count)).combine_chunks()
+            n = table.num_rows + 1
+            return pa.record_batch({
+                "lang": pa.array([at[1]] * n, pa.string()),
+                "phrase": pa.array([*(p.decode() for p in table["phrase"].to_pylist()), None], pa.string()),
+                "size": pa.array([*table["size"].to_pylist(), 0], pa.int32()),
+                "f": pa.array([*table["f"].to_pylist(), total], pa.int64()),
             })
 
-        schema = pa.schema([("lang", pa.string()), ("phrase", pa.large_binary()), ("size", pa.int8()), ("f", pa.int64())])
-        out = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("size", pa.int32()), ("f", pa.int64())])
-        limit = 1_000_000
+        names, unpack = ["phrase", "size", "f"], zstd.ZstdDecompressor().decompress
+        schema = pa.schema([("phrase", pa.binary()), ("size", pa.int8()), ("f", pa.int64())])
         for batch in batches:
-            for part, run in zip(batch.column(0).to_pylist(), batch.column(1)):
-                if at is not None and part != at:
-                    yield from frequent()
+            for part, lang, run in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                if at is not None and (part, lang) != at:
+                    yield frequent()
                     kept, rows, limit = [], 0, 1_000_000
-                at = part
-                with pa.ipc.open_stream(run.as_buffer()) as source:
-                    table = source.read_all()
-                lang = pa.array([source.schema.metadata[b"lang"].decode()] * table.num_rows, pa.string())
-                kept.append(table.add_column(0, "lang", lang).cast(schema))
-                rows += table.num_rows
+                at = part, lang
+                with pa.ipc.open_stream(unpack(run)) as source:
+                    kept.append(source.read_all().cast(schema))
+                rows += kept[-1].num_rows
                 if rows > limit:
                     compact()
-                    limit = max(limit, 2 * rows)
         if kept:
-            yield from frequent()
+            yield frequent()
 
     return merge
 
@@ -301,19 +347,16 @@ def _filter_of(pairs: DataFrame):
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            langs, phrases = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            cut = [p.encode().split(b" ") for p in phrases]
-            h = _mixed(
-                np.array([_hash(x.encode()) for x in langs], np.uint64),
-                np.array([_hash(a) for a, _ in cut], np.uint64), np.array([_hash(b) for _, b in cut], np.uint64),
-            )
+            if not batch.num_rows:
+                continue
+            h = _mixed(*(_hashes(c.cast(pa.large_binary())) for c in batch.columns))
             place = np.concatenate((h & mask, (h >> np.uint64(32)) & mask))
             yield pa.record_batch({
                 "at": pa.array((place >> np.uint64(6)).astype(np.int64)),
                 "bits": pa.array((np.uint64(1) << (place & np.uint64(63))).view(np.int64)),
             })
 
-    rows = pairs.select("lang", "phrase").mapInArrow(places, "at long, bits long").groupBy("at").agg(F.bit_or("bits").alias("bits"))
+    rows = pairs.select("lang", *(F.split("phrase", " ")[i] for i in (0, 1))).mapInArrow(places, "at long, bits long").groupBy("at").agg(F.bit_or("bits").alias("bits"))
     found = rows.toArrow()  # n_bits / 64 rows at most
     bits = np.zeros(n_bits // 64, np.int64)
     bits[found["at"].to_numpy()] = found["bits"].to_numpy()
@@ -334,7 +377,7 @@ def count_phrases(docs: DataFrame, min_count: int = MIN_COUNT) -> DataFrame:
 
     def merged(n_words: int, pairs=None) -> DataFrame:
         runs = texts.mapInArrow(_counting(n_words, parts, pairs), _RUN)
-        dealt = runs.repartition(parts, "part").sortWithinPartitions("part")
+        dealt = runs.repartition(parts, "part").sortWithinPartitions("part", "lang")
         return materialize(dealt.mapInArrow(_merging(min_count), _COUNT))
 
     short = merged(2)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -70,3 +72,13 @@ def labelled_sample(
         .sort_by("_key")
     )
     return list(zip(rows["_label"].to_pylist(), rows["_text"].to_pylist()))
+
+
+def cut_words(data: np.ndarray, inside: np.ndarray) -> tuple[pa.LargeBinaryArray, np.ndarray]:
+    """The words of a text given as bytes, and where each begins; ``inside`` says which bytes belong to words."""
+    edge = np.diff(inside.astype(np.int8), prepend=0, append=0)
+    starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    offsets = np.concatenate(([0], np.cumsum(ends - starts))).astype(np.int64)
+    letters = np.ascontiguousarray(data[inside])
+    buffers = [None, pa.py_buffer(offsets), pa.py_buffer(letters)]
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), buffers), starts

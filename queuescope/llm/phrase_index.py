@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from queuescope.llm.common import cut_words
 from queuescope.session import materialize
 
 WINDOW = 10
@@ -72,15 +73,9 @@ def unpack(data: np.ndarray) -> np.ndarray:
 def _words(texts: list[bytes]) -> tuple[pa.BinaryArray, np.ndarray]:
     """All words of some texts one after the other, and how many each text has."""
     data = np.frombuffer(b" ".join(texts).translate(_KEPT) + b" ", np.uint8)
-    inside = data != 32
-    edge = np.diff(inside.astype(np.int8), prepend=0)
-    starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    words, starts = cut_words(data, data != 32)
     borders = np.cumsum([len(t) + 1 for t in texts])
-    counts = np.diff(np.searchsorted(starts, borders, "left"), prepend=0)
-    offsets = np.concatenate(([0], np.cumsum(ends - starts))).astype(np.int64)
-    letters = np.ascontiguousarray(data[inside])
-    words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(letters)])
-    return words, counts
+    return words, np.diff(np.searchsorted(starts, borders, "left"), prepend=0)
 
 
 def _shard_rows(shard: int, ids: pa.Array, texts: list[bytes], schema: pa.Schema) -> pa.RecordBatch:
