@@ -312,7 +312,7 @@ def _merging(min_count: int):
             })
 
         names, unpack = ["phrase", "size", "f"], zstd.ZstdDecompressor().decompress
-        schema = pa.schema([("phrase", pa.binary()), ("size", pa.int8()), ("f", pa.int64())])
+        schema = pa.schema([("phrase", pa.large_binary()), ("size", pa.int8()), ("f", pa.int64())])
         for batch in batches:
             for part, lang, run in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 if at is not None and (part, lang) != at:

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from queuescope.llm import (
-    bpe, collocations, html_text, lattice, mixing, phrase_index, quality, quality_rules, simhash, topk, toxicity, warc,
+    bpe, collocations, conversation_trie, html_text, lattice, mixing, phrase_index, quality, quality_rules, simhash, topk,
+    toxicity, warc,
 )
 from queuescope.llm.common import table
 
@@ -54,6 +55,10 @@ def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(table(spark, sf_dir, "documents"))
 
 
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 def op13_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrase_index.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -70,6 +75,7 @@ QUERIES = {
     "op9_lattice": op9_lattice,
     "op10_mixing": op10_mixing,
     "op11_collocations": op11_collocations,
+    "op12_conversation_trie": op12_conversation_trie,
     "op13_decontamination": op13_decontamination,
 }
 # Fixed values of both dialects: the white space between words, as a regular expression, and the rules' cutoffs.
@@ -172,6 +178,42 @@ ranked AS (
   SELECT s.*, row_number() OVER (PARTITION BY s.lang ORDER BY score DESC, a DESC, s.phrase) AS rank
   FROM lowest s LEFT JOIN longer g ON g.lang = s.lang AND g.phrase = s.phrase WHERE g.f IS NULL OR 100 * g.f < 50 * a)
 SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000""",
+    "op12_conversation_trie": """
+WITH RECURSIVE crc_table(i, k, v) AS (
+  SELECT i, 0, i::BIGINT FROM range(256) t(i)
+  UNION ALL SELECT i, k + 1, CASE WHEN v & 1 = 1 THEN xor(3988292384, v >> 1) ELSE v >> 1 END FROM crc_table WHERE k < 8),
+steps AS (SELECT list(v ORDER BY i) AS s FROM crc_table WHERE k = 8),
+turns AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS place,
+         coalesce(role, '') AS role, coalesce(text, '') AS text
+  FROM conversations WHERE conv_id IS NOT NULL),
+ids AS (
+  SELECT conv_id, conv_id - conv_id % 5 AS base,
+         xor(list_reduce(list_transform(string_split(conv_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT), lambda a, c:
+           xor(s[(xor(a, c) & 255) + 1], a >> 8), 4294967295::BIGINT), 4294967295) % 9 AS h
+  FROM (SELECT DISTINCT conv_id FROM conversations WHERE conv_id IS NOT NULL), steps),
+rebuilt AS (
+  SELECT i.conv_id, row_number() OVER (PARTITION BY i.conv_id ORDER BY NOT head, place) AS d, role, text FROM (
+    SELECT ids.conv_id, true AS head, place, role, text FROM ids JOIN turns t ON t.conv_id = ids.base AND place <= h
+    UNION ALL SELECT ids.conv_id, false, place, role, text FROM ids JOIN turns t ON t.conv_id = ids.conv_id AND place > h) i),
+keyed AS (SELECT *, md5(length(role) || ':' || role || text) AS k, octet_length(encode(text)) AS b FROM rebuilt),
+prefixes AS MATERIALIZED (
+  SELECT conv_id, d, b, string_agg(k, '') OVER (PARTITION BY conv_id ORDER BY d) AS p FROM keyed
+  UNION ALL SELECT conv_id, 0, 0, '' FROM ids),
+last AS (SELECT conv_id, max(d) AS d FROM prefixes GROUP BY conv_id),
+nodes AS MATERIALIZED (
+  SELECT p, x.d, min(x.conv_id) AS conv_id, count(*) AS n, any_value(b) AS b,
+         coalesce(string_agg(CASE WHEN l.d = x.d THEN x.conv_id END, ',' ORDER BY x.conv_id), '') AS ends
+  FROM prefixes x JOIN last l USING (conv_id) GROUP BY p, x.d),
+nodes2 AS (SELECT *, CASE WHEN d > 0 THEN left(p, (32 * (d - 1))::INT) END AS up FROM nodes),
+children AS (SELECT up AS p, count(*) AS n FROM nodes2 WHERE up IS NOT NULL GROUP BY up),
+below AS (
+  SELECT left(p, (32 * k)::INT) AS p, count(*) FILTER (WHERE leaf) AS leaves, sum((n - 1) * b) AS saved
+  FROM (SELECT nodes2.p, nodes2.n, b, c.n IS NULL AS leaf, unnest(range(0, d + 1)) AS k FROM nodes2 LEFT JOIN children c ON c.p = nodes2.p)
+  GROUP BY 1)
+SELECT x.conv_id, x.d::BIGINT AS depth, y.conv_id AS parent_conv_id, x.n AS n_convs, coalesce(c.n, 0)::BIGINT AS n_children,
+       leaves::BIGINT AS n_leaves, saved::BIGINT AS saved_tokens, sha256(x.ends) AS ends_sha256
+FROM nodes2 x LEFT JOIN nodes2 y ON y.p = x.up LEFT JOIN children c ON c.p = x.p JOIN below ON below.p = x.p""",
     "op13_decontamination": f"""
 WITH d AS (
   SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), {_CASES}), '{_LETTERS}') AS w FROM documents),
