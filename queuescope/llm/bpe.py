@@ -23,9 +23,9 @@ from tokenizers.pre_tokenizers import ByteLevel
 
 VOCABULARY = "byte_bpe_50k.json"
 GROUP_CHARS = 2_000_000  # texts are encoded in groups of about this many characters, so memory is bounded
-KEPT_WORDS = 500_000  # encodings a worker keeps
+KEPT_WORDS = 200_000  # encodings a worker keeps: about 50 MB
 KEPT_BYTES = 64  # longest word that is kept
-KEPT_BORDERS = 1_000_000  # checked token pairs a worker keeps
+KEPT_BORDERS = 300_000  # checked token pairs a worker keeps: about 30 MB
 _IDS = 1 << 32  # more than any token id
 # Letters of scripts that every Unicode version classes alike; texts with others are cut by the library itself.
 USUAL = re.compile(r"[\x00-\u052f\u2000-\u2bff\u3000-\u30ff\u4e00-\u9fa5\uac00-\ud7a3\U0001f300-\U0001f64f]*")
@@ -38,6 +38,12 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(others)}
 
 
+def _forget_half(kept: dict) -> None:
+    """Leave the younger half of what was kept."""
+    for key in list(islice(kept, len(kept) // 2)):
+        del kept[key]
+
+
 class BytePairEncoder:
     """Encoder and decoder of a byte-level BPE vocabulary file (its JSON text)."""
 
@@ -87,7 +93,7 @@ class BytePairEncoder:
         """Whether ``token`` follows ``left`` in an encoding (left -1: whether it stands alone); kept for the next time."""
         known = (self.bytes_of[left] if left >= 0 else b"") + self.bytes_of[token]
         if len(self.borders) > KEPT_BORDERS:
-            self.borders.clear()
+            _forget_half(self.borders)
         fits = self._merged(known) == ([left, token] if left >= 0 else [token])
         self.borders[left * _IDS + token] = fits
         return fits
@@ -141,8 +147,9 @@ class BytePairEncoder:
         words = set(pieces)
         new = words.difference(self.kept)
         if len(self.kept) + len(new) > KEPT_WORDS:
-            self.kept.clear()
-            new = words
+            used = {w: self.kept[w] for w in words if w in self.kept}
+            _forget_half(self.kept)
+            self.kept.update(used)
         long = {}
         for word, ids in self.encode_words(w for w in new if w not in self.special):
             if len(word) <= KEPT_BYTES:
