@@ -76,8 +76,16 @@ def entries(df: DataFrame, column: str = "allocated_resources", strict: bool = T
 
 
 def keys_in(df: DataFrame, column: str = "allocated_resources") -> DataFrame:
-    """Distinct keys of the data, with ``gres...`` folded into ``gpu``."""
-    return entries(df.select(column), column, strict=False).select("key").distinct()
+    """Distinct keys of the data, with ``gres...`` folded into ``gpu``.
+
+    The values are cut out of the text first. Of what is left there are few distinct ones, and only these are split.
+    """
+    shapes = df.select(F.regexp_replace(column, "=[^,]*", "").alias("_shape")).distinct()
+    key = F.col("key")
+    return (
+        shapes.select(F.explode(F.split("_shape", ",")).alias("key")).where(key != "")
+        .select(F.when(key.startswith("gres"), "gpu").otherwise(key).alias("key")).distinct()
+    )
 
 
 def discover_keys(df: DataFrame, column: str = "allocated_resources") -> list[str]:

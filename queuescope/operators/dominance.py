@@ -24,7 +24,8 @@ from pyspark.sql import types as T
 
 from queuescope.operators.intervals import suffixed
 from queuescope.operators.running import (
-    DAY_SECONDS,
+    fitting_width,
+    is_fine,
     join_matching,
     position,
     quoted,
@@ -33,7 +34,7 @@ from queuescope.operators.running import (
     ticks_per_second,
 )
 
-CHUNK_BITS = 10
+CHUNK_BITS = 13  # a chunk of 8,192 rows takes a few MB; fewer bits mean more levels of events
 
 # Send the chunk solver along with the job, so that executors need not have this package installed.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -74,7 +75,6 @@ def add_queued(
     """
     if not 1 <= chunk_bits <= 16:
         raise ValueError("chunk_bits must be between 1 and 16")
-    width = width or DAY_SECONDS * ticks_per_second(df, eligible)
     given = rank
     if rank is None:
         rank = "_rank"
@@ -92,7 +92,8 @@ def add_queued(
             **{f"_r_{r}": F.expr(f"coalesce(CAST({quoted(r)} AS DOUBLE), 0D)") for r in resources},
         }
     )
-    last_rank = df.agg(F.max(rank)).first()[0] or 0
+    facts = placed.agg(F.max(rank).alias("last"), is_fine(["_at", "_until"], ticks_per_second(df, eligible)).alias("fine")).first()
+    last_rank, width = facts["last"] or 0, width or fitting_width(df, eligible, facts["fine"])
     earlier = _earlier_chunks(placed, keys, outputs, last_rank >> chunk_bits, width)
     placed = join_matching(placed, earlier, [*keys, "_chunk", "_at"], "left")
     placed = placed.withColumns({o: F.expr(f"coalesce({quoted(o)}, 0D)") for o in outputs.values()})

@@ -17,6 +17,8 @@ from pyspark.sql import Window as W
 from queuescope.operators.running import (
     DAY_SECONDS,
     bucket_of,
+    fitting_width,
+    is_fine,
     join_matching,
     position,
     quoted,
@@ -62,10 +64,10 @@ def add_active(
 
     ``remaining`` maps duration columns (seconds) to outputs that hold the seconds still to run, summed over the same
     rows, where a row ends at the earlier of its end and its start plus duration. Durations that are not in ``df``
-    are skipped. ``df`` is read twice, for the events and for the join of the answers, so pass it slim and written.
+    are skipped. ``df`` is read twice, for the events and for the join of the answers, and without ``width`` once more to
+    see whether its times are whole seconds, so pass it slim and written.
     """
     tick = ticks_per_second(df, eligible)
-    width = width or DAY_SECONDS * tick
     remaining = {d: out for d, out in (remaining or {}).items() if d in df.columns}
     kinds = {r: sum_type(df, r) for r in resources}
     stops = {d: f"_to_{d}" for d in remaining}
@@ -80,6 +82,9 @@ def add_active(
             for d, stop in stops.items()
         }
     )
+    if width is None:
+        fine = placed.agg(is_fine(list(times), tick)).first()[0] or False
+        width = fitting_width(df, eligible, fine)
     values = {f"_v_{r}": kinds[r] for r in resources}
     for d in remaining:
         values |= {f"_n_{d}": "bigint", f"_d_{d}": "bigint"}
@@ -152,3 +157,39 @@ def add_rolling_count(
         .select(*keys, "_pos", out)
     )
     return join_matching(placed, found, [*keys, "_pos"], "left").drop("_pos")
+
+
+def rolling_counts(
+    df: DataFrame,
+    keys: Sequence[str],
+    place: Sequence[str],
+    who: Mapping[str, str],
+    order: str,
+    *,
+    days: int = 7,
+) -> DataFrame:
+    """``place`` and, per entry of ``who`` (column -> output), the rows of the same key and value in ``[order - days, order)``.
+
+    All columns of ``who`` are stacked as (kind, value) and counted in one sweep, sliced as in :func:`add_rolling_count`.
+    ``place`` is unique and holds the keys. Null values are a value of their own.
+    """
+    span = days * DAY_SECONDS * ticks_per_second(df, order)
+    stack = ", ".join(
+        f"struct({i} AS _kind, coalesce(concat('=', CAST({quoted(c)} AS STRING)), '') AS _id)" for i, c in enumerate(who)
+    )
+    rows = df.withColumn("_pos", position(df, order)).selectExpr(*[quoted(c) for c in place], "_pos", f"inline(array({stack}))")
+    group = [*keys, "_kind", "_id"]
+    moments = rows.groupBy(*group, "_pos").agg(F.count(F.lit(1)).alias("_n")).withColumn("_own", bucket_of("_pos", span))
+    steps = moments.selectExpr(
+        *[quoted(k) for k in group],
+        f"""inline(array(
+            struct(_own AS _slice, _pos, _n, true AS _asks),
+            struct(_own + 1 AS _slice, _pos, _n, false AS _asks),
+            struct(_own + 1 AS _slice, _pos + {span}L AS _pos, -_n AS _n, false AS _asks)))""",
+    )
+    before = W.partitionBy(*group, "_slice").orderBy("_pos").rangeBetween(W.unboundedPreceding, -1)
+    found = steps.withColumn("_count", F.coalesce(F.sum("_n").over(before), F.lit(0)).cast("int")).where("_asks")
+    joined = rows.join(found.select(*group, "_pos", "_count"), [*group, "_pos"])
+    return joined.groupBy(*place).agg(
+        *[F.max(F.when(F.col("_kind") == i, F.col("_count"))).alias(out) for i, out in enumerate(who.values())]
+    )

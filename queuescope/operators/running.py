@@ -53,6 +53,16 @@ def default_widths(df: DataFrame, name: str) -> list[int]:
     return [DAY_SECONDS]
 
 
+def is_fine(columns: Sequence[str], tick: int) -> Column:
+    """Aggregate: whether any of the positions is no whole second (null counts as whole)."""
+    return F.max(F.coalesce(F.expr(" OR ".join(f"{quoted(c)} % {tick}L <> 0" for c in columns)), F.lit(False)))
+
+
+def fitting_width(df: DataFrame, name: str, fine: bool) -> int | list[int]:
+    """A day for times of whole seconds, at most 86,400 points; ten seconds within days for finer ones."""
+    return default_widths(df, name) if fine else DAY_SECONDS * ticks_per_second(df, name)
+
+
 def bucket_of(pos: str, width: int) -> Column:
     """Number of the fixed-width bucket of a bigint column (floor division, also below zero)."""
     return F.expr(f"(`{pos}` - pmod(`{pos}`, {width}L)) div {width}L")

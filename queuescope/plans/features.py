@@ -7,8 +7,9 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from queuescope.operators.dominance import CHUNK_BITS, add_queue_rank, add_queued
-from queuescope.operators.intervals import REMAINING, add_active, add_rolling_count
+from queuescope.operators.dominance import CHUNK_BITS, add_queue_rank
+from queuescope.operators.intervals import REMAINING, add_rolling_count, rolling_counts
+from queuescope.operators.queue_state import queue_state
 from queuescope.operators.running import histogram_quantiles, join_matching
 from queuescope.session import materialize
 
@@ -91,24 +92,19 @@ def add_features(
 ) -> DataFrame:
     """All features of cleaned jobs (see ``cleaning.preprocess``), computed per queue.
 
-    The cleaned jobs are ranked and written once. Every sweep reads only its own columns of that table, and the
-    answers come together by queue and rank, which are unique: the wide rows are shuffled a single time.
+    The cleaned jobs are ranked and written once. What was running and what was queued come from one sweep of one event
+    table, users and accounts from another. The answers come together by queue and rank, which are unique.
     """
     resources = [c for c in df.columns if c.startswith("allocated_")] + SIZE_FLAGS
     place = [queue, "_queue_rank"]
     jobs = add_queue_rank(df, keys=[queue], tie_break=tie_break, out="_queue_rank")
     sized = add_size_flags(jobs, size_column(queue), [queue])
-    times = ["eligible_start_ts", "start_ts", "end_ts"]
-
-    active = add_active(
-        sized.select(*place, *times, *resources), resources, keys=[queue], remaining=REMAINING
-    ).drop(*times, *resources)
-    queued = add_queued(
-        sized.select(*place, *times[:2], *resources), resources, keys=[queue], rank="_queue_rank",
-        chunk_bits=chunk_bits,
-    ).drop(*times, *resources)
-    recent = add_usage(jobs.select(*place, *USAGE, "submit_ts"), [queue]).drop(*USAGE, "submit_ts")
-    jobs = jobs.join(recent, place).join(active, place).join(queued, place)
+    state = queue_state(
+        sized.select(*place, "eligible_start_ts", "start_ts", "end_ts", *resources), resources, keys=[queue],
+        rank="_queue_rank", remaining=REMAINING, chunk_bits=chunk_bits,
+    )
+    recent = rolling_counts(jobs.select(*place, *USAGE, "submit_ts"), [queue], place, USAGE, "submit_ts")
+    jobs = jobs.join(recent, place, "left").join(state, place)
     return (
         jobs.transform(add_reservation_flag).transform(add_chained_flag).transform(add_temporal).drop("_queue_rank")
     )

@@ -7,8 +7,9 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from queuescope.operators.dominance import add_queued
-from queuescope.operators.intervals import REMAINING, add_active, add_rolling_count
+from queuescope.operators.dominance import add_queue_rank, add_queued
+from queuescope.operators.intervals import REMAINING, add_active, add_rolling_count, rolling_counts
+from queuescope.operators.queue_state import queue_state
 from queuescope.operators.running import asof_join
 
 COLUMNS = (
@@ -106,6 +107,44 @@ def test_queue_state_of_empty_input_has_all_columns(spark):
     assert out.count() == 0
 
 
+@pytest.mark.parametrize("seed, chunk_bits, scale", [(1, 16, None), (2, 1, 1_000_000), (3, 3, 370_001), (4, 5, 1)])
+def test_fused_sweep_against_brute_force(spark, seed, chunk_bits, scale):
+    """Numbers, whole seconds, and times that are no whole seconds (whose durations are then whole by chance only)."""
+    pdf = tie_table(seed)
+    if scale == 370_001:
+        pdf[["allocated_timelimit_seconds"]] = 1_000_000  # in seconds: no limit at all
+    expected = duckdb.sql(BRUTE).df()
+    df = spark.createDataFrame(pdf)
+    if scale:
+        at = {c: F.timestamp_micros(F.col(c) * scale + 1_700_000_000_000_000) for c in df.columns if c.endswith("_ts")}
+        df = df.withColumns(at)
+    resources = ["allocated_cpu", "allocated_mem"]
+    ranked = add_queue_rank(df, keys=["partition"], tie_break=["job_id"], out="place")
+    out = queue_state(ranked, resources, keys=["partition"], rank="place", remaining=REMAINING, chunk_bits=chunk_bits)
+    got = ranked.select("job_id", "partition", "place").join(out, ["partition", "place"]).orderBy("job_id")
+    wanted = list(expected.columns)
+    if scale in (1, 370_001):  # seconds to run are those of the stamps
+        wanted = [c for c in wanted if not c.endswith("remaining")]
+    pd.testing.assert_frame_equal(got.select(*wanted).toPandas(), expected[wanted], check_dtype=False)
+
+
+def test_fused_sweep_of_no_rows(spark):
+    df = spark.createDataFrame(tie_table(1)).withColumn("place", F.lit(0).cast("bigint")).limit(0)
+    out = queue_state(df, ["allocated_cpu"], keys=["partition"], rank="place", remaining=REMAINING)
+    assert out.count() == 0 and {"active_cpu", "queued_cpu", *REMAINING.values()} <= set(out.columns)
+
+
+def test_stacked_counts_equal_single_ones(spark):
+    rnd = random.Random(6)
+    rows = [(i, rnd.choice("ab"), rnd.choice([1, 1, 1, 2, None]), rnd.choice([1, None, 7]), rnd.randrange(40) * 43_200) for i in range(500)]
+    df = spark.createDataFrame(rows, "job_id bigint, queue string, user_id bigint, account_id bigint, submit_ts bigint")
+    got = rolling_counts(df, ["queue"], ["queue", "job_id"], {"user_id": "u", "account_id": "a"}, "submit_ts")
+    one = add_rolling_count(df, ["queue", "user_id"], "submit_ts", "u")
+    both = add_rolling_count(one, ["queue", "account_id"], "submit_ts", "a")
+    columns = ["job_id", "queue", "u", "a"]
+    assert sorted(map(tuple, got.select(*columns).collect())) == sorted(map(tuple, both.select(*columns).collect()))
+
+
 def test_one_moment_holding_a_third_of_all_rows(spark):
     pdf = tie_table(9)
     hot = pdf["job_id"] % 3 == 0
