@@ -80,10 +80,10 @@ def keys_in(df: DataFrame, column: str = "allocated_resources") -> DataFrame:
 
     The values are cut out of the text first. Of what is left there are few distinct ones, and only these are split.
     """
-    shapes = df.select(F.regexp_replace(column, "=[^,]*", "").alias("_shape")).distinct()
-    key = F.col("key")
+    shapes = df.select(F.regexp_replace(column, "=[^,]*", "=").alias("_shape")).distinct()
+    key = F.substring_index("_entry", "=", 1)
     return (
-        shapes.select(F.explode(F.split("_shape", ",")).alias("key")).where(key != "")
+        shapes.select(F.explode(F.split("_shape", ",")).alias("_entry")).where(F.col("_entry") != "")
         .select(F.when(key.startswith("gres"), "gpu").otherwise(key).alias("key")).distinct()
     )
 

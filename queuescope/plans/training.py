@@ -455,7 +455,7 @@ def train_models(
                     if table == "cv_scores":
                         rows = rows.select("round", "candidate", "params", "fold", "metric", "value")
                     rows = rows.select(*[F.lit(v).alias(k) for k, v in keys.items()], "*")
-                    results.write_table(export_path, table, rows)
+                    results.write_table(export_path, table, rows, keys)
                 if save_models:
                     results.write_model(export_path, keys, run.model)
     if spark is not None:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from queuescope.functions.cleaning import QUEUES, at_least_minutes, preprocess
 from queuescope.plans.features import add_features
 from queuescope.plans.prep import sample_fraction
-from queuescope.session import folder_exists
+from queuescope.sources.versions import read_parts, write_parts
 
 # Queues that can be asked for by name.
 SELECTABLE = ["small", "small-g", "standard", "standard-g"]
@@ -64,9 +64,10 @@ def create_datasets(
     min_wait_minutes: int = 0,
     resource_keys: Sequence[str] | None = None,
 ) -> list[str]:
-    """Write all queues in one job, one folder per queue, and return the folders that exist.
+    """Write all queues in one job as one committed version, and return the folder of every queue asked for.
 
-    ``all`` writes every queue of the data. Folders of queues that are written are replaced; those of others stay.
+    ``all`` stands for every known queue. Queues that are written replace what they had, also if no row is left; those of
+    others stay. A queue without rows gets an empty folder.
 
     Every queue has the same columns. A resource no job of a queue asks for counts as missing there, so it is filled
     like any other missing allocation.
@@ -76,11 +77,23 @@ def create_datasets(
     column = "Partition" if level == "raw" else "partition"
     if level != "raw":
         jobs = at_least_minutes(jobs, min_wait_minutes)
-    jobs.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(column).parquet(export_path)
     wanted = QUEUES if "all" in queues else queues
-    return [folder for folder in (f"{export_path}/{column}={q}" for q in wanted) if folder_exists(spark, folder)]
+    parts = write_parts(jobs, export_path, [column], [(q,) for q in wanted])
+    folders = []
+    for queue in wanted:
+        folder = parts[(queue,)]
+        if folder is None:  # a path that can be read by itself
+            folder = f"empty/{column}={queue}"
+            spark.createDataFrame([], jobs.schema).write.mode("overwrite").parquet(f"{export_path}/{folder}")
+        folders.append(f"{export_path}/{folder}")
+    return folders
+
+
+def read_dataset(spark: SparkSession, path: str) -> DataFrame:
+    """All queues of a written dataset, as its last committed version has them."""
+    return read_parts(spark, path)
 
 
 def read_queue(spark: SparkSession, path: str, queue: str) -> DataFrame:
     """One queue of a written dataset; other queues' folders are not read."""
-    return spark.read.parquet(path).where(F.col("partition") == queue)
+    return read_parts(spark, path, {0: queue})

@@ -1,6 +1,6 @@
-"""Result tables of training runs: Parquet tables with a folder per run, queue, model and feature set.
+"""Result tables of training runs: Parquet tables with a part per run, queue, model and feature set.
 
-Writing the results of the same keys again replaces them, so a run can be repeated.
+Writing the results of the same keys again replaces them, so a run can be repeated, also one that has no rows left.
 """
 
 from __future__ import annotations
@@ -11,22 +11,23 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from queuescope.sources.versions import read_parts, write_parts
+
 RUN_KEYS = ["run_id", "partition", "model", "feature_set"]
 TABLES = ["accuracy", "cv_scores", "feature_importance", "feature_selection", "predictions"]
 
 
-def write_table(path: str, table: str, df: DataFrame) -> None:
+def write_table(path: str, table: str, df: DataFrame, keys: Mapping[str, str] | None = None) -> None:
+    """Replace the results of the keys in ``df``, and of ``keys``, which the write stands for even if it has no rows."""
     if table not in TABLES:
         raise ValueError(f"table must be in {TABLES}")
-    writer = df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-    writer.partitionBy(*RUN_KEYS).parquet(f"{path}/{table}")
+    write_parts(df, f"{path}/{table}", RUN_KEYS, [[keys[k] for k in RUN_KEYS]] if keys else None)
 
 
 def read_table(spark: SparkSession, path: str, table: str, run_id: str | None = None) -> DataFrame:
-    """All results, or those of one run (only its folder is read)."""
-    df = spark.read.parquet(f"{path}/{table}")
-    df = df.select(*[F.col(k).cast("string") for k in RUN_KEYS], *[c for c in df.columns if c not in RUN_KEYS])
-    return df if run_id is None else df.where(F.col("run_id") == run_id)
+    """All results, or those of one run (only its folders are read), as they were committed last."""
+    df = read_parts(spark, f"{path}/{table}", None if run_id is None else {0: run_id})
+    return df.select(*[F.col(k).cast("string") for k in RUN_KEYS], *[c for c in df.columns if c not in RUN_KEYS])
 
 
 def write_model(path: str, keys: Mapping[str, str], model: Any) -> str:

@@ -12,7 +12,7 @@ from queuescope.plans.feature_sets import FEATURE_SETS
 from queuescope.plans.model_specs import IntRange, ModelSpec
 from queuescope.session import materialize, work_dir
 from queuescope.sources import results
-from queuescope.sources.datasets import create_datasets, read_queue
+from queuescope.sources.datasets import create_datasets, read_dataset, read_queue
 from registry.tables import CTE_JOBS, clean_jobs, feature_jobs, raw_jobs
 
 X = FEATURE_SETS["standard"]["full"]
@@ -163,7 +163,30 @@ def s5_two_writes(spark, sf_dir):
     raw_jobs(spark, sf_dir).write.parquet(f"{path}/raw")
     for queue in ("small", "standard", "small"):
         create_datasets(spark, [queue], f"{path}/raw", f"{path}/jobs", level="preprocess")
-    return spark.read.parquet(f"{path}/jobs").select("job_id", "wait_time_seconds", "partition")
+    return read_dataset(spark, f"{path}/jobs").select("job_id", "wait_time_seconds", "partition")
+
+
+def s5_empty_rerun(spark, sf_dir):
+    """Two queues written, then one of them again with a wait that nobody meets: it is empty, the other one stays."""
+    path = f"{work_dir(spark)}/datasets-{uuid.uuid4().hex}"
+    raw_jobs(spark, sf_dir).write.parquet(f"{path}/raw")
+    create_datasets(spark, ["small", "standard"], f"{path}/raw", f"{path}/jobs", level="preprocess")
+    create_datasets(spark, ["small"], f"{path}/raw", f"{path}/jobs", level="preprocess", min_wait_minutes=10**9)
+    return read_dataset(spark, f"{path}/jobs").select("job_id", "wait_time_seconds", "partition")
+
+
+def s7_empty_rerun(spark, sf_dir):
+    """Predictions of two runs, one of them written again without rows: only the other is left."""
+    path = f"{work_dir(spark)}/results-{uuid.uuid4().hex}"
+    for run in ("first", "second"):
+        guesses = clean_jobs(spark, sf_dir).where("partition = 'small'").selectExpr(
+            f"'{run}' AS run_id", "partition", "'limit' AS model", "'full' AS feature_set", "job_id",
+            "CAST(wait_time_seconds AS DOUBLE) AS y_true",
+        )
+        results.write_table(path, "predictions", guesses)
+    keys = {"run_id": "first", "partition": "small", "model": "limit", "feature_set": "full"}
+    results.write_table(path, "predictions", guesses.limit(0), keys)
+    return results.read_table(spark, path, "predictions")
 
 
 def s7_rerun(spark, sf_dir):
@@ -230,7 +253,7 @@ def l2_held_out(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in [l10_cv_results, l11_importance, l12_permutation, l1_grid_of_runs, s7_result_tables, e12_cv, e15_reports,
-              s5_datasets, s5_two_writes, s7_rerun, l10_given_scores, l7_halving_rounds, l2_held_out]
+              s5_datasets, s5_two_writes, s5_empty_rerun, s7_rerun, s7_empty_rerun, l10_given_scores, l7_halving_rounds, l2_held_out]
 } | {
     "l2_run_timeseries": _regression(FOREST, "timeseries", "all_variables"),
     "l4_forest": _regression(FOREST),
@@ -250,6 +273,9 @@ QUERIES = {
 SQL = {
     "s5_two_writes": f"""{CTE_JOBS} SELECT job_id, wait_time_seconds, partition FROM jobs
         WHERE partition IN ('small', 'standard')""",
+    "s5_empty_rerun": f"""{CTE_JOBS} SELECT job_id, wait_time_seconds, partition FROM jobs WHERE partition = 'standard'""",
+    "s7_empty_rerun": f"""{CTE_JOBS} SELECT 'second' AS run_id, partition, 'limit' AS model, 'full' AS feature_set, job_id,
+        wait_time_seconds::DOUBLE AS y_true FROM jobs WHERE partition = 'small'""",
     "s7_rerun": f"""{CTE_JOBS} SELECT 'again' AS run_id, partition, 'limit' AS model, 'full' AS feature_set, job_id,
         wait_time_seconds::DOUBLE AS y_true, allocated_timelimit_seconds::DOUBLE AS y_pred, 1::BIGINT AS n_records
         FROM jobs""",

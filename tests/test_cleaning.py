@@ -105,7 +105,7 @@ def test_create_datasets_writes_one_folder_per_queue(spark, tmp_path):
     raw(spark, {}, {"JobIDRaw": 11, "Partition": "standard", "Start": start}, {"JobIDRaw": 12, "Partition": "standard"}
         ).write.parquet(f"{tmp_path}/raw")
     paths = create_datasets(spark, ["small", "standard"], f"{tmp_path}/raw", f"{tmp_path}/out", min_wait_minutes=10)
-    assert paths == [f"{tmp_path}/out/partition=standard"]  # no job of the other queue waited that long
+    assert [spark.read.parquet(p).count() for p in paths] == [0, 1]  # no job of the first queue waited that long
     row = read_queue(spark, f"{tmp_path}/out", "standard").select("job_id", "queued_node", "partition").collect()
     # Job 12 left the table by its short wait but was still seen; its removal happens at its own start.
     assert [(r.job_id, r.partition) for r in row] == [(11, "standard")]
@@ -121,3 +121,36 @@ def test_rows_keep_their_features_when_short_waits_are_removed(spark):
     assert [(r.job_id, r.queued_cpu, r.queued_mem) for r in kept] == [(12, 8.0, 64.0)]
     assert not [c for c in jobs.columns if c.startswith(("_", "allocated_count"))]
     assert jobs.where(F.col("count_user_submitted_jobs_7d") == 1).count() == 1
+
+
+def test_reruns_replace_with_nothing_and_failed_ones_change_nothing(spark, tmp_path):
+    from queuescope.sources import versions
+    from queuescope.sources.datasets import read_dataset
+
+    raw(spark, {}, {"JobIDRaw": 11, "Partition": "standard"}).write.parquet(f"{tmp_path}/raw")
+    out = f"{tmp_path}/out"
+    create_datasets(spark, ["small", "standard"], f"{tmp_path}/raw", out, level="preprocess")
+    assert read_dataset(spark, out).count() == 2
+    paths = create_datasets(spark, ["small"], f"{tmp_path}/raw", out, level="preprocess", min_wait_minutes=10**6)
+    assert spark.read.parquet(paths[0]).count() == 0
+    assert [r.partition for r in read_dataset(spark, out).collect()] == ["standard"]
+    assert read_queue(spark, out, "small").count() == 0 and "job_id" in read_queue(spark, out, "small").columns
+
+    before = versions.manifest(spark, out)
+    broken = read_dataset(spark, out).withColumn("job_id", F.raise_error(F.lit("lost")).cast("bigint"))
+    with pytest.raises(Exception, match="lost"):
+        versions.write_parts(broken, out, ["partition"])
+    assert versions.manifest(spark, out) == before
+    (tmp_path / "out/manifests/0000000009.json").write_text('{"parts": [')  # a writer that was lost while it committed
+    assert read_dataset(spark, out).count() == 1
+    versions.write_parts(read_dataset(spark, out).withColumn("extra", F.lit(1)).withColumn("partition", F.lit("a/b=c %")), out, ["partition"])
+    assert versions.manifest(spark, out)[0] == 10
+    assert sorted((r.partition, r.extra) for r in read_dataset(spark, out).collect()) == [("a/b=c %", 1), ("standard", None)]
+    assert versions.remove_old(spark, out) == 2  # the first version still holds the standard queue
+    assert read_dataset(spark, out).count() == 2
+
+
+def test_keys_of_many_shapes_are_found(spark):
+    texts = [",".join(f"k{i}={i}" for i in range(1000)), "cpu=1,gres/gpu:a=2,gres=1", "", "plain,x==1,=5", None]
+    rows = spark.createDataFrame([(t,) for t in texts], "allocated_resources string")
+    assert set(resources.discover_keys(rows)) == {*(f"k{i}" for i in range(1000)), "cpu", "gpu", "plain", "x", ""}
