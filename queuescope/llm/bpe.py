@@ -23,7 +23,7 @@ from tokenizers.pre_tokenizers import ByteLevel
 
 VOCABULARY = "byte_bpe_50k.json"
 GROUP_CHARS = 2_000_000  # texts are encoded in groups of about this many characters, so memory is bounded
-KEPT_WORDS = 200_000  # encodings a worker keeps: about 50 MB
+KEPT_WORDS = 320_000  # encodings a worker keeps: about 80 MB
 KEPT_BYTES = 64  # longest word that is kept
 KEPT_BORDERS = 300_000  # checked token pairs a worker keeps: about 30 MB
 _IDS = 1 << 32  # more than any token id
