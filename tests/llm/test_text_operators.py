@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from queuescope.llm import bpe, lattice, mixing, quality, quality_rules, simhash, toxicity
-from queuescope.llm.compression import train_sizes, train_windows
+from queuescope.llm.compression import telling_runs, train_sizes, train_windows
 from queuescope.session import materialize
 
 from .plain import WORD, classes, plain_fingerprint
@@ -61,6 +61,29 @@ def test_classifiers_tell_held_out_rows_apart(spark, operator, label, least):
     assert ranked_right([r["score"] for r in found], [r[label] for r in found]) > least
 
 
+def test_toxicity_is_found_in_every_language(spark):
+    docs, marks = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    held_out = docs.where("crc32(cast(doc_id as string)) % 3 = 1").join(marks.where("toxic is not null"), "doc_id")
+    scored = held_out.select("lang", "toxic", toxicity.score_column(toxicity.train(docs, marks), held_out["text"]).alias("s"))
+    found = scored.groupBy("lang", "toxic").agg(F.count("*").alias("n"), F.count_if(F.col("s") >= 0.7).alias("hits")).collect()
+    for r in found:
+        if r["toxic"] == 1:
+            assert r["hits"] >= 0.9 * r["n"], r
+    others = [r for r in found if r["toxic"] == 0]
+    assert len(found) == 8 and sum(r["hits"] for r in others) <= 0.01 * sum(r["n"] for r in others)
+
+
+def test_runs_grow_until_they_tell():
+    # both halves of "abcdef" are in ordinary words, the whole is not
+    ends = [b"", b"x", b"yy", b"zzz"]
+    marked = Counter({b"qabcdef" + e: 5 for e in ends} | {b"plain": 20})
+    ordinary = Counter({b"qabcde" + e: 30 for e in ends} | {b"bcdef" + e: 30 for e in ends} | {b"plain": 200})
+    found = telling_runs(marked, ordinary, 20, 200)
+    assert b"abcdef" in found and all(b"abcdef" in r for r in found if len(r) >= 6 and not r.endswith((b"x", b"y", b"z", b" ")))
+    assert not any(r in b" qabcde " or r in b" bcdef " or r in b" plain " for r in found)
+    assert telling_runs(Counter(), ordinary, 1, 200) == set()
+
+
 @pytest.mark.parametrize("operator, predicted", [(toxicity, 0), (quality, 1)])
 def test_classifiers_take_any_rows(spark, odd, labels, operator, predicted):
     rows = operator.classify(odd, labels).collect()
