@@ -48,13 +48,7 @@ _LOOK = zstd.ZstdCompressionParameters(
     window_log=17, min_match=4, strategy=zstd.STRATEGY_BTLAZY2, search_log=9, hash_log=17, chain_log=17,
     target_length=64, **_FRAME,
 )
-_SHORTEST, _LONGEST = 5, 9  # bytes of the runs whose counts in both classes are compared
-_SUPPORT = 4  # windows of marked texts that hold a run, at least
-_SPECIAL = 24_000  # bytes of the marked dictionary's own part
-_SEGMENT = 32  # bytes of the segments zstandard chooses a dictionary from
-_EDGES = bytes(range(33, 48)) + bytes(range(58, 65))  # marks at the edges of words; no part of a dictionary's words
-_WHOLE = 2  # marked texts that make a window with a telling run part of the dictionary as a whole
-_RATIO = 25  # times a run has to be as frequent in marked texts as in ordinary ones
+_RUN = 5  # bytes of the runs whose counts in both classes are compared
 _MAX_GAIN = 8
 
 
@@ -71,89 +65,56 @@ def _unlikely(n: np.ndarray | float, o: float, share: float) -> float:
     return n * math.log(n / expected) + (o * math.log(o / ((n + o) * (1 - share))) if o else 0.0)
 
 
-def _runs(word: bytes, length: int) -> list[bytes]:
+def _runs(word: bytes) -> list[bytes]:
     framed = b" " + word + b" "
-    return [framed[i : i + length] for i in range(len(framed) - length + 1)]
-
-
-def telling_runs(in_marked: Counter, in_ordinary: Counter, n: int, o: int) -> set[bytes]:
-    """Byte runs of windows that stand out in n marked texts against o ordinary ones; counts are texts per window.
-
-    A run that is frequent but does not tell yet grows by a byte, as a longer one may: the first bytes of a marked stem
-    begin many ordinary words too.
-    """
-    telling: set[bytes] = set()
-    undecided = None
-    for length in range(_SHORTEST, _LONGEST + 1):
-        counts, others = Counter(), Counter()
-        for w, c in in_marked.items():
-            for r in set(_runs(w, length)):
-                if undecided is None or (r[1:] in undecided and r[:-1] in undecided):
-                    counts[r] += c
-        frequent = {r for r, c in counts.items() if c >= _SUPPORT}
-        if not frequent:
-            break
-        for w, c in in_ordinary.items():
-            for r in frequent.intersection(_runs(w, length)):
-                others[r] += c
-        # So many runs are looked at that chance alone reaches the logarithm of their number.
-        least, share = max(6.0, math.log(len(counts))), n / (n + o)
-        found = {
-            r for r in frequent
-            if counts[r] / n >= _RATIO * others[r] / o and _unlikely(counts[r], others[r], share) >= least
-        }
-        telling |= found
-        undecided = frequent - found
-    return telling
-
-
-def _stretches(word: bytes, often: bool, telling: set[bytes], lengths: Sequence[int]) -> list[bytes]:
-    """The stretches of a word that telling runs cover, and the whole word if it is met often enough."""
-    framed, begin, covered, found = b" " + word + b" ", 0, 0, []
-    for i in range(len(framed)):
-        reach = max((i + k for k in lengths if framed[i : i + k] in telling), default=0)
-        if reach and i >= covered:
-            if covered:
-                found.append(framed[begin:covered])
-            begin = i
-        covered = max(covered, reach)
-    if covered:
-        found.append(framed[begin:covered])
-        if often:
-            found.append(framed)
-    return found
-
-
-def _content(samples: Sequence[bytes], size: int) -> bytes:
-    """Dictionary that zstandard trains on the samples; samples too few to train on are the dictionary themselves."""
-    size = min(size, sum(map(len, samples)) // 3)
-    try:
-        if size >= 512:
-            return zstd.train_dictionary(size, list(samples), k=_SEGMENT, d=6).as_bytes()
-    except zstd.ZstdError:
-        pass
-    return b" ".join(samples)[-3 * size :]
+    return [framed[i : i + _RUN] for i in range(len(framed) - _RUN + 1)]
 
 
 def word_dictionaries(marked: Sequence[list[bytes]], ordinary: Sequence[list[bytes]], size: int) -> tuple[bytes, bytes]:
-    """Dictionary contents (ordinary, marked) from the windows of both classes, each trained by zstandard.
+    """Dictionary contents (ordinary, marked) from the windows of both classes.
 
-    The ordinary one is trained on stretches of eight windows of ordinary texts, less the windows that hold a telling run.
-    The marked one is trained on the marked texts reduced to what tells; it stands behind the ordinary one, so that ordinary
-    windows cost the same under both.
+    The ordinary one holds the windows most ordinary texts have. The marked one holds the same, so that ordinary windows
+    cost the same under both, and the stretches of windows whose byte runs stand out in the marked texts.
     """
     in_marked, in_ordinary = Counter(), Counter()
     for texts, counts in ((marked, in_marked), (ordinary, in_ordinary)):
         for words in texts:
-            counts.update({w.strip(_EDGES) for w in words})
-    telling = telling_runs(in_marked, in_ordinary, max(1, len(marked)), max(1, len(ordinary)))
-    lengths = sorted({len(r) for r in telling})
-    tells = {w for w in in_ordinary if any(r in telling for k in lengths for r in _runs(w, k))}
-    plain = ([w for w in words if w.strip(_EDGES) not in tells] for words in ordinary)
-    found = {w: _stretches(w, c >= _WHOLE, telling, lengths) for w, c in in_marked.items()}
-    told = ([s for w in dict.fromkeys(w.strip(_EDGES) for w in words) for s in found[w]] for words in marked)
-    base = _content([b" ".join(words[i : i + 8]) for words in plain for i in range(0, len(words), 8)], size)
-    special = _content([b"\n".join(stretches) for stretches in told if stretches], _SPECIAL)
+            counts.update({w for w in words if len(w) <= 40})
+    n, o = max(1, len(marked)), max(1, len(ordinary))
+    share = n / (n + o)
+
+    # So many windows are looked at that chance alone reaches the logarithm of their number.
+    least = max(6.0, math.log(max(1, len(in_marked))))
+
+    def stands_out(a: int, b: int) -> bool:
+        return a >= 3 and b / o <= 0.02 * a / n and _unlikely(a, b, share) >= least
+
+    words = {w: c for w, c in in_marked.items() if stands_out(c, in_ordinary[w])}
+    wanted = {r for w in words for r in _runs(w)}
+    run_marked, run_ordinary = Counter(), Counter()
+    for counts, runs in ((in_marked, run_marked), (in_ordinary, run_ordinary)):
+        for w, c in counts.items():
+            for r in wanted.intersection(_runs(w)):
+                runs[r] += c
+    telling = {r for r in wanted if stands_out(run_marked[r], run_ordinary[r])}
+    stretches = Counter()
+    for w, c in words.items():
+        framed, i = b" " + w + b" ", 0
+        while i <= len(framed) - _RUN:
+            j = i
+            while framed[j : j + _RUN] in telling and j <= len(framed) - _RUN:
+                j += 1
+            if j > i:
+                stretches[framed[i : j - 1 + _RUN]] += c
+            i = max(j, i + 1)
+    special = b"\n".join(s for s, _ in sorted(stretches.most_common(size // 8), key=lambda x: (x[1], x[0])))[-size:]
+    plain, used = [], 0
+    for w, _ in sorted(in_ordinary.items(), key=lambda x: (-x[1], x[0])):
+        used += len(w) + 1
+        if used > size:
+            break
+        plain.append(w)
+    base = b" ".join(reversed(plain)) + b" "
     end = _HEAD + b"  " + _TAIL
     return base + end, base + special + end
 
@@ -212,7 +173,7 @@ def _evidence(found: np.ndarray, weights: np.ndarray) -> float:
     return float(found @ weights) / math.sqrt(1 + found.sum() / 100)
 
 
-def train_windows(sample: Sequence[tuple[int, str]], size: int = 90_000) -> WindowModel | None:
+def train_windows(sample: Sequence[tuple[int, str]], size: int = 24_000) -> WindowModel | None:
     """Model of label 1 against 0, or None if a class is missing.
 
     Weights and calibration come from texts that the dictionaries they are scored with have not seen (two halves).
