@@ -32,7 +32,7 @@ LINK_SHARE = 0.5  # a slot whose text is links beyond this share is a menu
 
 # Fixed values of HTML: what has no end tag, what is never shown, what nests other blocks, what starts a new block.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-HIDDEN = frozenset("script style noscript template svg head title iframe object select textarea math".split())
+HIDDEN = frozenset("script style noscript template svg head title iframe object select textarea".split())
 RAW = frozenset("script style textarea title iframe noscript".split())
 CONTAINERS = frozenset(
     "html body div section article main nav header footer aside form ul ol dl table menu dialog fieldset figure details".split()

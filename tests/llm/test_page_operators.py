@@ -97,6 +97,13 @@ def test_constant_containers_are_template(spark):
     assert {r["text"] for r in html_text.main_text(table).collect()} == {f"Story {i}" for i in range(5)}
 
 
+def test_formulas_are_text(spark):
+    formula = "<math><mi>x</mi><mo>+</mo><mn>1</mn></math>"
+    rows = [(i, f"http://h.example/{i}", f"<body><article><p>Sum {i} is {formula} here</p></article></body>") for i in range(4)]
+    table = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert {r["text"] for r in html_text.main_text(table).collect()} == {f"Sum {i} is x+1 here" for i in range(4)}
+
+
 def test_copies_of_a_page_make_no_template(spark):
     def words(seed, n=200):
         return " ".join(f"w{seed}x{i}" for i in range(n))
