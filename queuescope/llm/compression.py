@@ -48,8 +48,12 @@ _LOOK = zstd.ZstdCompressionParameters(
     window_log=17, min_match=4, strategy=zstd.STRATEGY_BTLAZY2, search_log=9, hash_log=17, chain_log=17,
     target_length=64, **_FRAME,
 )
-_RUN = 5  # bytes of the runs whose counts in both classes are compared
+_SHORTEST, _LONGEST = 5, 9  # bytes of the runs whose counts in both classes are compared
+_SUPPORT = 4  # times that a run occurs in marked texts, as counted by surroundings, at least
+_RATIO = 10  # times a run has to be as frequent in marked texts as in ordinary ones
+_EDGES = bytes(range(33, 48)) + bytes(range(58, 65)) + bytes(range(91, 97)) + bytes(range(123, 127))  # ASCII marks
 _MAX_GAIN = 8
+_THRESHOLD, _FALSE_ALARMS = 0.7, 0.005  # ordinary training texts that may reach this score, by halves unseen
 
 
 def windows_of(text: str) -> list[bytes]:
@@ -65,51 +69,128 @@ def _unlikely(n: np.ndarray | float, o: float, share: float) -> float:
     return n * math.log(n / expected) + (o * math.log(o / ((n + o) * (1 - share))) if o else 0.0)
 
 
-def _runs(word: bytes) -> list[bytes]:
+def _runs(word: bytes, length: int) -> set[bytes]:
     framed = b" " + word + b" "
-    return [framed[i : i + _RUN] for i in range(len(framed) - _RUN + 1)]
+    return {framed[i : i + length] for i in range(len(framed) - length + 1)}
 
 
-def word_dictionaries(marked: Sequence[list[bytes]], ordinary: Sequence[list[bytes]], size: int) -> tuple[bytes, bytes]:
-    """Dictionary contents (ordinary, marked) from the windows of both classes.
+def _mixed(columns: Iterable[np.ndarray]) -> np.ndarray:
+    """One 64-bit hash per row."""
+    result = np.uint64(0)
+    for c in columns:
+        result = (result ^ c) * np.uint64(0x9E3779B97F4A7C15)
+        result ^= result >> np.uint64(29)
+    return result
 
-    The ordinary one holds the windows most ordinary texts have. The marked one holds the same, so that ordinary windows
-    cost the same under both, and the stretches of windows whose byte runs stand out in the marked texts.
+
+def surroundings(*classes: Sequence[list[bytes]]) -> list[Counter]:
+    """Per class of texts, in how many texts each word (without the marks at its edges) occurs between other neighbours.
+
+    A passage that many texts of a class share, as near copies do, counts once: texts that have a word between the same two
+    neighbours count as one. Where another class has the passage with other words in that place (two neighbours on either
+    side are compared), each text counts, as then the word is what tells the classes apart.
+    """
+    ids: dict[bytes, int] = {}
+    words, near, wide, texts, ends = [], [], [], [], []
+    for of_class in classes:
+        for windows in of_class:
+            row = np.array([0, 0, *(ids.setdefault(w.strip(_EDGES), len(ids) + 1) for w in windows), 0, 0], dtype=np.uint64)
+            sides = row[:-4], row[1:-3], row[3:-1], row[4:]
+            words.append(row[2:-2].astype(np.uint32))
+            near.append(_mixed(sides[1:3]))
+            wide.append(_mixed(sides))
+            texts.append(np.full(len(windows), len(texts), dtype=np.uint32))
+        ends.append(sum(map(len, words)))
+    if not ids:
+        return [Counter() for _ in classes]
+    words, near, wide, texts = map(np.concatenate, (words, near, wide, texts))
+    parts = [slice(*p) for p in zip([0, *ends[:-1]], ends)]
+    known = [np.unique(wide[p]) for p in parts]
+    found = []
+    for number, p in enumerate(parts):
+        shared = np.zeros(p.stop - p.start, dtype=bool)
+        for other, places in enumerate(known):
+            if other != number:
+                shared |= np.isin(wide[p], places)
+        place = np.where(shared, _mixed([texts[p].astype(np.uint64)]), near[p])
+        times = None
+        for key in (texts[p], place):  # a text counts once, however often it has the word
+            order = np.lexsort((key, words[p]))
+            w, k = words[p][order], key[order]
+            first = np.ones(len(w), dtype=bool)
+            first[1:] = (w[1:] != w[:-1]) | (k[1:] != k[:-1])
+            n = np.bincount(w[first].astype(np.int64), minlength=len(ids) + 1)
+            times = n if times is None else np.minimum(times, n)
+        found.append(Counter({w: int(times[i]) for w, i in ids.items() if w and times[i]}))
+    return found
+
+
+def telling_runs(in_marked: Counter, in_ordinary: Counter) -> set[bytes]:
+    """Byte runs of words that stand out in marked texts; counts are different surroundings per word.
+
+    A run that is frequent but does not tell yet grows by a byte, as a longer one may tell: the first bytes of a marked
+    stem begin many ordinary words too.
     """
-    in_marked, in_ordinary = Counter(), Counter()
-    for texts, counts in ((marked, in_marked), (ordinary, in_ordinary)):
-        for words in texts:
-            counts.update({w for w in words if len(w) <= 40})
-    n, o = max(1, len(marked)), max(1, len(ordinary))
+    n, o = max(1, in_marked.total()), max(1, in_ordinary.total())
     share = n / (n + o)
+    telling: set[bytes] = set()
+    undecided = None
+    for length in range(_SHORTEST, _LONGEST + 1):
+        counts, others = Counter(), Counter()
+        for w, c in in_marked.items():
+            for r in _runs(w, length):
+                if undecided is None or (r[1:] in undecided and r[:-1] in undecided):
+                    counts[r] += c
+        frequent = {r for r, c in counts.items() if c >= _SUPPORT}
+        if not frequent:
+            break
+        for w, c in in_ordinary.items():
+            for r in frequent & _runs(w, length):
+                others[r] += c
+        # Chance alone reaches the logarithm of the number of runs; beyond it by ln 100, one in a hundred times.
+        least = math.log(100 * len(counts))
+        found = {
+            r for r in frequent
+            if counts[r] / n >= _RATIO * others[r] / o and _unlikely(counts[r], others[r], share) >= least
+        }
+        telling |= found
+        undecided = frequent - found
+    return telling
+
+
+def _stretches(word: bytes, telling: set[bytes], lengths: Sequence[int]) -> list[bytes]:
+    """The longest stretches of a word that telling runs cover."""
+    framed, begin, covered, found = b" " + word + b" ", 0, 0, []
+    for i in range(len(framed)):
+        reach = max((i + k for k in lengths if framed[i : i + k] in telling), default=0)
+        if reach and i >= covered:
+            if covered:
+                found.append(framed[begin:covered])
+            begin = i
+        covered = max(covered, reach)
+    if covered:
+        found.append(framed[begin:covered])
+    return found
 
-    # So many windows are looked at that chance alone reaches the logarithm of their number.
-    least = max(6.0, math.log(max(1, len(in_marked))))
 
-    def stands_out(a: int, b: int) -> bool:
-        return a >= 3 and b / o <= 0.02 * a / n and _unlikely(a, b, share) >= least
+def word_dictionaries(marked: Sequence[list[bytes]], ordinary: Sequence[list[bytes]], size: int) -> tuple[bytes, bytes]:
+    """Dictionary contents (ordinary, marked) from the windows of both classes.
 
-    words = {w: c for w, c in in_marked.items() if stands_out(c, in_ordinary[w])}
-    wanted = {r for w in words for r in _runs(w)}
-    run_marked, run_ordinary = Counter(), Counter()
-    for counts, runs in ((in_marked, run_marked), (in_ordinary, run_ordinary)):
-        for w, c in counts.items():
-            for r in wanted.intersection(_runs(w)):
-                runs[r] += c
-    telling = {r for r in wanted if stands_out(run_marked[r], run_ordinary[r])}
+    The ordinary one holds the windows most ordinary texts have. The marked one holds the same, so that ordinary windows
+    cost the same under both, and the stretches of windows whose byte runs stand out in the marked texts.
+    """
+    in_marked, in_ordinary = surroundings(marked, ordinary)
+    telling = telling_runs(in_marked, in_ordinary)
+    lengths = sorted({len(r) for r in telling})
     stretches = Counter()
-    for w, c in words.items():
-        framed, i = b" " + w + b" ", 0
-        while i <= len(framed) - _RUN:
-            j = i
-            while framed[j : j + _RUN] in telling and j <= len(framed) - _RUN:
-                j += 1
-            if j > i:
-                stretches[framed[i : j - 1 + _RUN]] += c
-            i = max(j, i + 1)
+    for w, c in in_marked.items():
+        for s in _stretches(w, telling, lengths):
+            stretches[s] += c
     special = b"\n".join(s for s, _ in sorted(stretches.most_common(size // 8), key=lambda x: (x[1], x[0])))[-size:]
     plain, used = [], 0
     for w, _ in sorted(in_ordinary.items(), key=lambda x: (-x[1], x[0])):
+        if any(r in telling for k in lengths for r in _runs(w, k)):
+            continue
         used += len(w) + 1
         if used > size:
             break
@@ -200,7 +281,11 @@ def train_windows(sample: Sequence[tuple[int, str]], size: int = 24_000) -> Wind
     weights[2:] = np.maximum.accumulate(np.maximum(weights[2:], 0))  # a larger saving never speaks against label 1
     evidence = np.array([_evidence(f, weights) for f in found])
     slope, intercept = logistic_fit(evidence[:, None], truth, 0.4)
-    return WindowModel(*word_dictionaries(marked, ordinary, size), tuple(weights), max(slope, 0.0), intercept)
+    slope = max(slope, 0.0)
+    # The evidence that all but a share of the ordinary texts stay below gets the threshold's score at most.
+    limit = float(np.quantile(evidence[truth == 0], 1 - _FALSE_ALARMS, method="higher"))
+    intercept = min(intercept, math.log(_THRESHOLD / (1 - _THRESHOLD)) - slope * limit - 1e-6)
+    return WindowModel(*word_dictionaries(marked, ordinary, size), tuple(weights), slope, intercept)
 
 
 # ------------------------------------------------------------------------------------------------------ text windows

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from queuescope.llm import bpe, lattice, mixing, quality, quality_rules, simhash, toxicity
-from queuescope.llm.compression import train_sizes, train_windows
+from queuescope.llm.compression import surroundings, telling_runs, train_sizes, train_windows, windows_of
 from queuescope.session import materialize
 
 from .plain import WORD, classes, plain_fingerprint
@@ -61,6 +61,60 @@ def test_classifiers_tell_held_out_rows_apart(spark, operator, label, least):
     assert ranked_right([r["score"] for r in found], [r[label] for r in found]) > least
 
 
+def test_toxicity_is_found_in_more_than_one_language(spark):
+    docs, marks = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    rows = docs.where("crc32(cast(doc_id as string)) % 3 = 1").join(marks.where("toxic is not null"), "doc_id")
+    scored = rows.select("lang", "toxic", toxicity.score_column(toxicity.train(docs, marks), rows["text"]).alias("s"))
+    found = scored.groupBy("lang", "toxic").agg(F.count("*").alias("n"), F.count_if(F.col("s") >= 0.7).alias("hits")).collect()
+    hits, n = ({(r["lang"], r["toxic"]): r[c] for r in found} for c in ("hits", "n"))
+    total = {k: (sum(h for (_, t), h in hits.items() if t == k), sum(c for (_, t), c in n.items() if t == k)) for k in (0, 1)}
+    assert total[1][0] >= 0.75 * total[1][1] and total[0][0] <= 0.02 * total[0][1]
+    assert all(hits[lang, 1] >= share * n[lang, 1] for lang, share in (("en", 0.85), ("de", 0.85), ("fr", 0.5), ("es", 0.25)))
+
+
+def test_shared_passages_and_repeated_words_count_once():
+    copies = [b"the day was vile today".split()] * 50
+    assert set(surroundings(copies)[0].values()) == {1}
+    assert surroundings([b"vile a vile b vile c vile d".split()])[0][b"vile"] == 1
+    apart = surroundings([f"w{i} vile, x{i}".encode().split() for i in range(7)])[0]
+    assert apart[b"vile"] == 7 and apart[b"w3"] == 1
+    told, other = surroundings(copies, [b"the day was kind today".split()] * 3)
+    assert told[b"vile"] == 50 and told[b"today"] == 1 and other[b"kind"] == 3 and b"vile" not in other
+    assert surroundings([], [[]]) == [{}, {}]
+
+
+def test_runs_grow_until_they_tell():
+    # "qabcde" and "bcdef" are in many ordinary words, both together are not
+    ends = [b"", b"x", b"yy", b"zzz"]
+    ordinary = {b"qabcde" + e: 300 for e in ends} | {b"bcdef" + e: 300 for e in ends} | {b"plain": 2000}
+    marked = {b"qabcdef" + e: 10 for e in ends} | {b"plain": 20}
+    found = telling_runs(Counter(marked), Counter(ordinary))
+    assert b"abcdef" in found and b"abcde" not in found
+    assert not any(r in b" %s " % w for r in found for w in ordinary)
+    assert telling_runs(Counter(), Counter(ordinary)) == set()
+
+
+def test_copies_of_a_toxic_text_do_not_mark_its_ordinary_words():
+    sample = [(1, f"seldom heard marmalade kettles wobble gently {i}") for i in range(60)]  # near copies
+    sample += [(1, f"n{i} vile{i % 3} m{i}") for i in range(60)] + [(0, f"n{i} kind{i % 3} m{i}") for i in range(400)]
+    model = train_windows(sample)
+    gains = model.gains()
+    assert model.score(gains, "n1 vile1 m1") > model.score(gains, "the marmalade") == model.score(gains, "the something")
+
+
+def test_window_scores_equal_a_plain_version():
+    sample = [(i % 5 == 0, f"n{i} {'vile' if i % 5 == 0 else 'kind'}{i % 3} m{i}") for i in range(300)]
+    model = train_windows([(int(y), t) for y, t in sample])
+    kept = model.gains()
+    for text in ("", "vile1 vile1 kind2 other", "n1 " * 300 + "vile2"):
+        savings = Counter()
+        for word, times in Counter(windows_of(text)).items():
+            savings[model.gains()[word]] += 1 + math.log(times)
+        evidence = sum(model.weights[g + 1] * c for g, c in savings.items()) / math.sqrt(1 + sum(savings.values()) / 100)
+        plain = 1 / (1 + math.exp(-(model.slope * evidence + model.intercept)))
+        assert model.score(kept, text) == pytest.approx(plain) == pytest.approx(model.score(kept, text))
+
+
 @pytest.mark.parametrize("operator, predicted", [(toxicity, 0), (quality, 1)])
 def test_classifiers_take_any_rows(spark, odd, labels, operator, predicted):
     rows = operator.classify(odd, labels).collect()
