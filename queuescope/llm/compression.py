@@ -6,6 +6,7 @@ Pure functions on bounded samples (training, on the driver) and on single texts
 from __future__ import annotations
 
 import math
+from array import array
 from collections import Counter
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
@@ -78,7 +79,7 @@ def _mixed(columns: Iterable[np.ndarray]) -> np.ndarray:
     """One 64-bit hash per row."""
     result = np.uint64(0)
     for c in columns:
-        result = (result ^ c) * np.uint64(0x9E3779B97F4A7C15)
+        result = (c ^ result) * np.uint64(0x9E3779B97F4A7C15)
         result ^= result >> np.uint64(29)
     return result
 
@@ -91,35 +92,35 @@ def surroundings(*classes: Sequence[list[bytes]]) -> list[Counter]:
     side are compared), each text counts, as then the word is what tells the classes apart.
     """
     ids: dict[bytes, int] = {}
-    words, near, wide, texts, ends = [], [], [], [], []
-    for of_class in classes:
-        for windows in of_class:
-            row = np.array([0, 0, *(ids.setdefault(w.strip(_EDGES), len(ids) + 1) for w in windows), 0, 0], dtype=np.uint64)
-            sides = row[:-4], row[1:-3], row[3:-1], row[4:]
-            words.append(row[2:-2].astype(np.uint32))
-            near.append(_mixed(sides[1:3]))
-            wide.append(_mixed(sides))
-            texts.append(np.full(len(windows), len(texts), dtype=np.uint32))
-        ends.append(sum(map(len, words)))
-    if not ids:
-        return [Counter() for _ in classes]
-    words, near, wide, texts = map(np.concatenate, (words, near, wide, texts))
-    parts = [slice(*p) for p in zip([0, *ends[:-1]], ends)]
-    known = [np.unique(wide[p]) for p in parts]
+    rows = []  # per class: word numbers, two zeros around each text
+    for texts in classes:
+        row = array("I", (0, 0))
+        for windows in texts:
+            row.extend(ids.setdefault(w.strip(_EDGES), len(ids) + 1) for w in windows)
+            row.extend((0, 0))
+        rows.append(np.frombuffer(row, dtype=np.uint32))
+
+    def sides(row: np.ndarray, *places: int) -> np.ndarray:
+        return _mixed([row[2 + p : len(row) - 2 + p] for p in places])
+
+    known = [np.unique(sides(row, -2, -1, 1, 2)) for row in rows]
     found = []
-    for number, p in enumerate(parts):
-        shared = np.zeros(p.stop - p.start, dtype=bool)
+    for number, row in enumerate(rows):
+        words, wide = row[2:-2], sides(row, -2, -1, 1, 2)
+        shared = np.zeros(len(words), dtype=bool)
         for other, places in enumerate(known):
-            if other != number:
-                shared |= np.isin(wide[p], places)
-        place = np.where(shared, _mixed([texts[p].astype(np.uint64)]), near[p])
+            if other != number and len(places):
+                shared |= places[np.minimum(np.searchsorted(places, wide), len(places) - 1)] == wide
+        del wide
+        text = np.cumsum(words == 0, dtype=np.uint32)
+        place = np.where(shared, _mixed([text]), sides(row, -1, 1))
         times = None
-        for key in (texts[p], place):  # a text counts once, however often it has the word
-            order = np.lexsort((key, words[p]))
-            w, k = words[p][order], key[order]
+        for key in (text, place):  # a text counts once, however often it has the word
+            order = np.lexsort((key, words))
+            w, k = words[order], key[order]
             first = np.ones(len(w), dtype=bool)
             first[1:] = (w[1:] != w[:-1]) | (k[1:] != k[:-1])
-            n = np.bincount(w[first].astype(np.int64), minlength=len(ids) + 1)
+            n = np.bincount(w[first], minlength=len(ids) + 1)
             times = n if times is None else np.minimum(times, n)
         found.append(Counter({w: int(times[i]) for w, i in ids.items() if w and times[i]}))
     return found
