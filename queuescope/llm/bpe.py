@@ -10,10 +10,12 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from itertools import chain, islice
 
+import numpy as np
 import pandas as pd
 import public_tokenizers
 import regex
@@ -22,8 +24,9 @@ from pyspark.sql import functions as F
 from tokenizers.pre_tokenizers import ByteLevel
 
 VOCABULARY = "byte_bpe_50k.json"
-GROUP_CHARS = 2_000_000  # texts are encoded in groups of about this many characters, so memory is bounded
-KEPT_WORDS = 320_000  # encodings a worker keeps: about 80 MB
+GROUP_CHARS = 500_000  # texts are encoded in groups of about this many characters, so memory is bounded
+OUTPUT_ROWS = 100  # rows whose ids are handed to Spark together
+KEPT_WORDS = 320_000  # encodings a worker keeps: about 50 MB
 KEPT_BYTES = 64  # longest word that is kept
 KEPT_BORDERS = 300_000  # checked token pairs a worker keeps: about 30 MB
 _IDS = 1 << 32  # more than any token id
@@ -71,7 +74,7 @@ class BytePairEncoder:
         self.parts = re.compile(f"({names})") if names else None
         self.byte_ids = [self.id_of[bytes([b])] for b in range(256)]
         self.borders: dict[int, bool] = {}
-        self.kept: dict[str, tuple[int, ...]] = {}
+        self.kept: dict[str, bytes] = {}  # packed: a tuple would take twice the memory
 
     # -------------------------------------------------------------------------------------------------------- words
 
@@ -142,8 +145,8 @@ class BytePairEncoder:
                 for found in self.pieces.finditer(part):
                     yield found.group()
 
-    def _learn(self, pieces: Iterable[str]) -> dict[str, tuple[int, ...]]:
-        """The kept encodings, and apart from them those of long pieces."""
+    def _learn(self, pieces: Iterable[str]) -> dict[str, bytes]:
+        """Keeps the encodings of the pieces; those of long ones are returned instead."""
         words = set(pieces)
         new = words.difference(self.kept)
         if len(self.kept) + len(new) > KEPT_WORDS:
@@ -152,24 +155,21 @@ class BytePairEncoder:
             self.kept.update(used)
         long = {}
         for word, ids in self.encode_words(w for w in new if w not in self.special):
-            if len(word) <= KEPT_BYTES:
-                self.kept[word] = ids
-            else:
-                long[word] = ids
-        self.kept.update({s: (number,) for s, number in self.special.items()})
+            (self.kept if len(word) <= KEPT_BYTES else long)[word] = array("i", ids).tobytes()
+        self.kept.update({s: array("i", [number]).tobytes() for s, number in self.special.items()})
         return long
 
-    def _ids(self, pieces: list[str], long: dict[str, tuple[int, ...]]) -> list[int]:
+    def _ids(self, pieces: list[str], long: dict[str, bytes]) -> array:
         if long:
-            return list(chain.from_iterable(self.kept.get(p) or long[p] for p in pieces))
-        return list(chain.from_iterable(map(self.kept.__getitem__, pieces)))
+            return array("i", b"".join([self.kept.get(p) or long[p] for p in pieces]))
+        return array("i", b"".join(map(self.kept.__getitem__, pieces)))
 
-    def encode(self, texts: Iterable[str | None]) -> Iterator[list[int]]:
-        """Token ids of each whole text; null counts as empty."""
+    def encode(self, texts: Iterable[str | None]) -> Iterator[array]:
+        """Token ids of each whole text as an array of C ints; null counts as empty."""
         group: list[list[str]] = []
         size = 0
 
-        def flush() -> Iterator[list[int]]:
+        def flush() -> Iterator[array]:
             long = self._learn(set(chain.from_iterable(group)))
             for pieces in group:
                 yield self._ids(pieces, long)
@@ -179,7 +179,7 @@ class BytePairEncoder:
             text = text or ""
             if len(text) > GROUP_CHARS:
                 yield from flush()
-                size, ids, pieces = 0, [], self._split(text)
+                size, ids, pieces = 0, array("i"), self._split(text)
                 while part := list(islice(pieces, 200_000)):
                     ids += self._ids(part, self._learn(part))
                 yield ids
@@ -218,7 +218,9 @@ def encode_column(spec, text: Column) -> Column:
     def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         encoder = encoder_of(spec.value)
         for batch in batches:
-            yield pd.Series(list(encoder.encode(batch)), dtype=object)
+            encoded = encoder.encode(batch)
+            while part := [np.frombuffer(ids, "i") for ids in islice(encoded, OUTPUT_ROWS)]:
+                yield pd.Series(part, dtype=object)
 
     return encode(F.coalesce(text, F.lit("")))
 

@@ -298,5 +298,8 @@ def one_of_each(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
         F.col("least.first").alias("_kept"), F.col("least.fp").alias("_kept_fp")
     ))
     marked = docs.withColumn("_fp", fingerprint_column(F.col("text")))
-    found = marked.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")) & (F.col("_fp") == F.col("_kept_fp")))
+    # A plain equality would add a filter on _fp, and that a second fingerprint of every text in a Python worker of its own.
+    found = marked.join(
+        kept, F.col("doc_id").eqNullSafe(F.col("_kept")) & F.col("_fp").eqNullSafe(F.col("_kept_fp"))
+    )
     return found.dropDuplicates(["doc_id", "_fp"]).drop("_fp", "_kept", "_kept_fp")

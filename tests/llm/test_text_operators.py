@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import tracemalloc
 from collections import Counter, defaultdict
 from fractions import Fraction
 
@@ -193,6 +194,11 @@ def test_one_of_each_keeps_texts_not_keys(spark):
         assert Counter(map(tuple, simhash.one_of_each(docs).collect())) == Counter([(1, a), (3, b), (None, c)])
 
 
+def test_one_of_each_marks_texts_once(documents):
+    plan = simhash.one_of_each(documents)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
+
+
 # ------------------------------------------------------------------------------------------------------------- bpe (4)
 
 
@@ -231,6 +237,18 @@ def test_long_texts_are_encoded_in_parts():
     assert ids[: len(short) - 1] == short[:-1]
 
 
+def test_encoding_many_texts_takes_little_memory(documents):
+    import public_tokenizers
+
+    encoder = bpe.BytePairEncoder(open(public_tokenizers.path(bpe.VOCABULARY), encoding="utf-8").read())
+    texts = [r["text"] for r in documents.select("text").collect() if r["text"]] * 5
+    tracemalloc.start()
+    assert all(encoder.decode(ids) == text for text, ids in zip(texts, encoder.encode(texts)))
+    learnt, most = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert sum(map(len, texts)) > 2_000_000 and most - learnt < 16e6
+
+
 # --------------------------------------------------------------------------------------------------- quality rules (5)
 
 
