@@ -2,14 +2,16 @@
 
 The two questions are interval sums over the same rows, so they share their events: level -1 holds the rows while they
 run, for the whole key; level l >= 0 holds them while they wait, in aligned blocks of 2**l chunks of ranks (see ``dominance``).
-All levels are added up per moment and scanned together. The answers of a chunk then meet its rows in one cogroup, where
-the chunk is solved and the row's own share is taken off, so no answer is joined back to rows twice.
+The levels are added up per moment and scanned together, or a few at a time if there are very many events. The answers of
+a chunk then meet its rows in one cogroup, where the chunk is solved and the row's own share is taken off, so no answer is
+joined back to rows twice.
 """
 
 from __future__ import annotations
 
 import sys
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +22,11 @@ from pyspark.sql import functions as F
 from queuescope.operators.dominance import CHUNK_BITS, waiting_ahead
 from queuescope.operators.intervals import settled, suffixed, sum_type
 from queuescope.operators.running import fitting_width, is_fine, position, quoted, scan_points, ticks_per_second
+from queuescope.session import materialize
+
+# The levels grow with the logarithm of the rows. Beyond this many events the levels are swept one after the other, as the
+# shuffle files of a sweep stay until it ends.
+EVENTS_AT_ONCE = 1 << 25
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -36,12 +43,14 @@ def queue_state(
     end: str = "end_ts",
     chunk_bits: int = CHUNK_BITS,
     width: int | Sequence[int] | None = None,
+    events_at_once: int = EVENTS_AT_ONCE,
 ) -> DataFrame:
     """keys, rank, ``active_*``, the outputs of ``remaining``, ``queued_*``: one row per row of ``df``.
 
     The same sums as ``add_active`` and ``add_queued`` give, for rows whose keys, rank and times are known. ``rank`` is unique
     per key. ``df`` is read three times, so pass it slim and written. Without ``width`` one job looks whether
-    the times are whole seconds: a bucket is then a day, otherwise ten seconds within days.
+    the times are whole seconds: a bucket is then a day, otherwise ten seconds within days. Where the levels have more than
+    about ``events_at_once`` events, as many as fit, but one at least, are swept at a time and their answers written.
     """
     if not 1 <= chunk_bits <= 16:
         raise ValueError("chunk_bits must be between 1 and 16")
@@ -67,12 +76,14 @@ def queue_state(
         *[f"least(_to, _from + {quoted(f'_l_{d}')} * {tick}) AS {quoted(f'_to_{d}')}" for d in remaining],
     ).selectExpr("*", *[f"{seconds(f'_to_{d}')} AS {quoted(f'_s_{d}')}" for d in remaining])
     facts = placed.agg(
-        F.max("_chunk").alias("chunk"), is_fine(["_at", "_from", "_to"], tick).alias("fine")
+        F.max("_chunk").alias("chunk"), is_fine(["_at", "_from", "_to"], tick).alias("fine"), F.count(F.lit(1)).alias("rows")
     ).first()
     last_chunk = facts["chunk"] or 0
     width = width or fitting_width(df, eligible, facts["fine"])
 
-    answers = _answers(placed, keys, values, remaining, last_chunk, seconds, width)
+    sweeps = _sweeps(facts["rows"], 3 + len(remaining), last_chunk.bit_length(), events_at_once)
+    parts = [_answers(placed, keys, values, remaining, last_chunk, seconds, width, levels) for levels in sweeps]
+    answers = parts[0] if len(parts) == 1 else reduce(DataFrame.unionByName, map(materialize, parts))
     outputs = {suffixed("active_", r): kinds[r] for r in resources} | {out: "bigint" for out in remaining.values()}
     outputs |= {suffixed("queued_", r): "double" for r in resources}
     head = ", ".join(f"{quoted(f.name)} {f.dataType.simpleString()}" for f in df.select(*keys, rank).schema)
@@ -85,13 +96,31 @@ def queue_state(
     )
 
 
-def _answers(placed, keys, values, remaining, last_chunk, seconds, width) -> DataFrame:
-    """(keys, chunk, moment, level) with the totals of the level's block that the chunk asks for at the moment."""
+def _sweeps(rows: int, running_events: int, levels: int, most: int) -> list[list[int]]:
+    """The levels -1 to ``levels - 1`` in runs of about ``most`` events, or of one level.
+
+    A row has ``running_events`` at level -1. At each other level it either waits (two events) or asks (one).
+    """
+    sweeps, room = [], 0.0
+    for level in range(-1, levels):
+        events = rows * (running_events if level < 0 else 1.5)
+        if sweeps and events <= room:
+            sweeps[-1].append(level)
+        else:
+            sweeps.append([level])
+            room = most
+        room -= events
+    return sweeps
+
+
+def _answers(placed, keys, values, remaining, last_chunk, seconds, width, swept) -> DataFrame:
+    """(keys, chunk, moment, level) with the totals of the block of a swept level that the chunk asks for at the moment."""
     key_list = [quoted(k) for k in keys]
 
     def event(level: str, block: str, pos: str, given: Mapping[str, str]) -> str:
         fields = [f"CAST({given.get(v, '0')} AS {kind}) AS {quoted(v)}" for v, kind in values.items()]
-        return f"struct(CAST({level} AS INT) AS _level, CAST({block} AS BIGINT) AS _block, {pos} AS _pos, {', '.join(fields)})"
+        asks = "false" if given else "true"
+        return f"struct(CAST({level} AS INT) AS _level, CAST({block} AS BIGINT) AS _block, {pos} AS _pos, {asks} AS _asked, {', '.join(fields)})"
 
     held = {v: quoted(v) for v in values if v.startswith("_v_")}
     gone = {v: f"-{quoted(v)}" for v in held}
@@ -101,28 +130,30 @@ def _answers(placed, keys, values, remaining, last_chunk, seconds, width) -> Dat
     for d in remaining:
         stop = {f"_n_{d}": "-1", f"_d_{d}": f"-{quoted(f'_s_{d}')}"}
         events.append(event("-1", "0", quoted(f"_to_{d}"), stop))
-    every, asked_levels = f"array({', '.join(events)})", "array(-1)"
-    if last_chunk:
-        levels = f"sequence(0, {last_chunk.bit_length() - 1})"
+    every, asked_levels = ([f"array({', '.join(events)})"], ["array(-1)"]) if -1 in swept else ([], [])
+    if swept[-1] >= 0:
+        levels = f"sequence({max(swept[0], 0)}, {swept[-1]})"
         # Even blocks hold waiting rows, odd ones ask their left neighbour; a block that nobody can ask holds none.
         holds = f"filter({levels}, l -> _at < _from AND (shiftright(_chunk, l) & 1) = 0 AND shiftleft(shiftright(_chunk, l) + 1, l) <= {last_chunk})"
         asks = f"filter({levels}, l -> (shiftright(_chunk, l) & 1) = 1)"
-        parts = [
+        every += [
             f"transform({holds}, l -> {event('l', 'shiftright(_chunk, l)', '_at', held)})",
             f"transform({holds}, l -> {event('l', 'shiftright(_chunk, l)', '_from', gone)})",
             f"transform({asks}, l -> {event('l', 'shiftright(_chunk, l) - 1', '_at', {})})",
         ]
-        every, asked_levels = f"concat({every}, {', '.join(parts)})", f"concat(array(-1), {asks})"
+        asked_levels.append(asks)
     group = [*keys, "_level", "_block"]
     points = (
-        placed.selectExpr(*key_list, f"inline({every})").where("_pos IS NOT NULL").groupBy(*group, "_pos")
-        .agg(*[F.expr(f"sum({quoted(v)}) AS {quoted(v)}") for v in values])
+        placed.selectExpr(*key_list, f"inline(concat({', '.join(every)}))").where("_pos IS NOT NULL").groupBy(*group, "_pos")
+        .agg(F.max("_asked").alias("_asked"), *[F.expr(f"sum({quoted(v)}) AS {quoted(v)}") for v in values])
     )
-    totals = scan_points(points, group, "_pos", list(values), width=width)
+    # Most points only add or remove; these have done their part and are not sent to the rows that ask. The mark stands before
+    # the sums, where Spark puts it in the rows' plan; else the offsets' plan would not share its exchange.
+    totals = scan_points(points, group, "_pos", list(values), width=width, marks=["_asked"]).where("_asked").drop("_asked")
     # Rows of a chunk that ask at the same moment share the answer.
     asked = placed.select(*keys, "_chunk", "_at").distinct().selectExpr(
         *[f"{quoted(k)} AS {quoted(f'_key_{k}')}" for k in keys], "_chunk AS _for_chunk", "_at AS _moment",
-        f"explode({asked_levels}) AS _for_level",
+        f"explode(concat({', '.join(asked_levels)})) AS _for_level",
     )
     same = [f"{quoted(k)} = {quoted(f'_key_{k}')}" for k in keys]
     block = "_block = IF(_for_level < 0, 0, shiftright(_for_chunk, _for_level) - 1)"

@@ -89,44 +89,49 @@ def scan_points(
     lasts: Sequence[str] = (),
     *,
     width: int | Sequence[int],
+    marks: Sequence[str] = (),
 ) -> DataFrame:
     """Replace ``sums`` by their running total and ``lasts`` by their latest non-null value, in order of ``pos``.
 
     ``points`` must be unique on (keys, pos), and ``pos`` must be a bigint. With several widths, each a multiple of the
     one before, the buckets are themselves scanned in wider buckets, so no task sees more buckets than fit in one.
+    ``marks`` come back as they are.
     """
     width, *wider = [width] if isinstance(width, int) else list(width)
     bucket = f"_cut_{pos}"
     cut = points.withColumn(bucket, bucket_of(pos, width))
-    sums, lasts = [quoted(c) for c in sums], [quoted(c) for c in lasts]
+    sums, lasts, marks = ([quoted(c) for c in names] for names in (sums, lasts, marks))
     place = [*[quoted(k) for k in keys], quoted(bucket)]
+    # The offsets need no marks, but then they would need other columns than the rows do, and could not share their exchange.
+    known = [*lasts, *marks]
 
     ends = cut.groupBy(*keys, bucket).agg(
         *[F.expr(f"sum({c}) AS {c}") for c in sums],
-        *[F.expr(f"max_by({c}, {quoted(pos)}) FILTER (WHERE {c} IS NOT NULL) AS {c}") for c in lasts],
+        *[F.expr(f"max_by({c}, {quoted(pos)}) FILTER (WHERE {c} IS NOT NULL) AS {c}") for c in known],
     )
     if wider:
-        offsets = _totals_before(ends, keys, bucket, sums, lasts, [w // width for w in wider])
+        offsets = _totals_before(ends, keys, bucket, sums, known, [w // width for w in wider])
     else:
         per_key = f"PARTITION BY {', '.join(place[:-1])} " if keys else ""
         before = f"OVER ({per_key}ORDER BY {place[-1]} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
         offsets = ends.selectExpr(
             *place,
             *[f"sum({c}) {before} AS {c}" for c in sums],
-            *[f"last({c}, true) {before} AS {c}" for c in lasts],
+            *[f"last({c}, true) {before} AS {c}" for c in known],
         )
     # The offset enters the bucket as its first row, so bucket and offset meet without a join.
-    first = offsets.selectExpr(*place, f"CAST(NULL AS BIGINT) AS {quoted(pos)}", *sums, *lasts)
+    first = offsets.selectExpr(*place, f"CAST(NULL AS BIGINT) AS {quoted(pos)}", *sums, *known)
     inside = f"""OVER (PARTITION BY {', '.join(place)} ORDER BY {quoted(pos)} NULLS FIRST
         ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"""
     return (
-        cut.selectExpr(*place, quoted(pos), *sums, *lasts)
+        cut.selectExpr(*place, quoted(pos), *sums, *lasts, *marks)
         .unionByName(first)
         .selectExpr(
             *place[:-1],
             quoted(pos),
             *[f"coalesce(sum({c}) {inside}, 0) AS {c}" for c in sums],
             *[f"last({c}, true) {inside} AS {c}" for c in lasts],
+            *marks,
         )
         .where(f"{quoted(pos)} IS NOT NULL")
     )

@@ -11,7 +11,7 @@ from queuescope.operators.dominance import CHUNK_BITS, add_queue_rank
 from queuescope.operators.intervals import REMAINING, add_rolling_count, rolling_counts
 from queuescope.operators.queue_state import queue_state
 from queuescope.operators.running import histogram_quantiles, join_matching
-from queuescope.session import materialize
+from queuescope.session import materialize, materialize_last
 
 # Queues that hand out whole nodes; job size is counted in nodes there, in CPUs elsewhere.
 NODE_QUEUES = ["standard", "standard-g"]
@@ -93,17 +93,18 @@ def add_features(
     """All features of cleaned jobs (see ``cleaning.preprocess``), computed per queue.
 
     The cleaned jobs are ranked and written once. What was running and what was queued come from one sweep of one event
-    table, users and accounts from another. The answers come together by queue and rank, which are unique.
+    table, users and accounts from another. Each sweep's answers are written, so that its shuffle files go before the
+    next one begins. The answers come together by queue and rank, which are unique.
     """
     resources = [c for c in df.columns if c.startswith("allocated_")] + SIZE_FLAGS
     place = [queue, "_queue_rank"]
     jobs = add_queue_rank(df, keys=[queue], tie_break=tie_break, out="_queue_rank")
     sized = add_size_flags(jobs, size_column(queue), [queue])
-    state = queue_state(
+    recent = materialize(rolling_counts(jobs.select(*place, *USAGE, "submit_ts"), [queue], place, USAGE, "submit_ts"))
+    state = materialize_last(lambda: queue_state(
         sized.select(*place, "eligible_start_ts", "start_ts", "end_ts", *resources), resources, keys=[queue],
         rank="_queue_rank", remaining=REMAINING, chunk_bits=chunk_bits,
-    )
-    recent = rolling_counts(jobs.select(*place, *USAGE, "submit_ts"), [queue], place, USAGE, "submit_ts")
+    ))
     jobs = jobs.join(recent, place, "left").join(state, place)
     return (
         jobs.transform(add_reservation_flag).transform(add_chained_flag).transform(add_temporal).drop("_queue_rank")

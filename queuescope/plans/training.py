@@ -10,6 +10,7 @@ import json
 import random
 from collections.abc import Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
+from contextvars import copy_context
 from dataclasses import asdict, dataclass
 from functools import reduce
 from itertools import product
@@ -37,7 +38,7 @@ from queuescope.plans.metrics import (
     regression_metrics,
 )
 from queuescope.plans.model_specs import ModelSpec
-from queuescope.session import materialize
+from queuescope.session import materialize, materialize_last
 from queuescope.sources import results
 
 DEEPEST_TREE = 30  # largest depth Spark ML accepts
@@ -206,7 +207,9 @@ def score_candidates(
         return materialize(reduce(DataFrame.unionByName, parts))
 
     with ThreadPoolExecutor(CONCURRENT_FITS) as pool:
-        joint = reduce(DataFrame.unionByName, list(pool.map(predictions_of, tried.items())))
+        contexts = [copy_context() for _ in tried]  # what a thread writes belongs to the search
+        fits = pool.map(lambda context, candidate: context.run(predictions_of, candidate), contexts, tried.items())
+        joint = reduce(DataFrame.unionByName, list(fits))
     keys = ["candidate", "fold"]
     if spec.task == "regression":
         errors = error_aggregates("y", "p")
@@ -244,7 +247,7 @@ def search(
     )
     metric = REFIT[spec.task]
     if spec.search != "halving":
-        scores = materialize(score_candidates(train, spec, tried, label, features, classes, weight))
+        scores = materialize_last(lambda: score_candidates(train, spec, tried, label, features, classes, weight))
         best = best_of(scores, metric)[0]
         scores = scores.withColumn("round", F.lit(0))
     else:
@@ -255,7 +258,7 @@ def search(
         for step in range(rounds):
             share = 3 ** (rounds - 1 - step)
             rows = train.where(F.pmod(F.xxhash64("split_row"), F.lit(share)) == 0) if share > 1 else train
-            scores = materialize(score_candidates(rows, spec, remaining, label, features, classes, weight))
+            scores = materialize_last(lambda: score_candidates(rows, spec, remaining, label, features, classes, weight))
             parts.append(scores.withColumn("round", F.lit(step)))
             order = best_of(scores, metric, -(-len(remaining) // 3) if step < rounds - 1 else 1)
             best, remaining = order[0], {n: remaining[n] for n in order}
@@ -310,33 +313,47 @@ def permutation_importance(
 
     The rows are put in the order of a repeatable shuffle once. In each repeat a row's donor stands a fixed number of places
     further on, another number each time. A row is scored once per feature and repeat, with that feature replaced; rows,
-    features and repeats are one plan with one join, and nothing is gathered.
+    features and repeats are one plan, and nothing is gathered.
+
+    The steps cut the places into ``repeats + 1`` runs of one length, give or take one. Places equally far into their runs
+    are each other's donors, so a row is sent once or twice to a group of that size, not once per repeat.
     """
     slim = df.select(F.col(id_column), F.col(y).cast("double").alias("_y"), vector_to_array("features").alias("_x"))
     placed = row_numbers(slim, [], [prep.shuffled(id_column, seed), F.col(id_column)], "_place")
-    rows = max(placed.count(), 1)
-    donors_at = F.array(*[
-        F.struct(F.lit(r).alias("_repeat"), F.pmod(F.col("_place") + (r + 1) * rows // (repeats + 1), F.lit(rows)).alias("_at"))
-        for r in range(repeats)
-    ])
-    donors = placed.select(F.col("_place").alias("_at"), F.col("_x").alias("_donor"))
+    rows, runs = max(placed.count(), 1), repeats + 1
+    steps = [(r + 1) * rows // runs for r in range(repeats)]
+
+    def into(place: str) -> str:
+        """How far a place is into its run; run k begins at floor(k * rows / runs)."""
+        return f"({place} - (((({place} + 1) * {runs}L - 1) div {rows}L) * {rows}L) div {runs}L)"
+
+    asked_by = [into(f"pmod(_place - {step}L, {rows}L)") for step in steps]
+    groups = F.expr(f"array_distinct(array({', '.join([into('_place'), *asked_by])}))")
+    members = placed.select("_place", "_y", "_x", F.explode(groups).alias("_group")).groupBy("_group").agg(
+        F.collect_list(F.struct("_place", "_y", "_x")).alias("_rows")
+    )
+    donor = f"filter(_rows, d -> d._place = pmod(m._place + step, {rows}L))[0]._x"
+    mixes = f"transform(array({', '.join(f'{step}L' for step in steps)}), (step, r) -> struct(r AS _repeat, m._y AS _y, m._x AS _x, {donor} AS _donor))"
+    mixed = members.select(
+        F.inline(F.expr(f"flatten(transform(filter(_rows, m -> {into('m._place')} = _group), m -> {mixes}))"))
+    )
     features = F.explode(F.sequence(F.lit(0), F.lit(len(x) - 1))).alias("_f")
-    mixed = placed.select("_y", "_x", F.inline(donors_at)).join(donors, "_at").select("_repeat", "_y", "_x", "_donor", features)
     replaced = F.expr("transform(_x, (v, i) -> IF(i = _f, _donor[i], v))")
-    vectors = mixed.select("_repeat", "_f", "_y", array_to_vector(replaced).alias("features"))
-    as_they_are = df.select(
-        F.lit(-1).alias("_repeat"), F.lit(-1).alias("_f"), F.col(y).cast("double").alias("_y"), "features"
-    )
-    joint = model.transform(as_they_are.unionByName(vectors))
+    vectors = mixed.select("*", features).select("_repeat", "_f", "_y", array_to_vector(replaced).alias("features"))
+    as_they_are = df.select(F.lit(-1).alias("_repeat"), F.lit(-1).alias("_f"), F.col(y).cast("double").alias("_y"), "features")
     if task == "regression":
         score = error_aggregates("_y", "prediction")["r2"]
     else:
         score = F.avg((F.col("_y") == F.col("prediction")).cast("int"))
-    scores = joint.groupBy("_repeat", "_f").agg(score.alias("_score"))
-    base = scores.where("_f = -1").select(F.col("_score").alias("_base")).first()[0]
+
+    def scored(rows: DataFrame) -> DataFrame:
+        return model.transform(rows).groupBy("_repeat", "_f").agg(score.alias("_score"))
+
+    # Of its own: in one plan with the mixed rows it would make all of these first.
+    base = scored(as_they_are).select("_score").first()[0]
     names = F.array(*[F.lit(c) for c in x])
     return (
-        scores.where("_f >= 0")
+        scored(vectors)
         .groupBy(F.get(names, F.col("_f")).alias("feature"))
         .agg(F.avg(F.lit(base) - F.col("_score")).alias("value"))
         .orderBy(F.desc("value"), "feature")
@@ -383,10 +400,8 @@ def predict(
         best = {r[0] for r in selection.where("selected").select("feature").collect()}
         chosen = [c for c in x if c in best]
     parts = [c for c in ("is_test", "split_row", "split_rows") if c in df.columns]
-    rows = rows.select(*dict.fromkeys([id_column, "start_ts", *chosen, y, *parts]))
-    if not parts:
-        rows = prep.add_split(rows, test_size, split, id_column=id_column)
-    rows = materialize(rows)
+    slim = rows.select(*dict.fromkeys([id_column, "start_ts", *chosen, y, *parts]))
+    rows = materialize_last(lambda: slim if parts else prep.add_split(slim, test_size, split, id_column=id_column))
 
     scaler = {}
     if task == "regression" or spec.scaling == "all_variables":
@@ -395,14 +410,14 @@ def predict(
         rows = prep.scale(rows, scaler)
     rows = VectorAssembler(inputCols=chosen, outputCol="features", handleInvalid="error").transform(rows)
     rows = rows.drop(*[c for c in chosen if c != y])
-    train, test = rows.where("NOT is_test"), rows.where("is_test")
-    weight = None
-    if spec.weights != "none" and spec.family != "mlp":
-        weight = "weight"
-        train = prep.add_sample_weights(train, y, spec.weights, out=weight)
-    train = materialize(
-        add_folds(train, spec.folds, spec.fold_strategy, label=y if task == "classification" else None)
-    )
+    fitted, test = rows.where("NOT is_test"), rows.where("is_test")
+    weight = "weight" if spec.weights != "none" and spec.family != "mlp" else None
+
+    def folded() -> DataFrame:
+        weighted = prep.add_sample_weights(fitted, y, spec.weights, out=weight) if weight else fitted
+        return add_folds(weighted, spec.folds, spec.fold_strategy, label=y if task == "classification" else None)
+
+    train = materialize_last(folded)
     classes = 2
     if task == "classification":
         classes = len(prep.CLASS_EDGES[bins]) + 1

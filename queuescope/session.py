@@ -4,7 +4,11 @@ from __future__ import annotations
 
 import re
 import tempfile
+import threading
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -62,12 +66,64 @@ def materialize(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{work_dir(spark)}/tables/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with _shuffles_end_with_writes(spark):
+        df.write.parquet(path)
     _written.append(path)
+    on_the_way = _on_the_way.get()
+    if on_the_way is not None:
+        on_the_way.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def materialize_last(make: Callable[[], DataFrame]) -> DataFrame:
+    """:func:`materialize` what ``make`` returns, and delete the tables that were written on the way to it.
+
+    Only for tables that ``make`` writes itself and nothing but its result reads: no lazy frame of them may be kept. Threads
+    that ``make`` starts belong to it if they run in a copy of its context.
+    """
+    paths: list[str] = []
+    outer = _on_the_way.set(paths)
+    try:
+        table = materialize(make())
+    finally:
+        _on_the_way.reset(outer)
+    *passed, last = paths
+    for path in passed:
+        _written[_written.index(path)] = ""  # keeps the place, so that marks stay valid
+        _delete(table.sparkSession, path)
+    if (further_out := _on_the_way.get()) is not None:
+        further_out.append(last)
+    return table
+
+
 _written: list[str] = []
+_on_the_way: ContextVar[list[str] | None] = ContextVar("on_the_way", default=None)
+
+# What a write shuffles is never read again, but its files stay until the driver happens to collect its garbage.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_writers: dict[str, tuple[int, str | None]] = {}
+_writers_lock = threading.Lock()
+
+
+@contextmanager
+def _shuffles_end_with_writes(spark: SparkSession) -> Iterator[None]:
+    """Writes inside delete their shuffle files at their end. The last of several threads puts the setting back."""
+    session = spark._jsparkSession.sessionUUID()
+    with _writers_lock:
+        count, before = _writers.get(session) or (0, spark.conf.get(_CLEANUP, None))
+        _writers[session] = (count + 1, before)
+        spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        with _writers_lock:
+            count, before = _writers.pop(session)
+            if count > 1:
+                _writers[session] = (count - 1, before)
+            elif before is None:
+                spark.conf.unset(_CLEANUP)
+            else:
+                spark.conf.set(_CLEANUP, before)
 
 
 def written_tables() -> int:
@@ -77,11 +133,14 @@ def written_tables() -> int:
 
 def release_tables(spark: SparkSession, since: int = 0) -> None:
     """Delete the tables written after the mark ``since``. Call it once no result that reads them is needed any more."""
-    jvm = spark.sparkContext._jvm
-    configuration = spark.sparkContext._jsc.hadoopConfiguration()
     while len(_written) > since:
-        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
-        path.getFileSystem(configuration).delete(path, True)
+        if path := _written.pop():
+            _delete(spark, path)
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def folder_exists(spark: SparkSession, folder: str) -> bool:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from queuescope.functions.cleaning import preprocess
 from queuescope.plans.features import add_features
-from queuescope.session import configure, materialize
+from queuescope.session import configure, materialize, materialize_last
 
 _written: dict[tuple[str, str], DataFrame] = {}
 
@@ -116,5 +116,6 @@ def feature_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Feature table of all queues, written once per session and scale for the model queries."""
     key = (spark.sparkContext.applicationId, sf_dir + "#features")
     if key not in _written:
-        _written[key] = materialize(add_features(clean_jobs(spark, sf_dir)))
+        jobs = clean_jobs(spark, sf_dir)  # the raw records are written out here, as other queries read them too
+        _written[key] = materialize_last(lambda: add_features(jobs))
     return _written[key]
